@@ -32,6 +32,9 @@ def get_session(master: str | None = None, app: str = "tessera",
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the only executor
+            b = b.config("spark.driver.memory", "12g")
     for k, v in _DEFAULT_CONF.items():
         b = b.config(k, v)
     if shuffle_partitions:
