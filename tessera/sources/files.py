@@ -11,7 +11,7 @@ from __future__ import annotations
 import time
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,8 +157,10 @@ def ingest(spark: SparkSession, src, dst: str, force: bool = False, skip_if_exis
            schema=None, compression: str = "snappy", string_empty_as: str = "empty",
            required: Sequence[str] | None = None) -> DataFrame:
     """IO-7: idempotent CSV -> Parquet conversion.  Skips when a non-empty
-    output exists (unless ``force``).  The row count is taken by an
-    ``Observation`` on the write itself — no second scan.  Returns one row:
+    output exists (unless ``force``).  The row count is read back from the
+    Parquet footers of the output (metadata only, no data scan; an
+    ``Observation`` on the write leaves a non-serializable manager in the
+    session that breaks later ML jobs on Spark 4.1).  Returns one row:
     ``rows, input_mb, output_mb, ratio, seconds, skipped``."""
     schema_row = "rows long, input_mb double, output_mb double, ratio double, seconds double, skipped boolean"
     if skip_if_exists and not force and path_exists_nonempty(spark, dst):
@@ -166,10 +168,8 @@ def ingest(spark: SparkSession, src, dst: str, force: bool = False, skip_if_exis
         return spark.createDataFrame([(None, None, out_mb, None, 0.0, True)], schema_row)
     t0 = time.time()
     df = read_many(spark, src, schema=schema, string_empty_as=string_empty_as) if not isinstance(src, DataFrame) else src
-    obs = Observation("ingest")
-    df = df.observe(obs, F.count(F.lit(1)).alias("rows"))
     write_parquet(df, dst, compression, mode="overwrite")
-    rows = obs.get["rows"]
+    rows = spark.read.parquet(dst).count()
     if required:
         check_required_columns(spark, dst, required)
     in_mb = sum(path_size_bytes(spark, p) for p in (list_files(spark, src, ".csv") if isinstance(src, str) else src)) / 1e6 \
