@@ -4,7 +4,10 @@
 The headline set is the reference's EDA + quality + feature + monitoring
 work (its published figure: 16.4 s for the 7-module EDA on 10,000 rows)
 plus one cross-validated model.  Every query is executed completely with the
-``noop`` sink (no collect to the driver), after one warm-up query.
+``noop`` sink (no collect to the driver).  Before timing, every headline
+query runs once on the small ``$BENCH_WARMUP_DIR`` tables (default sf0.01)
+so the measured pass sees a warm JVM (JIT, codegen caches) — no data or
+result is shared between the two passes.
 """
 
 from __future__ import annotations
@@ -38,7 +41,12 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - t0
 
-    run("ag10_pivot_label_rate")  # warm-up: JIT, file listing, session
+    warm = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.01").rstrip("/")
+    if os.path.isdir(warm) and warm != sf_dir:
+        for q in HEADLINE:
+            QUERIES[q](spark, warm).write.format("noop").mode("overwrite").save()
+    else:
+        run("ag10_pivot_label_rate")
     times = {}
     for q in HEADLINE:
         times[q] = round(run(q), 3)

@@ -290,15 +290,16 @@ def quantile_edges(df: DataFrame, cols: Sequence[str], q: int,
     aggregate (linear interpolation, exact by default), duplicates merged.
     Only ``len(cols) * (q+1)`` numbers reach the driver."""
     probs = [i / q for i in range(q + 1)]
-    aggs = []
-    for c in cols:
-        cc = F.col(f"`{c}`").cast("double")
-        aggs.append((F.percentile_approx(cc, probs, accuracy) if approx
-                     else F.percentile(cc, F.array(*[F.lit(p) for p in probs]))).alias(c))
-    row = df.agg(*aggs).first()
+    if approx:
+        row = df.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), probs, accuracy).alias(c)
+                       for c in cols]).first()
+        found = {c: row[c] for c in cols}
+    else:
+        from tessera.operators.quantiles import exact_quantiles
+        found = exact_quantiles(df, cols, probs)
     out = {}
     for c in cols:
-        edges = [e for e in (row[c] or []) if e is not None]
+        edges = [e for e in (found[c] or []) if e is not None]
         dedup = sorted(set(edges))
         out[c] = dedup
     return out

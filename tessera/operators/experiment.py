@@ -22,7 +22,9 @@ def prepare(df: DataFrame, label: str, key: str, test_size: float = 0.2, k: int
     """Stratified holdout split, stratified folds on the training part and
     class weights (balanced or fixed).  Returns (train with ``fold`` and
     ``weight``, holdout)."""
-    d = SA.stratified_split(df, label, key, test_size, seed, rows_per_bucket=rows_per_bucket)
+    # the split feeds the fold ranking (several passes) and the test side:
+    # keep it instead of recomputing its lineage each time
+    d = SA.stratified_split(df, label, key, test_size, seed, rows_per_bucket=rows_per_bucket).persist()
     train = d.where(~F.col("is_test")).drop("is_test")
     test = d.where(F.col("is_test")).drop("is_test")
     train = SA.stratified_folds(train, label, key, k, seed, rows_per_bucket=rows_per_bucket)

@@ -32,8 +32,10 @@ def fit_medians(df: DataFrame, cols: Sequence[str], approx: bool = False,
                 accuracy: int = 10_000) -> dict[str, float]:
     """Median of every column in one aggregate (exact linear interpolation, or
     ``percentile_approx`` for high-cardinality columns at scale)."""
-    aggs = [(F.percentile_approx(_q(c).cast("double"), 0.5, accuracy) if approx
-             else F.median(_q(c).cast("double"))).alias(f"m{i}") for i, c in enumerate(cols)]
+    if not approx:
+        from tessera.operators.quantiles import exact_quantiles
+        return {c: v[0] for c, v in exact_quantiles(df, cols, [0.5]).items()}
+    aggs = [F.percentile_approx(_q(c).cast("double"), 0.5, accuracy).alias(f"m{i}") for i, c in enumerate(cols)]
     row = df.agg(*aggs).first()
     return {c: row[f"m{i}"] for i, c in enumerate(cols)}
 
@@ -69,10 +71,18 @@ def impute_mode(df: DataFrame, cols: Sequence[str], modes: dict | None = None) -
 
 def group_medians(df: DataFrame, group: str, target: str, approx: bool = False,
                   accuracy: int = 10_000) -> DataFrame:
-    """Median of ``target`` per non-null ``group`` value."""
-    t = _q(target).cast("double")
-    m = F.percentile_approx(t, 0.5, accuracy) if approx else F.median(t)
-    return df.where(_q(group).isNotNull()).groupBy(_q(group).alias("_g")).agg(m.alias("_gm"))
+    """Median of ``target`` per non-null ``group`` value: ``_g, _gm``.
+
+    Exact medians come from the bucketed quantile plan partitioned by group,
+    so a group holding a third of the rows is still spread over many tasks
+    (``percentile`` would merge its whole value map in one task)."""
+    if approx:
+        t = _q(target).cast("double")
+        return df.where(_q(group).isNotNull()).groupBy(_q(group).alias("_g")).agg(
+            F.percentile_approx(t, 0.5, accuracy).alias("_gm"))
+    from tessera.operators.quantiles import quantiles_frame
+    d = df.select(_q(group).alias("_g"), _q(target).alias("_t"))
+    return quantiles_frame(d, ["_t"], [0.5], by=["_g"]).select("_g", F.col("value").alias("_gm"))
 
 
 def impute_group_median(df: DataFrame, group: str, target: str, approx: bool = False,
@@ -114,9 +124,9 @@ def standardize(df: DataFrame, cols: Sequence[str], ddof: int = 1, eps: float =
 
 
 def fit_robust(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple]:
-    row = df.agg(*[F.percentile(_q(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"p{i}")
-                   for i, c in enumerate(cols)]).first()
-    return {c: tuple(row[f"p{i}"]) if row[f"p{i}"] else (None, None, None) for i, c in enumerate(cols)}
+    """Quartiles of every column (exact, bucketed at scale)."""
+    from tessera.operators.quantiles import exact_quantiles
+    return {c: tuple(v) for c, v in exact_quantiles(df, cols, [0.25, 0.5, 0.75]).items()}
 
 
 def robust_scale(df: DataFrame, cols: Sequence[str], stats: dict | None = None) -> DataFrame:

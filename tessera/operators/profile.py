@@ -59,17 +59,21 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None,
              approx: bool = False, accuracy: int = 10_000) -> DataFrame:
     """AG-2: ``feature, count, mean, std, min, p25, p50, p75, max, skewness``.
 
-    One aggregate over all columns.  ``percentile`` is exact (linear
-    interpolation) but keeps a value->count map per column; pass
-    ``approx=True`` on high-cardinality columns at scale."""
+    Moments of all columns in one aggregate.  Quantiles are exact (linear
+    interpolation) through :func:`tessera.operators.quantiles.exact_quantiles`
+    — no task holds a whole column — and enter the result as literals
+    (columns x percentiles numbers); ``approx=True`` computes them with
+    ``percentile_approx`` inside the same aggregate instead."""
+    from tessera.operators.quantiles import exact_quantiles
     cols = list(cols or select_by_type(df, "numeric"))
     pnames = [f"p{int(round(p * 100))}" for p in percentiles]
+    qs = None if approx else exact_quantiles(df, cols, percentiles)
     aggs = []
     for i, c in enumerate(cols):
         x = q(c).cast("double")
         n = F.count(x)
         pct = (F.percentile_approx(x, list(percentiles), accuracy) if approx
-               else F.percentile(x, F.array(*[F.lit(p) for p in percentiles])))
+               else F.array(*[F.lit(v).cast("double") for v in qs[c]]))
         aggs += [n.alias(f"{i}__count"), F.avg(x).alias(f"{i}__mean"),
                  F.stddev_samp(x).alias(f"{i}__std"), F.min(x).alias(f"{i}__min"),
                  pct.alias(f"{i}__pct"), F.max(x).alias(f"{i}__max"),
@@ -139,8 +143,9 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
 def box_stats(df: DataFrame, col: str, whisker: float = 1.5) -> DataFrame:
     """AG-6: quartiles, fences, whisker ends (most extreme values inside the
     fences) and the outlier count — two aggregate passes, 3 numbers between."""
+    from tessera.operators.quantiles import exact_quantiles
     x = q(col).cast("double")
-    q1, med, q3 = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0]
+    q1, med, q3 = exact_quantiles(df, [col], [0.25, 0.5, 0.75])[col]
     iqr = q3 - q1
     lo, hi = q1 - whisker * iqr, q3 + whisker * iqr
     inside = (x >= F.lit(lo)) & (x <= F.lit(hi))

@@ -63,24 +63,28 @@ def key_hash(key, seed: int = 42, hash: str = "arith") -> Column:
 def prefix_sums(df: DataFrame, order_cols: Sequence, values: dict[str, Column],
                 partition_cols: Sequence[str] = (), exclusive: bool = True,
                 rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
-                n_rows: int | None = None) -> DataFrame:
+                n_rows: int | None = None, totals: dict[str, str] | None = None) -> DataFrame:
     """Add one column per ``values`` entry holding the sum of that value over
     the rows that come before (``exclusive``) or up to (inclusive) each row in
-    ``order_cols`` order, within ``partition_cols``.
+    ``order_cols`` order, within ``partition_cols``.  ``totals`` maps a value
+    name to a column that receives its total over the whole partition.
 
     ``order_cols`` must define a total order (end it with a unique key); its
-    first column must be numeric.  Plan:
+    first column must be numeric.  Plan (input passes: count, sketch,
+    bucket totals, final):
 
     1. ``B = ceil(N / rows_per_bucket)`` range buckets from approximate
        quantiles of the first order column (B-1 numbers on the driver);
     2. bucket id by binary search (``Bucketizer``, JVM side);
-    3. totals per (partition, bucket) — B x groups rows — turned into
-       exclusive offsets by a window over that small table;
-    4. offsets joined back (broadcast when the table is small) and a running
-       window *within* each (partition, bucket).
+    3. totals per (partition, bucket) — groups x B rows, collected when that
+       is below ``BROADCAST_ROWS`` — turned into exclusive offsets and
+       partition totals, then broadcast back (above the bound: a window over
+       the totals table and a shuffle join);
+    4. a running window *within* each (partition, bucket).
     """
     order_cols = [(_q(c)) for c in order_cols]
     vnames = list(values)
+    totals = dict(totals or {})
     tmp = {f"_pv{i}": values[v] for i, v in enumerate(vnames)}
     d = df.withColumns(tmp)
     if n_rows is None:
@@ -88,33 +92,65 @@ def prefix_sums(df: DataFrame, order_cols: Sequence, values: dict[str, Column],
     B = max(1, math.ceil(n_rows / rows_per_bucket))
     pcols = [_q(c) for c in partition_cols]
     frame_end = -1 if exclusive else 0
-    if B <= 1:
+    if B <= 1 and not totals:
         w = (Window.partitionBy(*pcols) if pcols else Window.partitionBy()).orderBy(*order_cols) \
             .rowsBetween(Window.unboundedPreceding, frame_end)
         out = d.withColumns({v: F.coalesce(F.sum(f"_pv{i}").over(w), F.lit(0)) for i, v in enumerate(vnames)})
         return out.drop(*tmp)
-    first = order_cols[0]
-    probs = [i / B for i in range(1, B)]
-    bounds = d.agg(F.percentile_approx(first.cast("double"), probs,
-                                       max(10_000, 4 * B)).alias("b")).first()["b"] or []
-    splits = [-math.inf] + sorted(set(float(b) for b in bounds)) + [math.inf]
-    d = d.withColumn("_pk", first.cast("double"))
-    d = Bucketizer(splits=splits, inputCol="_pk", outputCol="_bkt", handleInvalid="keep").transform(d)
-    d = d.withColumn("_bkt", F.col("_bkt").cast("int")).drop("_pk")
+    if B > 1:
+        first = order_cols[0]
+        probs = [i / B for i in range(1, B)]
+        bounds = d.agg(F.percentile_approx(first.cast("double"), probs,
+                                           max(10_000, 4 * B)).alias("b")).first()["b"] or []
+        splits = [-math.inf] + sorted(set(float(b) for b in bounds)) + [math.inf]
+        d = d.withColumn("_pk", first.cast("double"))
+        d = Bucketizer(splits=splits, inputCol="_pk", outputCol="_bkt", handleInvalid="keep").transform(d)
+        d = d.withColumn("_bkt", F.col("_bkt").cast("int")).drop("_pk")
+    else:
+        d = d.withColumn("_bkt", F.lit(0))
     keys = list(partition_cols) + ["_bkt"]
-    totals = d.groupBy(*[_q(k) for k in keys]).agg(*[F.sum(f"_pv{i}").alias(f"_pt{i}") for i in range(len(vnames))])
-    wt = (Window.partitionBy(*pcols) if pcols else Window.partitionBy()).orderBy("_bkt") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select(*[_q(k) for k in keys],
-                         *[F.coalesce(F.sum(f"_pt{i}").over(wt), F.lit(0)).alias(f"_po{i}")
-                           for i in range(len(vnames))])
-    n_offs = offs.count()
-    side = F.broadcast(offs) if n_offs <= BROADCAST_ROWS else offs
-    j = d.join(side, on=keys, how="inner")
+    tot = d.groupBy(*[_q(k) for k in keys]).agg(*[F.sum(f"_pv{i}").alias(f"_pt{i}") for i in range(len(vnames))])
+    tot_rows = tot.limit(BROADCAST_ROWS + 1).collect()
+    tcols = {f"_tt{vnames.index(v)}": name for v, name in totals.items()}
+    if len(tot_rows) <= BROADCAST_ROWS:
+        # offsets on the driver: the table has groups x B rows
+        acc, run = [], {}
+        part_tot = {}
+        npc = len(partition_cols)
+        for r in sorted(tot_rows, key=lambda r: (tuple((x is None, x) for x in r[:npc]), r["_bkt"])):
+            pk = tuple(r[k] for k in partition_cols)
+            prev = run.get(pk, [0] * len(vnames))
+            acc.append((*pk, r["_bkt"], *prev))
+            run[pk] = [prev[i] + (r[f"_pt{i}"] or 0) for i in range(len(vnames))]
+        for pk, s_ in run.items():
+            part_tot[pk] = s_
+        rows = [(*a, *[part_tot[tuple(a[:len(partition_cols)])][vnames.index(v)] for v in totals]) for a in acc]
+        schema = [f for f in tot.schema.fields if f.name in keys]
+        from pyspark.sql.types import StructField, StructType
+        vtypes = {f"_pt{i}": tot.schema[f"_pt{i}"].dataType for i in range(len(vnames))}
+        fields = [StructField(f.name, f.dataType, True) for f in schema] + \
+            [StructField(f"_po{i}", vtypes[f"_pt{i}"], True) for i in range(len(vnames))] + \
+            [StructField(f"_tt{vnames.index(v)}", vtypes[f"_pt{vnames.index(v)}"], True) for v in totals]
+        offs = df.sparkSession.createDataFrame(rows, StructType(fields))
+        side = F.broadcast(offs)
+    else:
+        wt = (Window.partitionBy(*pcols) if pcols else Window.partitionBy()).orderBy("_bkt")
+        offs = tot.select(*[_q(k) for k in keys],
+                          *[F.coalesce(F.sum(f"_pt{i}").over(wt.rowsBetween(Window.unboundedPreceding, -1)),
+                                       F.lit(0)).alias(f"_po{i}") for i in range(len(vnames))],
+                          *[F.sum(f"_pt{vnames.index(v)}").over(
+                              Window.partitionBy(*pcols) if pcols else Window.partitionBy())
+                            .alias(f"_tt{vnames.index(v)}") for v in totals])
+        side = offs
+    # the offsets side may derive from the same scan: join on renamed keys
+    side = side.select(*[F.col(f"`{c}`").alias(f"_o_{c}") if c in keys else F.col(c) for c in side.columns])
+    j = d.join(side, on=[_q(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys], how="inner") \
+        .drop(*[f"_o_{k}" for k in keys])
     wi = Window.partitionBy(*[_q(k) for k in keys]).orderBy(*order_cols) \
         .rowsBetween(Window.unboundedPreceding, frame_end)
     out = j.withColumns({v: F.col(f"_po{i}") + F.coalesce(F.sum(f"_pv{i}").over(wi), F.lit(0))
                          for i, v in enumerate(vnames)})
+    out = out.withColumnsRenamed(tcols) if tcols else out
     return out.drop(*tmp, *[f"_po{i}" for i in range(len(vnames))], "_bkt")
 
 
@@ -157,10 +193,10 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42, hash: str = "arith
 
 
 def _class_ranks(df: DataFrame, label: str, key: str, seed: int, hash: str,
-                 rows_per_bucket: int) -> DataFrame:
+                 rows_per_bucket: int, with_size: bool = False) -> DataFrame:
     d = df.withColumn("_h", key_hash(key, seed, hash))
-    d = ordered_index(d, ["_h", key], [label], name="_r", rows_per_bucket=rows_per_bucket)
-    return d
+    return prefix_sums(d, ["_h", key], {"_r": F.lit(1).cast("long")}, [label], exclusive=True,
+                       rows_per_bucket=rows_per_bucket, totals={"_r": "_nc"} if with_size else None)
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.2,
@@ -176,10 +212,7 @@ def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.2
     if not exact:
         cut = int(round(test_size * 10000))
         return df.withColumn("is_test", F.pmod(key_hash(key, seed, hash), F.lit(10000)) < cut)
-    d = _class_ranks(df, label, key, seed, hash, rows_per_bucket)
-    # one row per class: bounded by the label cardinality, safe to broadcast
-    n_c = df.groupBy(_q(label).alias(label)).agg(F.count(F.lit(1)).alias("_nc"))
-    d = d.join(F.broadcast(n_c), on=[label], how="left")
+    d = _class_ranks(df, label, key, seed, hash, rows_per_bucket, with_size=True)
     return d.withColumn("is_test", F.col("_r") < F.ceil(F.col("_nc") * F.lit(test_size))) \
             .drop("_h", "_r", "_nc")
 
