@@ -164,14 +164,87 @@ class FisherDirection(Estimator, _FisherParams, DefaultParamsReadable, DefaultPa
         return m
 
 
+# ------------------------------------------------- categorical branch (FE-9) --
+
+class _ColsParams(Params):
+    inputCols = Param(Params._dummy(), "inputCols", "input columns", TypeConverters.toListString)
+    fills = Param(Params._dummy(), "fills", "fill values", TypeConverters.toListString)
+
+
+class ModeImputerModel(Model, _ColsParams, DefaultParamsReadable, DefaultParamsWritable):
+    def __init__(self):
+        super().__init__()
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        cols = self.getOrDefault(self.inputCols)
+        fills = self.getOrDefault(self.fills)
+        return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(v))
+                               for c, v in zip(cols, fills) if v is not None})
+
+
+class ModeImputer(Estimator, _ColsParams, DefaultParamsReadable, DefaultParamsWritable):
+    """IS-3 as a pipeline stage for string columns: most frequent value,
+    smallest on ties (one grouped count + top-1 per column)."""
+
+    def __init__(self, inputCols=None):
+        super().__init__()
+        self._set(inputCols=list(inputCols or []))
+
+    def _fit(self, df: DataFrame) -> ModeImputerModel:
+        from tessera.operators.impute import fit_modes
+        cols = self.getOrDefault(self.inputCols)
+        modes = fit_modes(df.select(*[F.col(c).cast("string").alias(c) for c in cols]), cols)
+        m = ModeImputerModel()
+        m._set(inputCols=cols, fills=[modes[c] for c in cols])
+        return m
+
+
+class DropFirst(Model, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Remove component 0 of a one-hot vector (sklearn ``drop='first'``);
+    Spark's ``dropLast`` drops the last category instead.  Built-in array
+    expressions, no UDF."""
+
+    def __init__(self, inputCol=None, outputCol=None):
+        super().__init__()
+        self._set(inputCol=inputCol, outputCol=outputCol)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        a = vector_to_array(F.col(self.getInputCol()))
+        return df.withColumn(self.getOutputCol(), array_to_vector(F.slice(a, 2, F.size(a) - 1)))
+
+
+def categorical_stages(cols: Sequence[str], drop_first: bool = True) -> tuple[list, list[str]]:
+    """FE-9 / IS-8 categorical branch: mode imputation -> ``StringIndexer``
+    (alphabetical, unknown kept in an extra slot) -> ``OneHotEncoder`` whose
+    dropped last slot is that unknown slot (unknown -> all zeros) -> optional
+    drop of the first category.  Returns (stages, output vector columns)."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    idx = [f"{c}__idx" for c in cols]
+    oh = [f"{c}__oh" for c in cols]
+    stages = [ModeImputer(inputCols=list(cols)),
+              StringIndexer(inputCols=list(cols), outputCols=idx, handleInvalid="keep",
+                            stringOrderType="alphabetAsc"),
+              # the indexer already reserves the last slot for unknown values; the
+              # encoder drops exactly that slot, so unknown -> all zeros
+              OneHotEncoder(inputCols=idx, outputCols=oh, dropLast=True, handleInvalid="error")]
+    if not drop_first:
+        return stages, oh
+    out = [f"{c}__ohd" for c in cols]
+    stages += [DropFirst(inputCol=o, outputCol=d) for o, d in zip(oh, out)]
+    return stages, out
+
+
 # ---------------------------------------------------------------- pipelines --
 
 def build_pipeline(model: str, features: Sequence[str], params: Mapping | None = None,
                    label: str = "label", weight_col: str | None = None, scaling: str | None = "standard",
-                   reducer: Mapping | None = None, seed: int = 42, n_train: float | None = None) -> Pipeline:
-    """ML-1: median imputation -> assembly -> scaling -> reducer ->
-    estimator (class from the allow-list registry, defaults + overrides,
-    seed injected where supported)."""
+                   reducer: Mapping | None = None, seed: int = 42, n_train: float | None = None,
+                   categorical: Sequence[str] = (), drop_first: bool = True) -> Pipeline:
+    """ML-1 / IS-8: numeric branch (median imputation -> assembly ->
+    scaling) in parallel with the categorical branch of
+    :func:`categorical_stages`, concatenated, -> reducer -> estimator (class
+    from the allow-list registry, defaults + overrides, seed injected where
+    supported)."""
     cls, defaults = MODEL_REGISTRY[model]
     imp = [f"{c}__imp" for c in features]
     stages = [Imputer(strategy="median", inputCols=list(features), outputCols=imp, relativeError=1e-4),
@@ -183,6 +256,11 @@ def build_pipeline(model: str, features: Sequence[str], params: Mapping | None =
     elif scaling == "robust":
         stages.append(RobustScaler(inputCol=cur, outputCol="_x_scaled", withCentering=True, withScaling=True))
         cur = "_x_scaled"
+    if categorical:
+        cat_stages, cat_out = categorical_stages(categorical, drop_first)
+        stages += cat_stages
+        stages.append(VectorAssembler(inputCols=[cur, *cat_out], outputCol="_x_all"))
+        cur = "_x_all"
     method = (reducer or {}).get("method", "none")
     if method == "pca":
         stages.append(PCA(k=int(reducer.get("n_components", 2)), inputCol=cur, outputCol="_x_red"))
@@ -374,10 +452,25 @@ def holdout_evaluate(model: PipelineModel, holdout: DataFrame, label: str = "lab
 # ------------------------------------------------------------- diagnostics --
 
 def assembler_names(model: PipelineModel) -> list[str]:
+    """Names of the final feature vector's slots: numeric features, then one
+    ``<col>=<category>`` per kept one-hot slot."""
+    from pyspark.ml.feature import StringIndexerModel
+    names: list[str] = []
+    labels = {}
+    drop_first = any(isinstance(st, DropFirst) for st in model.stages)
+    for st in model.stages:
+        if isinstance(st, StringIndexerModel):
+            for c, lab in zip(st.getInputCols(), st.labelsArray):
+                labels[c] = list(lab)
     for st in model.stages:
-        if isinstance(st, VectorAssembler):
-            return [c[:-5] if c.endswith("__imp") else c for c in st.getInputCols()]
-    raise ValueError("no VectorAssembler stage")
+        if isinstance(st, VectorAssembler) and any(c.endswith("__imp") for c in st.getInputCols()):
+            names = [c[:-5] for c in st.getInputCols()]
+            break
+    for c, lab in labels.items():
+        names += [f"{c}={v}" for v in (lab[1:] if drop_first else lab)]
+    if not names:
+        raise ValueError("no VectorAssembler stage")
+    return names
 
 
 def linear_weights(model: PipelineModel) -> DataFrame:

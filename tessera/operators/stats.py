@@ -138,3 +138,61 @@ def trend(df: DataFrame, x: str, y: str) -> DataFrame:
     """AG-16 first half: mean of ``y`` per value of ``x`` (``x, y_mean, n``)."""
     return (df.where(_q(x).isNotNull()).groupBy(_q(x).alias("x"))
               .agg(F.avg(_q(y)).alias("y_mean"), F.count(_q(y)).alias("n")))
+
+
+def smooth(trend_df: DataFrame, x: str = "x", y: str = "y_mean", frac: float = 0.3, it: int = 0,
+           rows_per_bucket: int = 1 << 20) -> DataFrame:
+    """AG-16 second half: locally weighted linear regression (LOWESS) of the
+    trend table: ``x, y, smooth``.
+
+    For each point the ``k = max(2, int(frac * m))`` nearest points (by
+    ``|dx|``, ties by x) get tricube weights ``(1 - (d/h)^3)^3`` with ``h``
+    the k-th distance, and a weighted least-squares line is evaluated at the
+    point.  The k nearest of a point lie within ``k - 1`` ranks of it, so
+    candidates come from a rank *band* join (``2k - 1`` per point, never all
+    pairs); the work is O(m k) over the m distinct x values.  ``it`` bisquare
+    robustness iterations re-weight by the residuals (median absolute
+    residual from the exact quantile operator)."""
+    from tessera.operators.quantiles import exact_quantiles
+    from tessera.operators.sample import ordered_index
+    t = trend_df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) \
+        .where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    m = t.count()
+    k = max(2, int(frac * m + 1e-10))
+    k = min(k, m)
+    t = ordered_index(t, ["x"], name="r", rows_per_bucket=rows_per_bucket, n_rows=m).persist()
+    cand = t.select(F.col("r").alias("i"), F.col("x").alias("xi"), F.explode(F.sequence(
+        F.greatest(F.col("r") - (k - 1), F.lit(0)), F.least(F.col("r") + (k - 1), F.lit(m - 1)))).alias("j"))
+    pairs = cand.join(t.select(F.col("r").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj")), "j")
+    pairs = pairs.withColumn("d", F.abs(F.col("xj") - F.col("xi")))
+    wi = Window.partitionBy("i").orderBy("d", "xj")
+    pairs = pairs.withColumn("_n", F.row_number().over(wi)).where(F.col("_n") <= k).drop("_n")
+    pairs = pairs.withColumn("h", F.max("d").over(Window.partitionBy("i")))
+    tri = F.when(F.col("h") <= 0, F.lit(1.0)).otherwise(
+        F.when(F.col("d") < F.col("h"), F.pow(1 - F.pow(F.col("d") / F.col("h"), 3), 3)).otherwise(F.lit(0.0)))
+    pairs = pairs.withColumn("w0", tri).persist()
+
+    def fit(p):
+        w = F.col("w")
+        g = p.groupBy("i", "xi").agg(F.sum(w).alias("sw"), F.sum(w * F.col("xj")).alias("sx"),
+                                     F.sum(w * F.col("yj")).alias("sy"),
+                                     F.sum(w * F.col("xj") * F.col("xj")).alias("sxx"),
+                                     F.sum(w * F.col("xj") * F.col("yj")).alias("sxy"))
+        den = F.col("sw") * F.col("sxx") - F.col("sx") * F.col("sx")
+        b = (F.col("sw") * F.col("sxy") - F.col("sx") * F.col("sy")) / den
+        a = (F.col("sy") - b * F.col("sx")) / F.col("sw")
+        ok = F.abs(den) > F.lit(1e-12) * F.greatest(F.lit(1.0), F.col("sw") * F.col("sxx"))
+        return g.select("i", F.when(F.col("sw") <= 0, F.lit(None)).when(ok, a + b * F.col("xi"))
+                        .otherwise(F.col("sy") / F.col("sw")).alias("fit"))
+
+    cur = fit(pairs.withColumn("w", F.col("w0")))
+    for _ in range(it):
+        res = t.join(cur, t["r"] == cur["i"]).select(F.col("r").alias("j"), (F.col("y") - F.col("fit")).alias("e"))
+        res = res.persist()
+        s = exact_quantiles(res.select(F.abs("e").alias("ae")), ["ae"], [0.5])["ae"][0] or 0.0
+        if s <= 0:
+            break
+        u = F.col("e") / F.lit(6.0 * s)
+        delta = res.select("j", F.when(F.abs(u) < 1, F.pow(1 - u * u, 2)).otherwise(F.lit(0.0)).alias("delta"))
+        cur = fit(pairs.join(delta, "j").withColumn("w", F.col("w0") * F.col("delta")))
+    return t.join(cur, t["r"] == cur["i"]).select("x", "y", F.col("fit").alias("smooth"))

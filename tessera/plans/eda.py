@@ -264,3 +264,37 @@ FROM {LABELED_SQL} t WHERE is_returned IS NOT NULL GROUP BY is_returned
 """)
 def class_weights(spark, sf):
     return PR.class_weights(lineitem_labeled(spark, sf), "is_returned")
+
+
+@query("ag16_smooth", """
+WITH t AS (SELECT CAST(l_quantity AS DOUBLE) AS x, avg(l_extendedprice) AS y FROM lineitem
+           WHERE l_quantity IS NOT NULL GROUP BY l_quantity),
+m AS (SELECT count(*) AS m FROM t),
+k AS (SELECT greatest(2, least(m, CAST(floor(0.3 * m + 1e-10) AS BIGINT))) AS k FROM m),
+p AS (SELECT a.x AS xi, b.x AS xj, b.y AS yj, abs(b.x - a.x) AS d,
+             row_number() OVER (PARTITION BY a.x ORDER BY abs(b.x - a.x), b.x) AS rn FROM t a, t b),
+q AS (SELECT p.* FROM p, k WHERE rn <= k.k),
+w AS (SELECT *, max(d) OVER (PARTITION BY xi) AS h FROM q),
+ww AS (SELECT xi, xj, yj, CASE WHEN h <= 0 THEN 1.0 WHEN d < h THEN pow(1 - pow(d / h, 3), 3) ELSE 0.0 END AS w FROM w),
+g AS (SELECT xi, sum(w) AS sw, sum(w * xj) AS sx, sum(w * yj) AS sy, sum(w * xj * xj) AS sxx, sum(w * xj * yj) AS sxy
+      FROM ww GROUP BY xi)
+SELECT t.x, t.y,
+  CASE WHEN sw <= 0 THEN NULL
+       WHEN abs(sw * sxx - sx * sx) > 1e-12 * greatest(1.0, sw * sxx)
+         THEN (sy - ((sw * sxy - sx * sy) / (sw * sxx - sx * sx)) * sx) / sw
+              + ((sw * sxy - sx * sy) / (sw * sxx - sx * sx)) * t.x
+       ELSE sy / sw END AS smooth
+FROM t JOIN g ON t.x = g.xi
+""")
+def smooth(spark, sf):
+    """AG-16: LOWESS (frac 0.3, no robustness iteration) of the quantity
+    trend; the DuckDB twin enumerates all pairs, the Spark plan a rank band."""
+    tr = ST.trend(load(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
+    return ST.smooth(tr, "x", "y_mean", frac=0.3, it=0)
+
+
+@query("ag16_smooth_robust")
+def smooth_robust(spark, sf):
+    """AG-16 with 3 bisquare robustness iterations (statsmodels' default)."""
+    tr = ST.trend(load(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
+    return ST.smooth(tr, "x", "y_mean", frac=0.3, it=3)

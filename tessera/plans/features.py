@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.operators import impute as IM
-from tessera.operators.features import feature_pipeline
+from tessera.operators.features import feature_pipeline, fit_categories, scoring_features
 from tessera.plans.eda import MISSING_SQL, NUM, lineitem_with_missing
 from tessera.plans.registry import load, query
 from tessera.plans.sqlgen import cut_case
@@ -234,3 +234,18 @@ FROM {MISSING_SQL} t, (SELECT {", ".join(f"quantile_cont({c}, [0.25, 0.5, 0.75])
 def robust_scale(spark, sf):
     d = lineitem_with_missing(spark, sf).select(*KEYS, *NUM)
     return IM.robust_scale(d, NUM)
+
+
+SCORING_SQL = FEATURE_SQL.replace(
+    "  CASE WHEN l_returnflag = 'R' THEN 1 WHEN l_returnflag = 'A' THEN 0 WHEN l_returnflag = 'N' THEN 0 END AS target_numeric\n",
+    "  CAST(0 AS INTEGER) AS is_heavy\n")
+
+
+@query("fe14_scoring_features", SCORING_SQL)
+def scoring(spark, sf):
+    """FE-14: the training pipeline's code path on raw records with the
+    categories fitted at training time; a flag whose source column is absent
+    becomes 0 and the output is conformed to the training column order."""
+    li = load(spark, sf, "lineitem")
+    fitted = fit_categories(li, FEATURE_CONFIG)
+    return scoring_features(li, FEATURE_CONFIG, fitted)

@@ -218,3 +218,17 @@ def rank_models(spark, sf):
              for m in ("logistic", "decision_tree")}
     ranking, _ = MD.arena(pipes, train, KEY, LABEL, "fold")
     return MD.select_best(ranking)
+
+
+@query("fe09_categorical_pipeline")
+def categorical_pipeline(spark, sf):
+    """FE-9 / IS-8: numeric + categorical (event type of the previous
+    feature set: the ``props`` bucket) branches in one pipeline; the weights
+    of the fitted linear model name every one-hot slot."""
+    d = ml_table(spark, sf).join(
+        load(spark, sf, "events").select(KEY, F.when(F.col("value") > 100, "high").when(F.col("value") > 20, "mid")
+                                              .otherwise("low").alias("value_band")), KEY)
+    train, _ = EX.prepare(d, LABEL, KEY, 0.2, 5, 42, rows_per_bucket=RPB)
+    pipe = MD.build_pipeline("logistic", FEATURES, ARENA["logistic"], LABEL, "weight", n_train=train.count(),
+                             categorical=["value_band"])
+    return MD.linear_weights(pipe.fit(train))

@@ -57,3 +57,17 @@ def test_kmeans_scan_and_pca(spark):
     assert k.count() == 2 and k.where("inertia <= 0").count() == 0
     pcs = MD.pca_scores(emb, "embedding", "vec_id", 2)
     assert pcs.count() == emb.count() and set(pcs.columns) == {"vec_id", "pc_0", "pc_1"}
+
+
+def test_categorical_branch_unknown_is_zeros_null_is_mode(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    train = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "c string")
+    stages, out = MD.categorical_stages(["c"], drop_first=True)
+    m = Pipeline(stages=stages).fit(train)
+    test = spark.createDataFrame([(1, "a"), (2, "c"), (3, "z"), (4, None)], "k int, c string")
+    rows = {r.k: r.v for r in m.transform(test).select("k", vector_to_array(out[0]).alias("v")).collect()}
+    assert rows[1] == [0.0, 0.0]            # first category dropped
+    assert rows[2] == [0.0, 1.0]
+    assert rows[3] == [0.0, 0.0]            # unknown -> zeros
+    assert rows[4] == [1.0, 0.0]            # null -> mode ("b")
