@@ -25,6 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_ROWS_PER_BUCKET = 1 << 20
+# more buckets than this would make the boundary sketch and the offsets table
+# large; beyond it buckets grow instead (a task sorts its bucket with spill)
+MAX_BUCKETS = 50_000
 BROADCAST_ROWS = 200_000
 
 # Knuth's multiplicative hashing constant and the 2^32 modulus.
@@ -73,8 +76,9 @@ def prefix_sums(df: DataFrame, order_cols: Sequence, values: dict[str, Column],
     first column must be numeric.  Plan (input passes: count, sketch,
     bucket totals, final):
 
-    1. ``B = ceil(N / rows_per_bucket)`` range buckets from approximate
-       quantiles of the first order column (B-1 numbers on the driver);
+    1. ``B = min(ceil(N / rows_per_bucket), MAX_BUCKETS)`` range buckets from
+       approximate quantiles of the first order column (B-1 numbers on the
+       driver);
     2. bucket id by binary search (``Bucketizer``, JVM side);
     3. totals per (partition, bucket) — groups x B rows, collected when that
        is below ``BROADCAST_ROWS`` — turned into exclusive offsets and
@@ -89,7 +93,7 @@ def prefix_sums(df: DataFrame, order_cols: Sequence, values: dict[str, Column],
     d = df.withColumns(tmp)
     if n_rows is None:
         n_rows = d.count()
-    B = max(1, math.ceil(n_rows / rows_per_bucket))
+    B = min(MAX_BUCKETS, max(1, math.ceil(n_rows / rows_per_bucket)))
     pcols = [_q(c) for c in partition_cols]
     frame_end = -1 if exclusive else 0
     if B <= 1 and not totals:
