@@ -208,17 +208,19 @@ def factorize(df: DataFrame, col: str, key: str, new_col: str | None = None,
     d = df.where(c.isNotNull()).groupBy(c.alias("_v")).agg(
         F.min(F.col(f"`{key}`")).alias("_first"), F.count(F.lit(1)).alias("_n"))
     from pyspark.sql import Window
+    from tessera.operators.sample import ordered_index
+    n_distinct = d.count()
     if order == "first":
-        w = Window.orderBy("_first")
-    elif order == "alpha":
-        w = Window.orderBy("_v")
+        # numeric first-appearance key: exact distributed rank of the dictionary
+        d = ordered_index(d, ["_first", "_v"], name="_code", n_rows=n_distinct).select("_v", "_code")
     elif order == "frequency":
-        w = Window.orderBy(F.desc("_n"), F.asc("_v"))
+        d = ordered_index(d.withColumn("_negn", -F.col("_n")), ["_negn", "_v"], name="_code",
+                          n_rows=n_distinct).select("_v", "_code")
+    elif order == "alpha":
+        # the ranking window runs over the dictionary (distinct values), not rows
+        d = d.select("_v", (F.row_number().over(Window.orderBy("_v")) - 1).alias("_code"))
     else:
         raise ValueError(order)
-    # The ranking window runs over the dictionary (distinct values), not rows.
-    d = d.select("_v", (F.row_number().over(w) - 1).alias("_code"))
-    n_distinct = d.count()
     side = F.broadcast(d) if n_distinct <= broadcast_limit else d
     out = df.join(side, c.eqNullSafe(F.col("_v")), "left")
     return out.withColumn(new_col, F.coalesce(F.col("_code"), F.lit(-1)).cast("int")) \

@@ -94,12 +94,14 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None,
 
 def value_counts(df: DataFrame, col: str, dropna: bool = True) -> DataFrame:
     """AG-3: ``value, count, share``.  ``share`` divides by the counted rows
-    (nulls included when ``dropna=False``).  The share window runs over the
-    grouped result (one row per value), never over raw rows."""
+    (nulls included when ``dropna=False``).  The grouped table (one row per
+    value) is kept; its total is one distributed sum — no single-partition
+    window, so a high-cardinality column stays parallel."""
     c = q(col)
     base = df.where(c.isNotNull()) if dropna else df
-    g = base.groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    return g.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy()))
+    g = base.groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("count")).persist()
+    total = g.agg(F.sum("count")).first()[0] or 0
+    return g.withColumn("share", F.col("count") / F.lit(float(total)) if total else F.lit(None).cast("double"))
 
 
 # ------------------------------------------------------------------- AG-4 --

@@ -92,9 +92,10 @@ def _row_count(i, df, column, kw) -> Compiled:
 
 @rule("expect_table_columns_to_match_set", "columns_match_set")
 def _match_set(i, df, column, kw) -> Compiled:
-    """QC-2: set equality of column names (schema only)."""
-    exp, act = set(kw.get("column_set", [])), set(df.columns)
-    missing, unexpected = sorted(exp - act), sorted(act - exp)
+    """QC-2: set equality of column names (schema only, SO-2)."""
+    from tessera.operators.sample import schema_diff
+    diff = schema_diff(kw.get("column_set", []), df.columns)
+    missing, unexpected = diff["missing"], diff["unexpected"]
     f = _base_fields(i, "expect_table_columns_to_match_set", None)
     f.update(success=F.lit(not missing and not unexpected),
              missing=_lit("|".join(missing), "string"),
@@ -218,6 +219,14 @@ def run_suite(df: DataFrame, suite: dict, fail_on_error: bool = False) -> DataFr
     return checks
 
 
+def quality_report(checks: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """QC-10: the checks as JSON lines ``{type, column, success, kwargs-free
+    result fields}`` — ``type`` filled and booleans as booleans (the two
+    reference report defects are not reproduced).  The checks table has one
+    row per rule, so it is written as a single file."""
+    checks.withColumnRenamed("rule", "type").coalesce(1).write.mode(mode).json(path)
+
+
 def suite_summary(checks: DataFrame) -> DataFrame:
     """``success, total, passed, failed`` from the checks table (tiny agg)."""
     return checks.agg(

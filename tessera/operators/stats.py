@@ -78,11 +78,13 @@ def chi2_stat(df: DataFrame, pairs: Sequence[Sequence[str]], yates: bool = True)
           .agg(F.count(F.lit(1)).alias("o"))
           .withColumn("pair", F.lit(f"{a} x {b}"))
         for a, b in pairs])
-    wp = Window.partitionBy("pair")
+    # grand total per pair: a grouped sum joined back (one row per pair) —
+    # a window over the pair would hold every cell of a pair in one task
+    n_pair = cells.groupBy(F.col("pair").alias("_p")).agg(F.sum("o").alias("N"))
+    cells = cells.join(F.broadcast(n_pair), F.col("pair") == F.col("_p")).drop("_p")
     cells = cells.withColumns({
         "r": F.sum("o").over(Window.partitionBy("pair", "a")),
-        "c": F.sum("o").over(Window.partitionBy("pair", "b")),
-        "N": F.sum("o").over(wp)})
+        "c": F.sum("o").over(Window.partitionBy("pair", "b"))})
     cells = cells.withColumns({
         "e": F.col("r") * F.col("c") / F.col("N"),
         "ra": F.row_number().over(Window.partitionBy("pair", "a").orderBy("b")) == 1,

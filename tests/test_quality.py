@@ -58,3 +58,30 @@ def test_split_valid(spark):
     assert valid.count() == 2
     errs = sorted(r._errors for r in bad.collect())
     assert errs == [["a:between", "c:in_set"], ["a:not_null"]]
+
+
+def test_custom_rule_registry_and_report(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    @QC.rule("expect_column_max_to_be_below")
+    def _max_below(i, df, column, kw):
+        f = QC._base_fields(i, "expect_column_max_to_be_below", column)
+        m = F.col(f"_a{i}_max")
+        f.update(success=m < F.lit(kw["value"]), observed=m.cast("double"))
+        return QC.Compiled([F.max(F.col(column)).alias(f"_a{i}_max")], f)
+
+    suite = {"column_expectations": {"a": [{"type": "expect_column_max_to_be_below", "kwargs": {"value": 30}}]}}
+    checks = QC.run_suite(_df(spark), suite)
+    r = checks.first()
+    assert r.success and r.observed == 20.0
+    QC.quality_report(checks, str(tmp_path / "rep"))
+    back = spark.read.json(str(tmp_path / "rep")).first()
+    assert back.type == "expect_column_max_to_be_below" and back.success is True
+
+
+def test_drop_columns_and_any_null(spark):
+    from tessera.functions import columns as C
+    df = spark.createDataFrame([(1, None), (2, 3)], "a int, b int")
+    assert C.drop_columns(df, ["b", "zz"]).columns == ["a"]
+    assert [r[0] for r in df.select(C.any_null(["a", "b"])).collect()] == [True, False]
+    assert C.select_features(df, ["b", "x", "a"])[1] == ["x"]
