@@ -3,8 +3,12 @@
 
 Spark's ``percentile`` is exact but merges a value->count map of every
 distinct value into ONE final task per column (and per group) — a single
-hot group or a high-cardinality column then has to fit in one task.  Plan
-here, all distributed:
+hot group or a high-cardinality column then has to fit in one task.
+
+Global quantiles (:func:`exact_quantiles`) use histogram bisection: only
+aggregates with bounded state, no shuffle of rows (see the function).
+
+Per-group quantiles (:func:`quantiles_frame`), all distributed:
 
 1. stack the columns into ``(by..., column, v)`` and collapse duplicates
    with a partial + final aggregate -> distinct values with counts;
@@ -20,6 +24,8 @@ here, all distributed:
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import DataFrame
@@ -28,7 +34,6 @@ from pyspark.sql import functions as F
 from tessera.operators.sample import BROADCAST_ROWS, prefix_sums
 
 
-PERCENTILE_ROWS = 200_000
 # distinct values ranked per task: small buckets keep many windows in flight
 QUANTILE_ROWS_PER_BUCKET = 1 << 17
 
@@ -73,24 +78,101 @@ def quantiles_frame(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    rows_per_bucket: int = QUANTILE_ROWS_PER_BUCKET, n_rows: int | None = None) -> dict[str, list]:
+                    bins: int = 1024, collect_limit: int = 50_000, max_passes: int = 64) -> dict[str, list]:
     """Global quantiles as ``{column: [q(p) for p in probs]}`` (None for an
-    all-null column).  Only ``len(cols) * len(probs)`` numbers reach the
-    driver.  Up to ``PERCENTILE_ROWS`` rows Spark's exact ``percentile`` (one
-    final task per column, bounded by that size) is used; beyond it the
-    bucketed plan of :func:`quantiles_frame`."""
-    n_rows = df.count() if n_rows is None else n_rows
-    if n_rows <= PERCENTILE_ROWS:
-        arr = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(F.col(f"`{c}`").cast("double"), arr).alias(f"q{i}")
-                       for i, c in enumerate(cols)]).first()
-        return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
-                for i, c in enumerate(cols)}
-    cached: list = []
-    rows = quantiles_frame(df, cols, probs, (), rows_per_bucket, cached).collect()
-    for c in cached:
-        c.unpersist()
-    out = {c: [None] * len(probs) for c in cols}
-    for r in rows:
-        out[r["column"]][r["k"]] = r["value"]
+    all-null column), exact with linear interpolation, by histogram
+    bisection — only aggregates, no shuffle of rows:
+
+    1. one aggregate: count, min, max of every column;
+    2. per open interval, ``bins`` equal-width bins counted with min / max
+       per bin (a grouped count with partial aggregation; at most
+       intervals x bins groups).  Bin numbers are monotone in x, so the bin
+       holding a target rank is the contiguous value range [bin min, bin max];
+    3. once that range holds at most ``collect_limit`` values they are
+       collected sorted (bounded) and the rank is read off; larger ranges
+       are bisected again.  A range of equal values resolves at once.
+
+    Every pass scans the columns; state is bounded by ``intervals x bins``
+    and ``collect_limit`` whatever the table size.  NaN counts as missing."""
+    cols = list(cols)
+    x = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    x = {c: F.when(~F.isnan(v), v) for c, v in x.items()}
+    base = df.select(*[x[c].alias(f"_x{i}") for i, c in enumerate(cols)])
+    row = base.agg(*[a for i in range(len(cols)) for a in (
+        F.count(f"_x{i}").alias(f"n{i}"), F.min(f"_x{i}").alias(f"lo{i}"), F.max(f"_x{i}").alias(f"hi{i}"))]).first()
+    # pending ranks: (col index, rank) -> [a, b, below, value, count]
+    # (below = #values < a, count = #values in [a, b])
+    need: dict[tuple[int, int], list] = {}
+    plan: dict[int, list] = {}
+    for i in range(len(cols)):
+        n = row[f"n{i}"]
+        if not n:
+            continue
+        plan[i] = []
+        for p in probs:
+            pos = p * (n - 1)
+            lo_r, hi_r = math.floor(pos), math.ceil(pos)
+            plan[i].append((lo_r, hi_r, pos - lo_r))
+            for r in (lo_r, hi_r):
+                need[(i, r)] = [row[f"lo{i}"], row[f"hi{i}"], 0, None, n]
+
+    def in_range(i, a, b):
+        xi = F.col(f"_x{i}")
+        return (xi >= F.lit(a)) & (xi <= F.lit(b))
+
+    for _ in range(max_passes):
+        for v in need.values():
+            if v[3] is None and v[0] == v[1]:
+                v[3] = v[0]
+        open_ = {k: v for k, v in need.items() if v[3] is None}
+        if not open_:
+            break
+        # ranges small enough: collect them sorted (bounded) in one aggregate
+        take = sorted({(i, v[0], v[1]) for (i, _), v in open_.items() if v[4] <= collect_limit})
+        if take:
+            got = base.agg(*[F.array_sort(F.collect_list(F.when(in_range(i, a, b), F.col(f"_x{i}")))).alias(f"v{j}")
+                             for j, (i, a, b) in enumerate(take)]).first()
+            vals = {key: got[f"v{j}"] for j, key in enumerate(take)}
+            for (i, r), v in open_.items():
+                key = (i, v[0], v[1])
+                if key in vals:
+                    v[3] = vals[key][r - v[2]]
+        open_ = {k: v for k, v in open_.items() if v[3] is None}
+        if not open_:
+            break
+        # larger ranges: one grouped count over `bins` equal-width bins each
+        intervals = sorted({(i, v[0], v[1]) for (i, _), v in open_.items()})
+        ids = {iv: j for j, iv in enumerate(intervals)}
+        # one codegen'd grouped count per interval (single pruned column each),
+        # unioned into one job
+        parts = []
+        for j, (i, a, b) in enumerate(intervals):
+            xi = F.col(f"_x{i}")
+            bn = F.least(F.floor((xi - F.lit(a)) / F.lit(b - a) * F.lit(float(bins))), F.lit(bins - 1)).cast("int")
+            parts.append(base.where(in_range(i, a, b)).groupBy(bn.alias("k"))
+                         .agg(F.count(F.lit(1)).alias("c"), F.min(xi).alias("mn"), F.max(xi).alias("mx"))
+                         .withColumn("j", F.lit(j)))
+        hist = reduce(lambda l, r: l.unionByName(r), parts).collect()
+        by_j: dict[int, list] = {}
+        for h in hist:
+            by_j.setdefault(h["j"], []).append((h["k"], h["c"], h["mn"], h["mx"]))
+        for (i, r), v in open_.items():
+            cum = v[2]
+            for k, c, mn, mx in sorted(by_j.get(ids[(i, v[0], v[1])], [])):
+                if r < cum + c:
+                    v[0], v[1], v[2], v[4] = mn, mx, cum, c
+                    break
+                cum += c
+    else:
+        raise RuntimeError("quantile bisection did not converge")
+    out = {}
+    for i, c in enumerate(cols):
+        if i not in plan:
+            out[c] = [None] * len(probs)
+            continue
+        res = []
+        for lo_r, hi_r, frac in plan[i]:
+            vlo, vhi = need[(i, lo_r)][3], need[(i, hi_r)][3]
+            res.append(vlo + frac * (vhi - vlo))
+        out[c] = res
     return out

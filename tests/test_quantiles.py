@@ -1,5 +1,5 @@
-"""Exact quantiles through the bucketed plan equal Spark's percentile,
-including a value holding a third of the rows and per-group quantiles."""
+"""Exact quantiles (histogram bisection and the grouped bucketed plan) equal
+Spark's percentile, including a value holding a third of the rows."""
 
 from pyspark.sql import functions as F
 
@@ -14,14 +14,14 @@ def _frame(spark):
         F.lit(None).cast("double").alias("e"))
 
 
-def test_bucketed_equals_percentile(spark, monkeypatch):
-    monkeypatch.setattr(QN, "PERCENTILE_ROWS", 10)
+def test_bisection_equals_percentile(spark):
     df = _frame(spark)
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    got = QN.exact_quantiles(df, ["x", "e"], probs, rows_per_bucket=97)
     exp = df.agg(F.percentile("x", F.array(*[F.lit(p) for p in probs]))).first()[0]
-    assert all(abs(a - b) < 1e-9 for a, b in zip(got["x"], exp))
-    assert got["e"] == [None] * len(probs)
+    for bins, limit in ((4, 10), (1024, 50_000), (2, 1)):   # several passes / one pass / deepest
+        got = QN.exact_quantiles(df, ["x", "e"], probs, bins=bins, collect_limit=limit)
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got["x"], exp)), (bins, limit)
+        assert got["e"] == [None] * len(probs)
 
 
 def test_grouped_quantiles(spark):
