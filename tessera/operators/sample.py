@@ -29,6 +29,7 @@ DEFAULT_ROWS_PER_BUCKET = 1 << 20
 # large; beyond it buckets grow instead (a task sorts its bucket with spill)
 MAX_BUCKETS = 50_000
 BROADCAST_ROWS = 200_000
+FINE_SKETCH = 256
 
 # Knuth's multiplicative hashing constant and the 2^32 modulus.
 HASH_MULT = 2654435761
@@ -91,8 +92,13 @@ def prefix_sums(df: DataFrame, order_cols: Sequence, values: dict[str, Column],
     totals = dict(totals or {})
     tmp = {f"_pv{i}": values[v] for i, v in enumerate(vnames)}
     d = df.withColumns(tmp)
+    fine = None
     if n_rows is None:
-        n_rows = d.count()
+        # count and a fine boundary sketch in ONE pass (bucket bounds only
+        # need to be roughly balanced; any monotone bucketing is exact)
+        r = d.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(
+            _q(order_cols[0]).cast("double"), [i / FINE_SKETCH for i in range(1, FINE_SKETCH)], 10_000).alias("q")).first()
+        n_rows, fine = r["n"], r["q"] or []
     B = min(MAX_BUCKETS, max(1, math.ceil(n_rows / rows_per_bucket)))
     pcols = [_q(c) for c in partition_cols]
     frame_end = -1 if exclusive else 0
@@ -103,9 +109,13 @@ def prefix_sums(df: DataFrame, order_cols: Sequence, values: dict[str, Column],
         return out.drop(*tmp)
     if B > 1:
         first = order_cols[0]
-        probs = [i / B for i in range(1, B)]
-        bounds = d.agg(F.percentile_approx(first.cast("double"), probs,
-                                           max(10_000, 4 * B)).alias("b")).first()["b"] or []
+        if fine is not None and B <= FINE_SKETCH:
+            bounds = [fine[min(len(fine) - 1, max(0, round(i * FINE_SKETCH / B) - 1))] for i in range(1, B)] \
+                if fine else []
+        else:
+            probs = [i / B for i in range(1, B)]
+            bounds = d.agg(F.percentile_approx(first.cast("double"), probs,
+                                               max(10_000, 4 * B)).alias("b")).first()["b"] or []
         splits = [-math.inf] + sorted(set(float(b) for b in bounds)) + [math.inf]
         d = d.withColumn("_pk", first.cast("double"))
         d = Bucketizer(splits=splits, inputCol="_pk", outputCol="_bkt", handleInvalid="keep").transform(d)

@@ -71,3 +71,18 @@ def test_categorical_branch_unknown_is_zeros_null_is_mode(spark):
     assert rows[2] == [0.0, 1.0]
     assert rows[3] == [0.0, 0.0]            # unknown -> zeros
     assert rows[4] == [1.0, 0.0]            # null -> mode ("b")
+
+
+def test_custom_stages_persist(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+    rows = [(i, float(i % 7), float((i * 3) % 11), ["x", "y", None][i % 3], i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c string, label int")
+    pipe = MD.build_pipeline("logistic", ["a", "b"], {"C": 1.0}, "label", None,
+                             reducer={"method": "lda"}, categorical=["c"])
+    model = pipe.fit(df)
+    path = str(tmp_path / "m")
+    model.write().overwrite().save(path)
+    back = PipelineModel.load(path)
+    p1 = [r.probability[1] for r in model.transform(df).orderBy("id").select("probability").collect()]
+    p2 = [r.probability[1] for r in back.transform(df).orderBy("id").select("probability").collect()]
+    assert p1 == p2
