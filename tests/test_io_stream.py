@@ -96,3 +96,29 @@ def test_windowed_metrics_match_batch(spark):
     total = m.agg(F.sum("n")).first()[0]
     assert total == spark.read.parquet(f"{SF001}/events.parquet").count()
     assert m.where("roc_auc < 0 OR roc_auc > 1").count() == 0
+
+
+def test_windowed_metrics_multi_batch_late_data(spark):
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    tmp = tempfile.mkdtemp()
+    src = os.path.join(tmp, "src")
+    d = F.dayofmonth("ts")
+    parts = [ev.where(d <= 10), ev.where((d > 10) & (d <= 20)), ev.where(d <= 3)]  # last one is late
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    os.makedirs(src)
+    for i, p in enumerate(parts):  # one small file per arriving batch
+        pq.write_table(pa.Table.from_pandas(p.toPandas(), preserve_index=False), os.path.join(src, f"{i:03d}.parquet"))
+
+    def scored(df):
+        prob = F.col("value") / (F.col("value") + 50.0)
+        return df.select("ts", (F.col("event_type") == "purchase").cast("int").alias("y"), prob.alias("p"),
+                         (prob >= 0.5).cast("int").alias("d"))
+    stream = SS.stream_source(spark, src, ev.schema, max_files_per_trigger=1)
+    got = SS.windowed_metrics(spark, scored(stream), "ts", "1 day", "1 day", "y", "d", "p",
+                              os.path.join(tmp, "sink"), os.path.join(tmp, "ck"))
+    on_time = parts[0].unionByName(parts[1])
+    exp = SS.finish_windowed_metrics(SS.windowed_parts(scored(on_time), "ts", "1 day", "1 day", "y", "d", "p"))
+    g = {(r.window_start, r.n, round(r.roc_auc, 12)) for r in got.collect()}
+    e = {(r.window_start, r.n, round(r.roc_auc, 12)) for r in exp.collect()}
+    assert g == e and len(g) == 20

@@ -123,3 +123,11 @@ def test_histogram_last_bin_closed(spark):
     df = spark.createDataFrame([(float(v),) for v in range(11)], "x double")
     rows = {r.bin: r["count"] for r in PR.histogram(df, "x", 5).collect()}
     assert sum(rows.values()) == 11 and rows[4] == 3
+
+
+def test_f_sf_reproduces_published_anova():
+    # published reference ANOVA rows (feature, F, p) with dof (1, n - 2),
+    # n = 10,000 rows minus the column's nulls (29 / 19 / 22)
+    assert abs(f_sf(0.8528299853856534, 1, 9969) - 0.3557753304234788) < 1e-9
+    assert abs(f_sf(1.9257785122451976, 1, 9979) - 0.16525202264503197) < 1e-9
+    assert abs(f_sf(3.87120658223427, 1, 9976) - 0.049148857774150366) < 1e-9
