@@ -108,7 +108,9 @@ def test_windowed_metrics_multi_batch_late_data(spark):
     import pyarrow.parquet as pq
     os.makedirs(src)
     for i, p in enumerate(parts):  # one small file per arriving batch
-        pq.write_table(pa.Table.from_pandas(p.toPandas(), preserve_index=False), os.path.join(src, f"{i:03d}.parquet"))
+        t = pa.Table.from_pandas(p.toPandas(), preserve_index=False)
+        t = t.set_column(t.schema.get_field_index("ts"), "ts", t["ts"].cast(pa.timestamp("us")))
+        pq.write_table(t, os.path.join(src, f"{i:03d}.parquet"))
 
     def scored(df):
         prob = F.col("value") / (F.col("value") + 50.0)
