@@ -102,6 +102,11 @@ def roc_curve(df: DataFrame, score: str, label: str, rows_per_bucket: int = 1 <<
                     _div0(tp, tp + fp).alias("precision"), _div0(tp, F.lit(P)).alias("recall"))
 
 
+def pr_curve(df: DataFrame, score: str, label: str, rows_per_bucket: int = 1 << 20) -> DataFrame:
+    """MT-4: precision-recall points (one per distinct threshold)."""
+    return roc_curve(df, score, label, rows_per_bucket).select("threshold", "precision", "recall")
+
+
 def classification_report(df: DataFrame, label: str, pred: str) -> DataFrame:
     """MT-5: per class precision / recall / f1 / support, plus macro and
     weighted averages: ``class, precision, recall, f1, support``."""

@@ -498,16 +498,23 @@ def tree_rules(model: PipelineModel) -> DataFrame:
     return spark.createDataFrame([(i, ln) for i, ln in enumerate(text.splitlines())], "line int, rule string")
 
 
-def feature_importance(model: PipelineModel, top: int | None = None) -> DataFrame:
-    """ML-9: tree importances, else |coefficient|."""
+def feature_importance(model: PipelineModel, top: int | None = None, data: DataFrame | None = None,
+                       key: str | None = None, label: str = "label") -> DataFrame:
+    """ML-9: tree importances, else |coefficient|, else (with ``data`` and
+    ``key``) permutation importance."""
     est = model.stages[-1]
     names = assembler_names(model)
     if hasattr(est, "featureImportances"):
         vals = est.featureImportances.toArray().tolist()
     elif hasattr(est, "coefficients"):
         vals = [abs(v) for v in est.coefficients.toArray().tolist()]
+    elif data is not None and key is not None:
+        feats = [n for n in names if "=" not in n]
+        perm = permutation_importance(model, data, feats, key, label)
+        perm = perm.select("feature", F.col("importance_mean").alias("importance"))
+        return perm.limit(top) if top else perm
     else:
-        raise ValueError("model has neither importances nor coefficients")
+        raise ValueError("model has neither importances nor coefficients; pass data and key")
     if len(vals) != len(names):
         names = [f"component_{i}" for i in range(len(vals))]
     spark = SparkSession.getActiveSession()

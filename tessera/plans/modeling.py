@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from tessera.operators import experiment as EX
 from tessera.operators import model as MD
-from tessera.operators import sample as SA
 from tessera.plans.registry import load, query
 from tessera.session import scratch_path
 from tessera.sources import tracking as TR
