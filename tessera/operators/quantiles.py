@@ -143,16 +143,16 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         # larger ranges: one grouped count over `bins` equal-width bins each
         intervals = sorted({(i, v[0], v[1]) for (i, _), v in open_.items()})
         ids = {iv: j for j, iv in enumerate(intervals)}
-        # one codegen'd grouped count per interval (single pruned column each),
-        # unioned into one job
-        parts = []
+        # ONE scan for all open intervals: each row yields (interval, bin, x)
+        # for the intervals it falls in (explode + null drop stay in codegen)
+        entries = []
         for j, (i, a, b) in enumerate(intervals):
             xi = F.col(f"_x{i}")
             bn = F.least(F.floor((xi - F.lit(a)) / F.lit(b - a) * F.lit(float(bins))), F.lit(bins - 1)).cast("int")
-            parts.append(base.where(in_range(i, a, b)).groupBy(bn.alias("k"))
-                         .agg(F.count(F.lit(1)).alias("c"), F.min(xi).alias("mn"), F.max(xi).alias("mx"))
-                         .withColumn("j", F.lit(j)))
-        hist = reduce(lambda l, r: l.unionByName(r), parts).collect()
+            entries.append(F.when(in_range(i, a, b), F.struct(F.lit(j).alias("j"), bn.alias("k"), xi.alias("v"))))
+        ex = base.select(F.explode(F.array(*entries)).alias("e")).where(F.col("e").isNotNull())
+        hist = ex.groupBy("e.j", "e.k").agg(F.count(F.lit(1)).alias("c"), F.min("e.v").alias("mn"),
+                                            F.max("e.v").alias("mx")).collect()
         by_j: dict[int, list] = {}
         for h in hist:
             by_j.setdefault(h["j"], []).append((h["k"], h["c"], h["mn"], h["mx"]))
