@@ -110,8 +110,11 @@ class FisherDirectionModel(Model, _FisherParams, DefaultParamsReadable, DefaultP
         w = self.getOrDefault(self.weights)
         mu = self.getOrDefault(self.center)
         x = vector_to_array(F.col(self.getInputCol()))
-        terms = F.zip_with(x, F.array(*[F.lit(float(a) * 1.0) for a in w]), lambda a, b: a * b)
-        proj = F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t) - F.lit(float(np.dot(w, mu)))
+        # explicit dot product: plain arithmetic stays in generated code
+        # (a zip_with / aggregate lambda would be interpreted per row)
+        dot = reduce(lambda a, b: a + b, [x[i] * F.lit(float(a)) for i, a in enumerate(w) if a != 0.0],
+                     F.lit(0.0))
+        proj = dot - F.lit(float(np.dot(w, mu)))
         return df.withColumn(self.getOutputCol(), array_to_vector(F.array(proj)))
 
 
@@ -566,13 +569,18 @@ def to_vector(df: DataFrame, cols: Sequence[str] | str, out: str = "_v") -> Data
 def standardize_vector(df: DataFrame, col: str = "_v", out: str = "_z", ddof: int = 0) -> DataFrame:
     """Column-wise (x - mean) / std with population std (sklearn); a zero std
     leaves the component centred."""
+    from pyspark.ml.feature import ElementwiseProduct
+    from pyspark.ml.linalg import Vectors
     s = StandardScaler(inputCol=col, outputCol="_zs", withMean=True, withStd=True).fit(df)
     z = s.transform(df)
     if ddof == 0:
+        # Spark scales by the sample std; rescale by sqrt(n / (n-1)) with a
+        # JVM vector product
         n = df.count()
         f = math.sqrt(n / (n - 1)) if n > 1 else 1.0
-        arr = F.transform(vector_to_array(F.col("_zs")), lambda x: x * F.lit(f))
-        z = z.withColumn(out, array_to_vector(arr)).drop("_zs")
+        d = len(s.mean)
+        z = ElementwiseProduct(scalingVec=Vectors.dense([f] * d), inputCol="_zs", outputCol=out) \
+            .transform(z).drop("_zs")
     else:
         z = z.withColumnRenamed("_zs", out)
     return z
