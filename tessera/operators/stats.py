@@ -188,6 +188,12 @@ def smooth(trend_df: DataFrame, x: str = "x", y: str = "y_mean", frac: float = 0
                         .otherwise(F.col("sy") / F.col("sw")).alias("fit"))
 
     cur = fit(pairs.withColumn("w", F.col("w0")))
+    if it:
+        # iterations chain joins: cut the lineage in the shared checkpoint
+        # folder (spark.checkpoint.dir) so a lost executor does not replay them
+        from tessera.session import checkpoint_dir
+        checkpoint_dir(t.sparkSession)
+        cur = cur.checkpoint()
     for _ in range(it):
         res = t.join(cur, t["r"] == cur["i"]).select(F.col("r").alias("j"), (F.col("y") - F.col("fit")).alias("e"))
         res = res.persist()
@@ -196,5 +202,6 @@ def smooth(trend_df: DataFrame, x: str = "x", y: str = "y_mean", frac: float = 0
             break
         u = F.col("e") / F.lit(6.0 * s)
         delta = res.select("j", F.when(F.abs(u) < 1, F.pow(1 - u * u, 2)).otherwise(F.lit(0.0)).alias("delta"))
-        cur = fit(pairs.join(delta, "j").withColumn("w", F.col("w0") * F.col("delta")))
+        cur = fit(pairs.join(delta, "j").withColumn("w", F.col("w0") * F.col("delta"))).checkpoint()
+        res.unpersist()
     return t.join(cur, t["r"] == cur["i"]).select("x", "y", F.col("fit").alias("smooth"))
