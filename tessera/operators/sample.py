@@ -74,8 +74,8 @@ def prefix_sums(df: DataFrame, order_cols: Sequence, values: dict[str, Column],
     name to a column that receives its total over the whole partition.
 
     ``order_cols`` must define a total order (end it with a unique key); its
-    first column must be numeric.  Plan (input passes: count, sketch,
-    bucket totals, final):
+    first column must be numeric.  Plan (input passes: count + boundary
+    sketch, bucket totals, final):
 
     1. ``B = min(ceil(N / rows_per_bucket), MAX_BUCKETS)`` range buckets from
        approximate quantiles of the first order column (B-1 numbers on the
@@ -127,18 +127,18 @@ def prefix_sums(df: DataFrame, order_cols: Sequence, values: dict[str, Column],
     tot_rows = tot.limit(BROADCAST_ROWS + 1).collect()
     tcols = {f"_tt{vnames.index(v)}": name for v, name in totals.items()}
     if len(tot_rows) <= BROADCAST_ROWS:
-        # offsets on the driver: the table has groups x B rows
-        acc, run = [], {}
-        part_tot = {}
+        # offsets on the driver: the table has groups x B rows.  Walk each
+        # partition's buckets in order; the running sum before a bucket is its
+        # offset, the final sum is the partition total.
         npc = len(partition_cols)
+        offsets, running = [], {}
         for r in sorted(tot_rows, key=lambda r: (tuple((x is None, x) for x in r[:npc]), r["_bkt"])):
-            pk = tuple(r[k] for k in partition_cols)
-            prev = run.get(pk, [0] * len(vnames))
-            acc.append((*pk, r["_bkt"], *prev))
-            run[pk] = [prev[i] + (r[f"_pt{i}"] or 0) for i in range(len(vnames))]
-        for pk, s_ in run.items():
-            part_tot[pk] = s_
-        rows = [(*a, *[part_tot[tuple(a[:len(partition_cols)])][vnames.index(v)] for v in totals]) for a in acc]
+            pk = tuple(r[:npc])
+            before = running.get(pk, [0] * len(vnames))
+            offsets.append((pk, r["_bkt"], before))
+            running[pk] = [before[i] + (r[f"_pt{i}"] or 0) for i in range(len(vnames))]
+        rows = [(*pk, b, *before, *[running[pk][vnames.index(v)] for v in totals])
+                for pk, b, before in offsets]
         schema = [f for f in tot.schema.fields if f.name in keys]
         from pyspark.sql.types import StructField, StructType
         vtypes = {f"_pt{i}": tot.schema[f"_pt{i}"].dataType for i in range(len(vnames))}
