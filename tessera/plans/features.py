@@ -73,6 +73,19 @@ def factorize(spark, sf):
     return C.factorize(o, "o_orderpriority", key="o_orderkey")
 
 
+@query("fe07_factorize_frequency", """
+WITH d AS (SELECT o_orderstatus AS v, count(*) AS n FROM orders
+           WHERE o_orderstatus IS NOT NULL GROUP BY o_orderstatus),
+r AS (SELECT v, row_number() OVER (ORDER BY n DESC, v) - 1 AS code FROM d)
+SELECT o.o_orderkey, o.o_orderstatus, CAST(coalesce(r.code, -1) AS INTEGER) AS o_orderstatus_encoded
+FROM orders o LEFT JOIN r ON o.o_orderstatus = r.v
+""")
+def factorize_frequency(spark, sf):
+    """FE-7 with codes by descending frequency (ties alphabetical)."""
+    o = load(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return C.factorize(o, "o_orderstatus", key="o_orderkey", order="frequency")
+
+
 @query("fe08_one_hot", """
 SELECT o_orderkey,
   coalesce(CAST(o_orderstatus = 'F' AS INTEGER), 0) AS cat_o_orderstatus_F,
