@@ -320,15 +320,19 @@ def cross_validate(pipeline: Pipeline, df: DataFrame, key: str, label: str = "la
 
 
 def arena(models: Mapping[str, Pipeline], df: DataFrame, key: str, label: str = "label",
-          fold_col: str = "fold", parallelism: int = 1) -> tuple[DataFrame, dict]:
-    """CV-2: CV of every model; returns (ranking table, {name: oof})."""
+          fold_col: str = "fold", parallelism: int = 2, fold_parallelism: int = 5) -> tuple[DataFrame, dict]:
+    """CV-2: CV of every model (``parallelism`` models at a time, each with
+    ``fold_parallelism`` concurrent fold fits); returns (ranking table,
+    {name: oof})."""
     df = _persist(df)
-    res, oofs = [], {}
-    for name, pipe in models.items():
-        m, oof = cross_validate(pipe, df, key, label, fold_col, name, parallelism)
-        res.append(m)
-        oofs[name] = oof
-    fold_metrics = reduce(lambda a, b: a.unionByName(b), res)
+
+    def one(item):
+        name, pipe = item
+        return name, cross_validate(pipe, df, key, label, fold_col, name, fold_parallelism)
+    with ThreadPoolExecutor(max(1, parallelism)) as ex:
+        done = list(ex.map(one, list(models.items())))
+    fold_metrics = reduce(lambda a, b: a.unionByName(b), [m for _, (m, _) in done])
+    oofs = {name: oof for name, (_, oof) in done}
     ranking = SA.rank_models(MT.aggregate_folds(fold_metrics, by=["model"]), "cv_roc_auc_mean")
     return ranking, oofs
 
