@@ -124,3 +124,19 @@ def test_windowed_metrics_multi_batch_late_data(spark):
     g = {(r.window_start, r.n, round(r.roc_auc, 12)) for r in got.collect()}
     e = {(r.window_start, r.n, round(r.roc_auc, 12)) for r in exp.collect()}
     assert g == e and len(g) == 20
+
+
+def test_incremental_csv_ingest_picks_up_new_files_only(spark):
+    tmp = tempfile.mkdtemp()
+    src = os.path.join(tmp, "src")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.csv"), "w") as f:
+        f.write("id,name\n1,x\n2,y\n")
+    dst, ck = os.path.join(tmp, "dst"), os.path.join(tmp, "ck")
+    opts = {"header": "true"}
+    r1 = SS.ingest_incremental(spark, src, dst, "id int, name string", ck, fmt="csv", options=opts)
+    with open(os.path.join(src, "b.csv"), "w") as f:
+        f.write("id,name\n3,z\n")
+    r2 = SS.ingest_incremental(spark, src, dst, "id int, name string", ck, fmt="csv", options=opts)
+    assert (r1["rows"], r2["rows"]) == (2, 1)
+    assert sorted(r.id for r in spark.read.parquet(dst).collect()) == [1, 2, 3]
