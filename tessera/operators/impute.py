@@ -16,6 +16,15 @@ def _q(c):
     return F.col(f"`{c}`")
 
 
+def _fill_type(df: DataFrame, c: str):
+    """Type of a median-filled column: integral columns become double (a
+    median may fall between two integers; pandas turns such a column into
+    float as well), other numeric types keep theirs."""
+    from pyspark.sql.types import DoubleType, IntegralType
+    t = df.schema[c].dataType
+    return DoubleType() if isinstance(t, IntegralType) else t
+
+
 def impute_constant(df: DataFrame, cols: Sequence[str], value, blank_as_null: bool = False) -> DataFrame:
     """IS-1: fill nulls (and ``""`` when ``blank_as_null``) with a constant."""
     out = {}
@@ -46,7 +55,7 @@ def impute_median(df: DataFrame, cols: Sequence[str], approx: bool = False,
     ``medians`` from a training table is given)."""
     cols = [c for c in cols if c in df.columns]
     medians = medians if medians is not None else fit_medians(df, cols, approx)
-    return df.withColumns({c: F.coalesce(_q(c), F.lit(medians[c]).cast(df.schema[c].dataType))
+    return df.withColumns({c: F.coalesce(_q(c).cast(_fill_type(df, c)), F.lit(medians[c]).cast(_fill_type(df, c)))
                            for c in cols if medians.get(c) is not None})
 
 
@@ -93,8 +102,8 @@ def impute_group_median(df: DataFrame, group: str, target: str, approx: bool = F
     stats = stats if stats is not None else group_medians(df, group, target, approx)
     side = F.broadcast(stats) if stats.count() <= BROADCAST_GROUPS else stats
     j = df.join(side, _q(group) == F.col("_g"), "left")
-    return j.withColumn(target, F.coalesce(_q(target), F.col("_gm").cast(df.schema[target].dataType))) \
-            .drop("_g", "_gm")
+    t = _fill_type(df, target)
+    return j.withColumn(target, F.coalesce(_q(target).cast(t), F.col("_gm").cast(t))).drop("_g", "_gm")
 
 
 def fit_standardize(df: DataFrame, cols: Sequence[str], ddof: int = 1) -> dict[str, tuple]:

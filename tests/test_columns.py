@@ -88,3 +88,10 @@ def test_decide_and_risk_factors(spark):  # PF-10, PF-11
 def test_round_half_even(spark):  # PF-12
     df = spark.createDataFrame([(0.125,), (0.135,)], "x double")
     assert [r[0] for r in df.select(C.round_half_even("x", 2)).collect()] == [0.12, 0.14]
+
+
+def test_median_fill_of_integer_column_is_double(spark):
+    from tessera.operators import impute as IM
+    df = spark.createDataFrame([(1,), (2,), (3,), (4,), (None,)], "x int")
+    out = [r[0] for r in IM.impute_median(df, ["x"]).collect()]
+    assert out[-1] == 2.5 and dict(IM.impute_median(df, ["x"]).dtypes)["x"] == "double"
