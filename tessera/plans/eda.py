@@ -64,6 +64,17 @@ def pivot_label_rate(spark, sf):
     return PV.pivot_mean(d, "l_linestatus", "qty_bin", "label", values=QTY_LABELS)
 
 
+@query("pf12_round_pivot", f"""
+SELECT l_linestatus, {", ".join(f"round_even({lb}, 4) AS {lb}" for lb in QTY_LABELS)}
+FROM ({PIVOT_SQL}) p
+""")
+def round_pivot(spark, sf):
+    """PF-12: result tables rounded half-to-even to 4 places (pandas)."""
+    from tessera.functions.columns import round_half_even
+    p = pivot_label_rate(spark, sf)
+    return p.select("l_linestatus", *[round_half_even(lb, 4).alias(lb) for lb in QTY_LABELS])
+
+
 # ----------------------------------------------------------- profiling --
 
 @query("ag01_table_profile", union_all([

@@ -184,3 +184,62 @@ SELECT m.*, c.tp, c.fp, c.tn, c.fn FROM ({metrics_sql(SCORED_SQL, (), MO_COLS)})
 """)
 def overall_kpis(spark, sf):
     return MO.overall_kpis(scored_events(spark, sf), "label", "pred", "prob")
+
+
+# ------------------------------------------------ vote arithmetic (CV-5/6) --
+
+def _two_scorers(spark, sf):
+    """Two deterministic 'models' over the folded events: the value score and
+    a score from the JSON property ``k``; out-of-fold tables as the model
+    arena produces them (key, fold, label, score)."""
+    d = folded_events(spark, sf)
+    ev = load(spark, sf, "events").select("event_id", F.coalesce(
+        F.get_json_object("props", "$.k").cast("double"), F.lit(0.0)).alias("k"))
+    d = d.join(ev, "event_id")
+    a = d.select("event_id", "fold", "label", F.col("prob").alias("score"))
+    b = d.select("event_id", "fold", "label", (F.col("k") / (F.col("k") + F.lit(50.0))).alias("score"))
+    return {"value": a, "k": b}
+
+
+VOTE_SQL = f"""
+(SELECT s.event_id, s.fold, s.label, w_value, w_k,
+        (w_value * s.prob + w_k * (coalesce(CAST(json_extract_string(e.props, '$.k') AS DOUBLE), 0.0)
+          / (coalesce(CAST(json_extract_string(e.props, '$.k') AS DOUBLE), 0.0) + 50.0))) / (w_value + w_k) AS prob
+ FROM {FOLDED_SQL} s JOIN events e ON s.event_id = e.event_id,
+      (SELECT a.w AS w_value, b.w AS w_k FROM (SELECT unnest([1, 2, 3, 4, 5]) AS w) a,
+                                            (SELECT unnest([1, 2, 3, 4, 5]) AS w) b) ws)
+"""
+VOTE_SCORED = f"(SELECT *, CASE WHEN prob >= 0.5 THEN 1 ELSE 0 END AS pred FROM {VOTE_SQL} v0)"
+VOTE_RESULT_SQL = f"""
+SELECT w_value, w_k, {", ".join(f"avg({m}) AS cv_{m}_mean, stddev_samp({m}) AS cv_{m}_std" for m in MT.METRICS)}
+FROM ({metrics_sql(VOTE_SCORED, ["w_value", "w_k", "fold"])}) f GROUP BY w_value, w_k
+"""
+
+
+@query("cv05_vote_arithmetic", VOTE_RESULT_SQL)
+def vote_arithmetic(spark, sf):
+    """CV-5 on deterministic scores: every weight vector 1..5 x 1..5 of the
+    weighted probability mean, evaluated per fold in one job."""
+    from tessera.operators.model import soft_vote
+    return soft_vote(_two_scorers(spark, sf), "event_id")
+
+
+@query("cv06_select_best", f"""
+SELECT * FROM ({VOTE_RESULT_SQL}) r ORDER BY cv_roc_auc_mean DESC, w_value, w_k LIMIT 1
+""")
+def select_best(spark, sf):
+    """CV-6: the best weight vector by mean CV AUC (ties by weights)."""
+    from tessera.operators.model import soft_vote
+    v = soft_vote(_two_scorers(spark, sf), "event_id")
+    return v.orderBy(F.desc("cv_roc_auc_mean"), "w_value", "w_k").limit(1)
+
+
+@query("wn03_rank_batches", f"""
+SELECT *, CAST(row_number() OVER (ORDER BY roc_auc DESC NULLS LAST, day) AS INTEGER) AS rank
+FROM ({metrics_sql(SCORED_SQL, ["day"], MO_COLS)}) b
+""")
+def rank_batches(spark, sf):
+    """WN-3: ranking table (best first, ties by name) over the daily batch
+    metrics."""
+    m = MO.batch_metrics(scored_events(spark, sf), "day", "label", "pred", "prob")
+    return SA.rank_models(m, "roc_auc", name="day")
