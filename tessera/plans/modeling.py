@@ -168,6 +168,38 @@ def fisher(spark, sf):
     return MD.fisher_projection(_emb(spark, sf), "embedding", "label", "vec_id")
 
 
+@query("ml12_fisher_2d", """
+WITH d AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
+                  l_quantity AS a, l_discount AS b FROM lineitem),
+c AS (SELECT label, count(*) AS n, avg(a) AS ma, avg(b) AS mb, covar_samp(a, a) AS caa,
+             covar_samp(a, b) AS cab, covar_samp(b, b) AS cbb FROM d GROUP BY label),
+t AS (SELECT CAST(sum(n) AS DOUBLE) AS N, CAST(count(*) AS DOUBLE) AS K, sum(n * ma) / sum(n) AS mua,
+             sum(n * mb) / sum(n) AS mub, sum((n - 1) * caa) AS s11, sum((n - 1) * cab) AS s12,
+             sum((n - 1) * cbb) AS s22,
+             max(CASE WHEN label = 1 THEN ma END) - max(CASE WHEN label = 0 THEN ma END) AS da,
+             max(CASE WHEN label = 1 THEN mb END) - max(CASE WHEN label = 0 THEN mb END) AS db FROM c),
+w0 AS (SELECT *, (s22 * da - s12 * db) / (s11 * s22 - s12 * s12) AS wa,
+              (s11 * db - s12 * da) / (s11 * s22 - s12 * s12) AS wb FROM t),
+w1 AS (SELECT *, sqrt((wa * wa * s11 + 2 * wa * wb * s12 + wb * wb * s22) / (N - K)) AS sc FROM w0),
+w AS (SELECT mua, mub, wa / sc * (CASE WHEN abs(wa / sc) > 1e-12 THEN sign(wa) ELSE sign(wb) END) AS ua,
+             wb / sc * (CASE WHEN abs(wa / sc) > 1e-12 THEN sign(wa) ELSE sign(wb) END) AS ub FROM w1)
+SELECT l_orderkey, l_linenumber, label, (a - mua) * ua + (b - mub) * ub AS lda_0 FROM d, w
+""")
+def fisher_2d(spark, sf):
+    """ML-12 in its two-feature form (exact twin): Fisher direction of the
+    returned-line label over quantity and discount, unit pooled
+    within-class variance, first component positive."""
+    li = load(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("label"),
+        "l_quantity", "l_discount")
+    from tessera.operators.model import FisherDirection, to_vector
+    from pyspark.ml.functions import vector_to_array
+    d = to_vector(li, ["l_quantity", "l_discount"])
+    m = FisherDirection(inputCol="_v", outputCol="_l", labelCol="label").fit(d)
+    return m.transform(d).select("l_orderkey", "l_linenumber", "label",
+                                 vector_to_array(F.col("_l"))[0].alias("lda_0"))
+
+
 @query("ml13_kmeans_scan")
 def kmeans_scan(spark, sf):
     return MD.kmeans_scan(_emb(spark, sf), "embedding", (2, 3, 4, 5, 6), n_init=3)
