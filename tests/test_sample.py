@@ -79,3 +79,15 @@ def test_rolling_mean_min_periods(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 3.0), (3, 5.0), (4, 7.0)], "b int, m double")
     out = [r.m_ma for r in SA.rolling_mean(df, ["m"], "b", 3).orderBy("b").collect()]
     assert out == [1.0, 2.0, 3.0, 5.0]
+
+
+def test_option_paths(spark):
+    from tessera.operators import profile as PR
+    df = _keys(spark)
+    x = SA.sample_n(df, 50, "id", hash="xxhash")
+    assert x.count() == 50 and x.select("id").distinct().count() == 50
+    s = SA.stratified_split(df, "label", "id", 0.2, exact=False)
+    share = s.agg(F.avg(F.col("is_test").cast("int"))).first()[0]
+    assert abs(share - 0.2) < 0.03
+    d = PR.describe(df.withColumn("v", F.col("id") * 1.0), ["v"], approx=True).first()
+    assert abs(d.p50 - 2500) < 60 and d["count"] == 5000
