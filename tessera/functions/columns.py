@@ -207,7 +207,6 @@ def factorize(df: DataFrame, col: str, key: str, new_col: str | None = None,
     c = F.col(f"`{col}`")
     d = df.where(c.isNotNull()).groupBy(c.alias("_v")).agg(
         F.min(F.col(f"`{key}`")).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
     from tessera.operators.sample import ordered_index
     n_distinct = d.count()
     if order == "first":
@@ -217,8 +216,10 @@ def factorize(df: DataFrame, col: str, key: str, new_col: str | None = None,
         d = ordered_index(d.withColumn("_negn", -F.col("_n")), ["_negn", "_v"], name="_code",
                           n_rows=n_distinct).select("_v", "_code")
     elif order == "alpha":
-        # the ranking window runs over the dictionary (distinct values), not rows
-        d = d.select("_v", (F.row_number().over(Window.orderBy("_v")) - 1).alias("_code"))
+        # distinct values ranked by value: one bounded window up to a bucket's
+        # size, range-bucketed beyond it
+        from tessera.operators.sample import string_rank
+        d = string_rank(d, "_v", name="_code", n_rows=n_distinct).select("_v", "_code")
     else:
         raise ValueError(order)
     side = F.broadcast(d) if n_distinct <= broadcast_limit else d

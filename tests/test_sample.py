@@ -91,3 +91,17 @@ def test_option_paths(spark):
     assert abs(share - 0.2) < 0.03
     d = PR.describe(df.withColumn("v", F.col("id") * 1.0), ["v"], approx=True).first()
     assert abs(d.p50 - 2500) < 60 and d["count"] == 5000
+
+
+def test_string_rank_bucketed(spark):
+    df = spark.range(0, 3000, 1, 5).select(F.format_string("k%05d", (F.col("id") * 7919) % 3000).alias("s"))
+    got = SA.string_rank(df, "s", rows_per_bucket=200).select("s", "_rank")
+    exp = df.withColumn("_rank", F.row_number().over(Window.orderBy("s")) - 1)
+    assert got.exceptAll(exp).count() == 0 and got.count() == 3000
+
+
+def test_factorize_alpha(spark):
+    from tessera.functions import columns as C
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, "c"), (4, None)], "k int, c string")
+    out = {r.k: r.c_encoded for r in C.factorize(df, "c", key="k", order="alpha").collect()}
+    assert out == {1: 1, 2: 0, 3: 2, 4: -1}
