@@ -55,3 +55,22 @@ def test_guard_detects_an_unpartitioned_window(spark):
     from pyspark.sql import Window
     d = _frame(spark).withColumn("r", F.row_number().over(Window.orderBy("id")))
     assert _rows_through_one_partition(_plan(d))
+
+
+def test_row_scale_operators_have_no_single_partition_rows(spark):
+    from tessera.functions import columns as C
+    from tessera.operators import impute as IM
+    from tessera.operators import quality as QC
+    df = _frame(spark).withColumn("x", F.col("id") * 0.5)
+    suite = {"column_expectations": {"a": [{"type": "expect_column_values_to_be_in_set",
+                                            "kwargs": {"value_set": ["1", "2"]}}],
+                                     "x": [{"type": "expect_column_values_to_be_between",
+                                            "kwargs": {"min_value": 0, "max_value": 10}}]}}
+    frames = [QC.run_suite(df, suite), PR.describe(df, ["x", "score"]), PR.correlation_matrix(df, ["x", "score"]),
+              ST.anova_f(df, ["x"], "a"), ST.normality_test(df, ["x"]), PR.table_profile(df),
+              IM.impute_group_median(df, "a", "x"), C.one_hot(df, "a"),
+              MT.binary_metrics(df.withColumn("y", (F.col("label") == 0).cast("int"))
+                                  .withColumn("p", (F.col("score") > 0.5).cast("int")), "y", "p", "score",
+                                by=["a"], rows_per_bucket=100)]
+    for d in frames:
+        assert not _rows_through_one_partition(_plan(d)), _plan(d)[:3000]
