@@ -9,12 +9,18 @@ regularised incomplete beta and gamma functions.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+# Ship this module's code with the UDFs (pickle by value): Python workers
+# then need only numpy / pandas, not this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _EPS = 1e-15
 _TINY = 1e-300
 _MAXIT = 500
