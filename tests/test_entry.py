@@ -20,3 +20,24 @@ def test_flagship_plan_prunes_and_pushes(spark):
     plan = E.queries()["io04_read_parquet"](spark, SF01)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_shipdate), GreaterThanOrEqual(l_shipdate" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double,l_extendedprice:double" in plan
+
+
+def test_udf_runs_when_workers_cannot_import_the_package(tmp_path):
+    """The p-value UDFs are shipped by value: a driver started in another
+    folder (workers without the package on their path) still computes them."""
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import importlib.util\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled','false').getOrCreate()\n"
+        f"spec = importlib.util.spec_from_file_location('e', {repr(os.path.join(repo, '__spark_entry__.py'))})\n"
+        "m = importlib.util.module_from_spec(spec); spec.loader.exec_module(m)\n"
+        "r = m.queries()['ag13_anova'](s, '/root/testdata/sf0.001').collect()\n"
+        "print('PVAL', all(0 <= x.p_value <= 1 for x in r))\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), env=env, capture_output=True,
+                         text=True, timeout=600)
+    assert "PVAL True" in out.stdout, out.stderr[-2000:]
