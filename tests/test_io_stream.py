@@ -73,6 +73,10 @@ def test_tracking_tables(spark):
     perf = TR.model_performance(spark, base, "risk").first()
     assert (perf.version, perf.roc_auc, perf.recall) == (2, 0.7, 0.4)
     assert TR.load_model(spark, base, "risk", 1) is not None
+    latest = TR.load_model(spark, base, "risk")
+    assert latest.transform(df).columns == ["x", "v"]
+    runs = TR.read_runs(spark, base).collect()
+    assert sorted(r.metrics["roc_auc"] for r in runs) == [0.6, 0.7]
 
 
 def test_incremental_ingest_idempotent(spark):
