@@ -251,8 +251,8 @@ def rank_models(spark, sf):
     return MD.select_best(ranking)
 
 
-@query("fe09_categorical_pipeline")
-def categorical_pipeline(spark, sf):
+@query("fe09_categorical_branch")
+def categorical_branch(spark, sf):
     """FE-9 / IS-8: numeric + categorical (event type of the previous
     feature set: the ``props`` bucket) branches in one pipeline; the weights
     of the fitted linear model name every one-hot slot."""
