@@ -8,7 +8,6 @@ Spark would keep a null group).
 
 from __future__ import annotations
 
-import math
 from typing import Sequence
 
 from pyspark.sql import DataFrame
@@ -61,24 +60,3 @@ def interaction_curve(df: DataFrame, x_bin: str, hue: str, facet: str, value: st
                 F.stddev_samp(_q(value)).alias("std")))
     half = F.lit(z) * F.col("std") / F.sqrt(F.col("n").cast("double"))
     return g.withColumns({"ci_lo": F.col("mean") - half, "ci_hi": F.col("mean") + half})
-
-
-def normal_quantile(p: float) -> float:
-    """Inverse standard normal CDF (Acklam's rational approximation)."""
-    a = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
-         1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00]
-    b = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
-         6.680131188771972e+01, -1.328068155288572e+01]
-    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
-         -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00]
-    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
-         3.754408661907416e+00]
-    lo = 0.02425
-    if p < lo:
-        t = math.sqrt(-2 * math.log(p))
-        return (((((c[0]*t+c[1])*t+c[2])*t+c[3])*t+c[4])*t+c[5]) / ((((d[0]*t+d[1])*t+d[2])*t+d[3])*t+1)
-    if p > 1 - lo:
-        return -normal_quantile(1 - p)
-    t = p - 0.5
-    r = t * t
-    return (((((a[0]*r+a[1])*r+a[2])*r+a[3])*r+a[4])*r+a[5])*t / (((((b[0]*r+b[1])*r+b[2])*r+b[3])*r+b[4])*r+1)
