@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, line_runs, packing, placement, quality_rules, secret_scan
+from tessera.llm import decontaminate, line_runs, packing, placement, quality_rules, secret_scan, simhash_dedup, toxicity
 from tessera.llm.common import load, sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,11 +30,29 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def fold(doc_id: str = "doc_id"):
+    """crc32 of the id as text, modulo 5; a null id counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(5))
+
+
+@query("op1_dictionary_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(fold() != 0))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted", "n_windows", "n_toxic_windows")
+
+
 @query("op3_power_of_two_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_power_of_two(load(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
 
 
+@query("op4_gray_simhash")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.digest(simhash_dedup.simhash_dedup(load(spark, sf_dir, "documents")))
+
+
 @query("op5_line_runs", """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
