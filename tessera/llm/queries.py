@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, line_runs, packing, placement, quality_rules, secret_scan, simhash_dedup, toxicity
+from tessera.llm import decontaminate, line_runs, packing, placement, prefix_free, quality_rules, secret_scan, simhash_dedup, toxicity
 from tessera.llm.common import load, sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id")
     return placement.place(docs, ["doc_id"], placement.shard_names(64))
+
+
+@query("op10_prefix_free_repeats")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_free.remove_repeats(load(spark, sf_dir, "documents"), with_kept=False)
