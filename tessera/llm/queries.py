@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, line_runs, packing, placement, prefix_free, quality_rules, secret_scan, simhash_dedup, toxicity
+from tessera.llm import decontaminate, line_runs, ngram_model, packing, placement, prefix_free, quality_rules, secret_scan, simhash_dedup, toxicity
 from tessera.llm.common import load, sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted", "n_windows", "n_toxic_windows")
 
 
+@query("op2_elias_fano_ngrams")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = ngram_model.NgramModel(load(spark, sf_dir, "documents"), fold() != 1)
+    out = model.score()
+    return out.select("doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op3_power_of_two_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_power_of_two(load(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
