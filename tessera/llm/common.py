@@ -50,6 +50,11 @@ def text_of(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def row_key(text: Column) -> Column:
+    """Hash of a row's text; with the id it tells rows that share an id apart."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only.  ``lower`` does exactly that on ASCII text and is
     much faster than ``translate``; other letters must stay as they are."""

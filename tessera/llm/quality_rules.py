@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE_RUN, SPACES, covered, split_words, stage, text_of
+from tessera.llm.common import SPACE_RUN, SPACES, covered, row_key, split_words, stage, text_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -169,14 +169,15 @@ def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang",
 def quality_rules(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
                   stratum: str = "lang", max_false_rejection: float = 0.01, delta: float = 0.05,
                   rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Measures and verdict per row of ``docs``.
+    """Measures and verdict per row of ``docs``, with ``rk``, the text's hash.
 
     ``labels`` has ``doc_id`` and ``quality`` (1 good).  Ids labelled more than
     once are good if any label says so; rows of ``docs`` that repeat an id count
     once each.  A null stratum is a stratum of its own, null ids match no label,
     null texts have no words and fail.  Empty tables give an empty result."""
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(stratum).alias("lang"), F.col(text).alias("text"))
-    m = stage(measures(d), "quality-measures")
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(stratum).alias("lang"), F.col(text).alias("text"),
+                    row_key(F.col(text)).alias("rk"))
+    m = stage(measures(d, keep=("doc_id", "lang", "rk")), "quality-measures")
     ids = labels.where("quality = 1").select(F.col(doc_id).alias("_id")).distinct()
     good = m.where("NOT base_failed").join(ids, m["doc_id"] == F.col("_id"), "left_semi")
     cut = stage(certified_cutoffs(good, "lang", rules, max_false_rejection, delta), "quality-cutoffs")
