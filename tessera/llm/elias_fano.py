@@ -66,10 +66,10 @@ class EliasFano:
     def successor(self, x: np.ndarray) -> np.ndarray:
         """Index of the first value not below x (n if there is none)."""
         x = x.astype(U)
-        h = (x >> U(self.low_bits)).astype(np.int64)
+        h = x >> U(self.low_bits)
         out = np.full(len(x), self.n, np.int64)
-        inside = np.flatnonzero(h < self.n_high) if self.n else np.empty(0, np.int64)
-        h, low = h[inside], x[inside] & U((1 << self.low_bits) - 1)
+        inside = np.flatnonzero(h < U(self.n_high))
+        h, low = h[inside].astype(np.int64), x[inside] & U((1 << self.low_bits) - 1)
         zeros = ~self.high
         end = self._select(h, self.zeros, zeros) - h
         begin = np.where(h > 0, self._select(np.maximum(h - 1, 0), self.zeros, zeros) + 1 - h, 0)
