@@ -37,6 +37,7 @@ from pyspark.ml.feature import PCA, Imputer, RobustScaler, StandardScaler, Vecto
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasLabelCol, HasOutputCol
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -242,16 +243,25 @@ def categorical_stages(cols: Sequence[str], drop_first: bool = True) -> tuple[li
 def build_pipeline(model: str, features: Sequence[str], params: Mapping | None = None,
                    label: str = "label", weight_col: str | None = None, scaling: str | None = "standard",
                    reducer: Mapping | None = None, seed: int = 42, n_train: float | None = None,
-                   categorical: Sequence[str] = (), drop_first: bool = True) -> Pipeline:
+                   categorical: Sequence[str] = (), drop_first: bool = True,
+                   scale_columns: Sequence[str] | None = None) -> Pipeline:
     """ML-1 / IS-8: numeric branch (median imputation -> assembly ->
-    scaling) in parallel with the categorical branch of
+    scaling of ``scale_columns``, all features by default; the others follow
+    unscaled) in parallel with the categorical branch of
     :func:`categorical_stages`, concatenated, -> reducer -> estimator (class
     from the allow-list registry, defaults + overrides, seed injected where
     supported)."""
     cls, defaults = MODEL_REGISTRY[model]
-    imp = [f"{c}__imp" for c in features]
-    stages = [Imputer(strategy="median", inputCols=list(features), outputCols=imp, relativeError=1e-4),
-              VectorAssembler(inputCols=imp, outputCol="_x_raw", handleInvalid="keep")]
+    scaled = list(features) if scale_columns is None else [c for c in features if c in set(scale_columns)]
+    plain = [c for c in features if c not in set(scaled)]
+    features = scaled + plain if scaling in ("standard", "robust") else list(features)
+    if not scaled:
+        scaling = None
+    if scaling not in ("standard", "robust"):
+        scaled, plain = list(features), []
+    stages = [Imputer(strategy="median", inputCols=list(features), outputCols=[f"{c}__imp" for c in features],
+                      relativeError=1e-4),
+              VectorAssembler(inputCols=[f"{c}__imp" for c in scaled], outputCol="_x_raw", handleInvalid="keep")]
     cur = "_x_raw"
     if scaling == "standard":
         stages.append(StandardScaler(inputCol=cur, outputCol="_x_scaled", withMean=True, withStd=True))
@@ -259,6 +269,10 @@ def build_pipeline(model: str, features: Sequence[str], params: Mapping | None =
     elif scaling == "robust":
         stages.append(RobustScaler(inputCol=cur, outputCol="_x_scaled", withCentering=True, withScaling=True))
         cur = "_x_scaled"
+    if plain:
+        stages.append(VectorAssembler(inputCols=[cur, *[f"{c}__imp" for c in plain]], outputCol="_x_num",
+                                      handleInvalid="keep"))
+        cur = "_x_num"
     if categorical:
         cat_stages, cat_out = categorical_stages(categorical, drop_first)
         stages += cat_stages
@@ -281,7 +295,21 @@ def build_pipeline(model: str, features: Sequence[str], params: Mapping | None =
         kw["seed"] = seed
     est.setParams(**{k: v for k, v in kw.items() if est.hasParam(k)})
     stages.append(est)
-    return Pipeline(stages=stages)
+    pipe = Pipeline(stages=stages)
+    if "C" in (params or {}) and est.hasParam("regParam"):
+        pipe.inverse_strength = float(params["C"])
+    return pipe
+
+
+def fit_pipeline(pipe: Pipeline, df: DataFrame, n: int | None = None) -> PipelineModel:
+    """Fit; a pipeline built with ``C`` gets ``regParam = 1 / (C n)`` for the n
+    rows it is fitted on, so that a fold and the refit share one penalty."""
+    c = getattr(pipe, "inverse_strength", None)
+    if c is None:
+        return pipe.fit(df)
+    *stages, est = pipe.getStages()
+    n = df.count() if n is None else n
+    return Pipeline(stages=[*stages, est.copy({est.regParam: 1.0 / (c * max(1, n))})]).fit(df)
 
 
 def positive_score(pred: DataFrame) -> Column:
@@ -297,16 +325,23 @@ def _persist(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A result table (one row per model, fold or weight vector) computed now,
+    so that what it was computed from can be released."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def cross_validate(pipeline: Pipeline, df: DataFrame, key: str, label: str = "label",
                    fold_col: str = "fold", name: str = "model", parallelism: int = 5,
                    folds: Sequence[int] | None = None) -> tuple[DataFrame, DataFrame]:
     """CV-1: fit on the other folds, predict the held-out fold, for every
     fold.  Returns (fold metrics, out-of-fold predictions ``key, fold,
     label, score, prediction``).  Stages are fitted on training rows only."""
-    folds = folds if folds is not None else sorted(r[0] for r in df.select(fold_col).distinct().collect())
+    sizes = {r[0]: r["count"] for r in df.groupBy(fold_col).count().collect()}
+    folds = folds if folds is not None else sorted(sizes)
 
     def one(f):
-        m = pipeline.fit(df.where(F.col(fold_col) != f))
+        m = fit_pipeline(pipeline, df.where(F.col(fold_col) != f), sum(sizes.values()) - sizes[f])
         p = m.transform(df.where(F.col(fold_col) == f))
         return p.select(key, fold_col, F.col(label).cast("int").alias("label"),
                         positive_score(p).alias("score"), F.col("prediction").cast("int").alias("prediction"))
@@ -324,6 +359,7 @@ def arena(models: Mapping[str, Pipeline], df: DataFrame, key: str, label: str =
     """CV-2: CV of every model (``parallelism`` models at a time, each with
     ``fold_parallelism`` concurrent fold fits); returns (ranking table,
     {name: oof})."""
+    owned = not df.is_cached
     df = _persist(df)
 
     def one(item):
@@ -331,8 +367,10 @@ def arena(models: Mapping[str, Pipeline], df: DataFrame, key: str, label: str =
         return name, cross_validate(pipe, df, key, label, fold_col, name, fold_parallelism)
     with ThreadPoolExecutor(max(1, parallelism)) as ex:
         done = list(ex.map(one, list(models.items())))
-    fold_metrics = reduce(lambda a, b: a.unionByName(b), [m for _, (m, _) in done])
-    oofs = {name: oof for name, (_, oof) in done}
+    fold_metrics = small(reduce(lambda a, b: a.unionByName(b), [m for _, (m, _) in done]))
+    if owned:
+        df.unpersist()
+    oofs = {name: oof for name, (_, oof) in done}  # the caller releases them
     ranking = SA.rank_models(MT.aggregate_folds(fold_metrics, by=["model"]), "cv_roc_auc_mean")
     return ranking, oofs
 
@@ -344,20 +382,24 @@ def select_best(results: DataFrame, metric: str = "cv_roc_auc_mean") -> DataFram
 
 def _evaluate_candidates(make: Callable[[dict], Pipeline], candidates: Sequence[dict], df: DataFrame,
                          key: str, label: str, fold_col: str, name: str, parallelism: int) -> DataFrame:
-    df = _persist(df)
+    owned = not df.is_cached
+    df = _persist(df)  # released below; the trials' results are tables of one row
 
     def one(i_params):
         i, params = i_params
         try:
-            m, _ = cross_validate(make(params), df, key, label, fold_col, name)
-            agg = MT.aggregate_folds(m, by=["model"])
+            m, oof = cross_validate(make(params), df, key, label, fold_col, name)
+            agg = small(MT.aggregate_folds(m, by=["model"]))
+            oof.unpersist()
             return agg.withColumn("trial", F.lit(i)).withColumn("params", F.lit(json.dumps(params, sort_keys=True)))
-        except Exception as e:  # noqa: BLE001 — a failed trial scores 0 (reference behaviour)
+        except (ValueError, TypeError, IllegalArgumentException) as e:  # parameters that do not fit score 0
             spark = df.sparkSession
             return spark.createDataFrame([(name, i, json.dumps(params, sort_keys=True), 0.0, str(e)[:200])],
                                          "model string, trial int, params string, cv_roc_auc_mean double, error string")
     with ThreadPoolExecutor(max(1, parallelism)) as ex:
         parts = list(ex.map(one, list(enumerate(candidates))))
+    if owned:
+        df.unpersist()
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -448,7 +490,26 @@ def soft_vote(oofs: Mapping[str, DataFrame], key: str, weight_range: Sequence[in
     return res.orderBy(F.desc("cv_roc_auc_mean"), *wcols)
 
 
-def holdout_evaluate(model: PipelineModel, holdout: DataFrame, label: str = "label") -> DataFrame:
+class VoteModel:
+    """Fitted soft vote: the weighted mean of its members' probabilities.
+    ``members``: [(weight, PipelineModel)]."""
+
+    def __init__(self, members: Sequence[tuple[float, PipelineModel]], threshold: float = 0.5):
+        self.members, self.threshold = list(members), threshold
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        d = df
+        for i, (_, m) in enumerate(self.members):
+            p = m.transform(d)
+            d = p.select(*d.columns, positive_score(p).alias(f"_vote{i}"))
+        total = sum(w for w, _ in self.members)
+        score = reduce(lambda a, b: a + b, [F.col(f"_vote{i}") * w for i, (w, _) in enumerate(self.members)]) / total
+        d = d.withColumn("_score", score).drop(*[f"_vote{i}" for i in range(len(self.members))])
+        return d.withColumn("probability", array_to_vector(F.array(1 - F.col("_score"), F.col("_score")))) \
+            .withColumn("prediction", decide("_score", self.threshold).cast("double")).drop("_score")
+
+
+def holdout_evaluate(model, holdout: DataFrame, label: str = "label") -> DataFrame:
     """CV-7: metrics of a fitted model on unseen rows."""
     p = model.transform(holdout)
     p = p.select(F.col(label).cast("int").alias("label"), positive_score(p).alias("score"),
@@ -470,9 +531,8 @@ def assembler_names(model: PipelineModel) -> list[str]:
             for c, lab in zip(st.getInputCols(), st.labelsArray):
                 labels[c] = list(lab)
     for st in model.stages:
-        if isinstance(st, VectorAssembler) and any(c.endswith("__imp") for c in st.getInputCols()):
-            names = [c[:-5] for c in st.getInputCols()]
-            break
+        if isinstance(st, VectorAssembler):  # scaled columns, then the others
+            names += [c[:-5] for c in st.getInputCols() if c.endswith("__imp")]
     for c, lab in labels.items():
         names += [f"{c}={v}" for v in (lab[1:] if drop_first else lab)]
     if not names:
@@ -550,12 +610,15 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
         p = model.transform(d)
         p = p.select(F.col(label).cast("int").alias("y"), positive_score(p).alias("s"))
         return MT.roc_auc(p, "s", "y").first()["roc_auc"]
+    owned = not df.is_cached
     df = _persist(df)
     base = auc_of(df)
     rows = []
     for f in features:
         drops = [base - auc_of(permute_column(df, f, key, seed + r)) for r in range(repeats)]
         rows.append((f, float(np.mean(drops)), float(np.std(drops, ddof=1)) if repeats > 1 else 0.0))
+    if owned:
+        df.unpersist()
     spark = df.sparkSession
     return spark.createDataFrame(rows, "feature string, importance_mean double, importance_std double") \
         .orderBy(F.desc("importance_mean"))

@@ -94,12 +94,12 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None,
 
 def value_counts(df: DataFrame, col: str, dropna: bool = True) -> DataFrame:
     """AG-3: ``value, count, share``.  ``share`` divides by the counted rows
-    (nulls included when ``dropna=False``).  The grouped table (one row per
-    value) is kept; its total is one distributed sum — no single-partition
+    (nulls included when ``dropna=False``).  The total is one distributed
+    sum — no single-partition
     window, so a high-cardinality column stays parallel."""
     c = q(col)
     base = df.where(c.isNotNull()) if dropna else df
-    g = base.groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("count")).persist()
+    g = base.groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("count"))
     total = g.agg(F.sum("count")).first()[0] or 0
     return g.withColumn("share", F.col("count") / F.lit(float(total)) if total else F.lit(None).cast("double"))
 
@@ -148,6 +148,10 @@ def box_stats(df: DataFrame, col: str, whisker: float = 1.5) -> DataFrame:
     from tessera.operators.quantiles import exact_quantiles
     x = q(col).cast("double")
     q1, med, q3 = exact_quantiles(df, [col], [0.25, 0.5, 0.75])[col]
+    if q1 is None:  # no value at all
+        return df.sparkSession.createDataFrame(
+            [(col, *[None] * 8, 0)], "feature string, q1 double, median double, q3 double, iqr double, lo_fence double, "
+            "hi_fence double, whisker_lo double, whisker_hi double, n_outliers long")
     iqr = q3 - q1
     lo, hi = q1 - whisker * iqr, q3 + whisker * iqr
     inside = (x >= F.lit(lo)) & (x <= F.lit(hi))

@@ -5,15 +5,16 @@ A suite is a plain dict shaped like the reference policy::
     {"table_expectations": [{"type": ..., "kwargs": {...}}, ...],
      "column_expectations": {"col": [{"type": ..., "kwargs": {...}}, ...]}}
 
-``run_suite`` compiles EVERY rule into aggregate expressions of ONE
-``agg`` — one scan of the table however many rules there are — and unpivots
-the single result row into one row per check.  The only other work is the
-bounded "first 10 distinct values" listing for set rules, planned as
-distinct + top-10 per column.  Schema rules need no job at all.
+``run_suite`` compiles every rule into aggregate expressions of one ``agg``
+(one scan of the table however many rules there are) and unpivots the single
+result row into one row per check.  Set rules also list their columns' smallest
+distinct values: one narrow scan per such column (distinct, then top n).
+Schema rules need no job at all.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 from typing import Callable
@@ -112,7 +113,15 @@ def _not_null(i, df, column, kw) -> Compiled:
     f = _base_fields(i, "expect_column_values_to_not_be_null", column)
     f.update(success=F.coalesce(rate >= F.lit(mostly), F.lit(False)), observed=rate)
     return Compiled([F.count(F.lit(1)).alias(f"_a{i}_n"),
-                     F.count_if(_q(column).isNull()).alias(f"_a{i}_nulls")], f)
+                     F.count_if(_values(df, column).isNull()).alias(f"_a{i}_nulls")], f)
+
+
+def _values(df: DataFrame, column: str) -> Column:
+    """The column with NaN as missing, as everywhere else in the library."""
+    c = _q(column)
+    if df.schema[column].dataType.typeName() in ("float", "double"):
+        return F.when(~F.isnan(c), c)
+    return c
 
 
 def _empty_guard(i, f, nn):
@@ -125,7 +134,7 @@ def _empty_guard(i, f, nn):
 def _between(i, df, column, kw) -> Compiled:
     """QC-4: share of non-null values inside [min, max]; min/max observed."""
     mostly = kw.get("mostly", 1.0)
-    c = _q(column)
+    c = _values(df, column)
     nn, ok = F.col(f"_a{i}_nn"), F.col(f"_a{i}_ok")
     rate = F.when(nn > 0, ok / nn)
     f = _base_fields(i, "expect_column_values_to_be_between", column)
@@ -139,9 +148,9 @@ def _between(i, df, column, kw) -> Compiled:
 
 @rule("expect_column_values_to_be_in_set", "in_set")
 def _in_set(i, df, column, kw) -> Compiled:
-    """QC-5 (+QC-6: up to 10 smallest distinct values observed)."""
+    """QC-5 (+QC-6: the smallest distinct values observed)."""
     mostly = kw.get("mostly", 1.0)
-    c = _q(column)
+    c = _values(df, column)
     nn, ok = F.col(f"_a{i}_nn"), F.col(f"_a{i}_ok")
     rate = F.when(nn > 0, ok / nn)
     f = _base_fields(i, "expect_column_values_to_be_in_set", column)
@@ -168,14 +177,14 @@ def iter_checks(suite: dict):
             yield exp["type"], col, exp.get("kwargs", {}) or {}
 
 
-def _unique_obs(df: DataFrame, cols: list[str]) -> DataFrame | None:
-    """Up to 10 smallest distinct non-null values per column, joined by '|'.
-    Each column is distinct (partial aggregation) + top-10, so no task ever
-    holds a whole column's distinct set."""
+def _unique_obs(df: DataFrame, cols: list[str], limit: int = UNIQUE_OBS_LIMIT) -> DataFrame | None:
+    """Up to ``limit`` smallest distinct non-null values per column, joined by
+    '|'.  Each column is distinct (partial aggregation) + top-n, so no task
+    ever holds a whole column's distinct set."""
     if not cols:
         return None
-    parts = [df.where(_q(c).isNotNull()).select(_q(c).alias("v")).distinct()
-               .orderBy("v").limit(UNIQUE_OBS_LIMIT)
+    parts = [df.select(_values(df, c).alias("v")).where("v IS NOT NULL").distinct()
+               .orderBy("v").limit(limit)
                .agg(F.array_join(F.transform(F.sort_array(F.collect_list("v")),
                                              lambda x: x.cast("string")), "|").alias("unique_obs"))
                .select(F.lit(c).alias("column"), "unique_obs")
@@ -183,7 +192,8 @@ def _unique_obs(df: DataFrame, cols: list[str]) -> DataFrame | None:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def run_suite(df: DataFrame, suite: dict, fail_on_error: bool = False) -> DataFrame:
+def run_suite(df: DataFrame, suite: dict, fail_on_error: bool = False,
+              unique_limit: int = UNIQUE_OBS_LIMIT) -> DataFrame:
     """QC-8: one row per check with the fields of ``RESULT_FIELDS`` plus
     ``unique_obs``.  With ``fail_on_error`` the (bounded) result is collected
     and a ``RuntimeError`` raised when any check failed."""
@@ -197,12 +207,17 @@ def run_suite(df: DataFrame, suite: dict, fail_on_error: bool = False) -> DataFr
         if col is not None and col not in df.columns:
             compiled.append(_error(i, name, col, f"column {col} does not exist"))
             continue
-        compiled.append(fn(i, df, col, kw))
+        try:
+            c = fn(i, df, col, kw)
+            df.agg(*(c.aggs or [F.count(F.lit(1))]))  # analysis only: a rule that does not fit the column fails here
+        except Exception as e:  # noqa: BLE001  a broken rule is a failed check, not a failed suite
+            c = _error(i, name, col, f"rule failed: {str(e).splitlines()[0][:200]}")
+        compiled.append(c)
     aggs = [a for c in compiled for a in c.aggs] or [F.count(F.lit(1)).alias("_dummy")]
     row = df.agg(*aggs)
     structs = [F.struct(*[c.fields[k].cast(t).alias(k) for k, t in RESULT_FIELDS]) for c in compiled]
     checks = row.select(F.inline(F.array(*structs)))
-    u = _unique_obs(df, [c.unique_obs_col for c in compiled if c.unique_obs_col])
+    u = _unique_obs(df, [c.unique_obs_col for c in compiled if c.unique_obs_col], unique_limit)
     if u is not None:
         set_rules = F.col("rule") == "expect_column_values_to_be_in_set"
         # result rows are bounded by the number of rules: broadcast is safe
@@ -219,12 +234,20 @@ def run_suite(df: DataFrame, suite: dict, fail_on_error: bool = False) -> DataFr
     return checks
 
 
-def quality_report(checks: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """QC-10: the checks as JSON lines ``{type, column, success, kwargs-free
-    result fields}`` — ``type`` filled and booleans as booleans (the two
-    reference report defects are not reproduced).  The checks table has one
-    row per rule, so it is written as a single file."""
-    checks.withColumnRenamed("rule", "type").coalesce(1).write.mode(mode).json(path)
+def with_kwargs(checks: DataFrame, suite: dict) -> DataFrame:
+    """The checks with each rule's parameters as JSON (one row per rule)."""
+    rows = [(i, json.dumps(kw, sort_keys=True)) for i, (_, _, kw) in enumerate(iter_checks(suite))]
+    kwargs = checks.sparkSession.createDataFrame(rows, "check_id int, kwargs string")
+    return checks.join(F.broadcast(kwargs), "check_id", "left")
+
+
+def quality_report(checks: DataFrame, path: str, mode: str = "overwrite", suite: dict | None = None) -> None:
+    """QC-10: the checks as JSON lines ``{type, column, success, result fields}``
+    and, with the ``suite``, the rules' ``kwargs``; ``type`` filled and booleans
+    as booleans (the two reference report defects are not reproduced).  The
+    checks table has one row per rule, so it is written as a single file."""
+    out = with_kwargs(checks, suite) if suite is not None else checks
+    out.withColumnRenamed("rule", "type").coalesce(1).write.mode(mode).json(path)
 
 
 def suite_summary(checks: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def quantiles_frame(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    bins: int = 1024, collect_limit: int = 50_000, max_passes: int = 64) -> dict[str, list]:
+                    bins: int = 1024, collect_limit: int = 4096) -> dict[str, list]:
     """Global quantiles as ``{column: [q(p) for p in probs]}`` (None for an
     all-null column), exact with linear interpolation, by histogram
     bisection — only aggregates, no shuffle of rows:
@@ -93,13 +93,20 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
        are bisected again.  A range of equal values resolves at once.
 
     Every pass scans the columns; state is bounded by ``intervals x bins``
-    and ``collect_limit`` whatever the table size.  NaN counts as missing."""
+    and ``collect_limit`` whatever the table size, and the result does not
+    depend on either.  NaN counts as missing; infinities rank at the ends and
+    are counted, not bisected."""
     cols = list(cols)
     x = {c: F.col(f"`{c}`").cast("double") for c in cols}
     x = {c: F.when(~F.isnan(v), v) for c, v in x.items()}
     base = df.select(*[x[c].alias(f"_x{i}") for i, c in enumerate(cols)])
+    inf = float("inf")
+
+    def finite(i):
+        return F.when((F.col(f"_x{i}") > F.lit(-inf)) & (F.col(f"_x{i}") < F.lit(inf)), F.col(f"_x{i}"))
     row = base.agg(*[a for i in range(len(cols)) for a in (
-        F.count(f"_x{i}").alias(f"n{i}"), F.min(f"_x{i}").alias(f"lo{i}"), F.max(f"_x{i}").alias(f"hi{i}"))]).first()
+        F.count(f"_x{i}").alias(f"n{i}"), F.count_if(F.col(f"_x{i}") == F.lit(-inf)).alias(f"ninf{i}"),
+        F.count(finite(i)).alias(f"fin{i}"), F.min(finite(i)).alias(f"lo{i}"), F.max(finite(i)).alias(f"hi{i}"))]).first()
     # pending ranks: (col index, rank) -> [a, b, below, value, count]
     # (below = #values < a, count = #values in [a, b])
     need: dict[tuple[int, int], list] = {}
@@ -114,13 +121,17 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             lo_r, hi_r = math.floor(pos), math.ceil(pos)
             plan[i].append((lo_r, hi_r, pos - lo_r))
             for r in (lo_r, hi_r):
-                need[(i, r)] = [row[f"lo{i}"], row[f"hi{i}"], 0, None, n]
+                below, fin = row[f"ninf{i}"], row[f"fin{i}"]
+                if r < below or r >= below + fin:
+                    need[(i, r)] = [None, None, 0, -inf if r < below else inf, n]
+                else:
+                    need[(i, r)] = [row[f"lo{i}"], row[f"hi{i}"], below, None, fin]
 
     def in_range(i, a, b):
         xi = F.col(f"_x{i}")
         return (xi >= F.lit(a)) & (xi <= F.lit(b))
 
-    for _ in range(max_passes):
+    while True:  # the range between the smallest and largest value of a bin shrinks every time
         for v in need.values():
             if v[3] is None and v[0] == v[1]:
                 v[3] = v[0]
@@ -148,7 +159,9 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         entries = []
         for j, (i, a, b) in enumerate(intervals):
             xi = F.col(f"_x{i}")
-            bn = F.least(F.floor((xi - F.lit(a)) / F.lit(b - a) * F.lit(float(bins))), F.lit(bins - 1)).cast("int")
+            # halves, so that the width of the range cannot overflow
+            share = (xi / 2 - F.lit(a / 2)) / F.lit(b / 2 - a / 2)
+            bn = F.least(F.floor(share * F.lit(float(bins))), F.lit(bins - 1)).cast("int")
             entries.append(F.when(in_range(i, a, b), F.struct(F.lit(j).alias("j"), bn.alias("k"), xi.alias("v"))))
         ex = base.select(F.explode(F.array(*entries)).alias("e")).where(F.col("e").isNotNull())
         hist = ex.groupBy("e.j", "e.k").agg(F.count(F.lit(1)).alias("c"), F.min("e.v").alias("mn"),
@@ -163,8 +176,6 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     v[0], v[1], v[2], v[4] = mn, mx, cum, c
                     break
                 cum += c
-    else:
-        raise RuntimeError("quantile bisection did not converge")
     out = {}
     for i, c in enumerate(cols):
         if i not in plan:
@@ -173,6 +184,6 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         res = []
         for lo_r, hi_r, frac in plan[i]:
             vlo, vhi = need[(i, lo_r)][3], need[(i, hi_r)][3]
-            res.append(vlo + frac * (vhi - vlo))
+            res.append(vlo if vlo == vhi or not frac else vlo + frac * (vhi - vlo))
         out[c] = res
     return out

@@ -24,6 +24,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import boundaries as BO
+
 DEFAULT_ROWS_PER_BUCKET = 1 << 20
 # more buckets than this would make the boundary sketch and the offsets table
 # large; beyond it buckets grow instead (a task sorts its bucket with spill)
@@ -31,8 +33,10 @@ MAX_BUCKETS = 50_000
 BROADCAST_ROWS = 200_000
 FINE_SKETCH = 256
 
-# Knuth's multiplicative hashing constant and the 2^32 modulus.
-HASH_MULT = 2654435761
+# The odd multiplier of a published 32-bit integer mixer; below
+# 2^31, so that products of 32-bit values stay inside a signed 64-bit integer
+# (ANSI mode raises on overflow).
+HASH_MULT = 73244475
 MOD32 = 4294967296
 
 
@@ -40,20 +44,24 @@ def _q(c):
     return F.col(f"`{c}`") if isinstance(c, str) else c
 
 
-def _mult32(x: Column) -> Column:
-    """``(x * HASH_MULT) mod 2^32`` for 0 <= x < 2^32 without 64-bit overflow
-    (ANSI mode raises on overflow): split x in 16-bit halves."""
-    lo = F.pmod(x, F.lit(65536))
-    hi = F.pmod(F.floor(x / 65536).cast("long"), F.lit(65536))
-    return F.pmod(lo * F.lit(HASH_MULT) + F.pmod(hi * F.lit(HASH_MULT), F.lit(65536)) * 65536,
-                  F.lit(MOD32))
+def mixed_seed(seed: int) -> int:
+    """The seed put through the mixer itself, so that keys and seeds do not
+    cancel.  Shared with the SQL twin, which gets it as a literal."""
+    h = (seed ^ 0x5BD1E995) % MOD32
+    for _ in range(2):
+        h = ((h ^ (h >> 16)) * HASH_MULT) % MOD32
+    return h ^ (h >> 16)
 
 
 def mix64(key, seed: int = 42) -> Column:
-    """Deterministic 32-bit hash of an integer key: two multiplicative rounds
-    with the seed added in between.  Same integers in any SQL engine."""
-    k = F.pmod(_q(key).cast("long"), F.lit(MOD32))
-    return _mult32(F.pmod(_mult32(k) + F.lit(seed), F.lit(MOD32)))
+    """Deterministic 32-bit hash of an integer key, the same in any SQL engine:
+    the key's halves and the mixed seed are xored, then xor-shifts alternate
+    with multiplications (either alone is linear in the key)."""
+    k = _q(key).cast("long")
+    h = F.pmod(k, F.lit(MOD32)).bitwiseXOR(F.shiftrightunsigned(k, 32)).bitwiseXOR(F.lit(mixed_seed(seed)).cast("long"))
+    for _ in range(2):
+        h = F.pmod(h.bitwiseXOR(F.shiftright(h, 16)) * F.lit(HASH_MULT).cast("long"), F.lit(MOD32))
+    return h.bitwiseXOR(F.shiftright(h, 16))
 
 
 def key_hash(key, seed: int = 42, hash: str = "arith") -> Column:
@@ -119,7 +127,8 @@ def prefix_sums(df: DataFrame, order_cols: Sequence, values: dict[str, Column],
         splits = [-math.inf] + sorted(set(float(b) for b in bounds)) + [math.inf]
         d = d.withColumn("_pk", first.cast("double"))
         d = Bucketizer(splits=splits, inputCol="_pk", outputCol="_bkt", handleInvalid="keep").transform(d)
-        d = d.withColumn("_bkt", F.col("_bkt").cast("int")).drop("_pk")
+        # nulls come first, as in the windows
+        d = d.withColumn("_bkt", F.when(F.col("_pk").isNull(), -1).otherwise(F.col("_bkt").cast("int"))).drop("_pk")
     else:
         d = d.withColumn("_bkt", F.lit(0))
     keys = list(partition_cols) + ["_bkt"]
@@ -244,53 +253,56 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42, hash: str = "arith
     return df.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
 
 
-def _class_ranks(df: DataFrame, label: str, key: str, seed: int, hash: str,
-                 rows_per_bucket: int, with_size: bool = False) -> DataFrame:
-    d = df.withColumn("_h", key_hash(key, seed, hash))
-    return prefix_sums(d, ["_h", key], {"_r": F.lit(1).cast("long")}, [label], exclusive=True,
-                       rows_per_bucket=rows_per_bucket, totals={"_r": "_nc"} if with_size else None)
-
-
 def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.2,
-                     seed: int = 42, hash: str = "arith", exact: bool = True,
-                     rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+                     seed: int = 42, hash: str = "arith", exact: bool = True) -> DataFrame:
     """SP-2: adds ``is_test`` (boolean).
 
-    ``exact=True``: inside each class rows are ranked by hash and the first
-    ``ceil(n_c * test_size)`` go to test — every class has exactly that share.
-    The per-class rank uses :func:`prefix_sums` (bucketed, not one task per
-    class).  ``exact=False``: ``hash mod 10000 < test_size*10000`` — one
-    narrow projection, binomial share."""
+    ``exact=True``: of each class the ``ceil(n_c * test_size)`` rows with the
+    smallest hashes go to test, so every class has exactly that share.  Only
+    the hash at the cut is searched (:mod:`~tessera.operators.boundaries`); no
+    row is sorted or moved.  ``exact=False``: ``hash mod 10000 <
+    test_size*10000``, binomial share."""
+    h = key_hash(key, seed, hash)
     if not exact:
-        cut = int(round(test_size * 10000))
-        return df.withColumn("is_test", F.pmod(key_hash(key, seed, hash), F.lit(10000)) < cut)
-    d = _class_ranks(df, label, key, seed, hash, rows_per_bucket, with_size=True)
-    return d.withColumn("is_test", F.col("_r") < F.ceil(F.col("_nc") * F.lit(test_size))) \
-            .drop("_h", "_r", "_nc")
+        return df.withColumn("is_test", F.pmod(h, F.lit(10000)) < int(round(test_size * 10000)))
+    found = BO.find(df, h, lambda n: [math.ceil(round(n * test_size, 9))], label, _q(key))
+    return BO.segment(df, h, found, label, _q(key), "_s").withColumn("is_test", F.col("_s") == 0).drop("_s")
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42,
-                     hash: str = "arith", rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
-    """SP-3: adds ``fold`` in 0..k-1: rank within the class (by hash) mod k,
-    so every class is spread over the folds with at most one row of
-    difference — the StratifiedKFold guarantee."""
-    d = _class_ranks(df, label, key, seed, hash, rows_per_bucket)
-    return d.withColumn("fold", F.pmod(F.col("_r"), F.lit(k)).cast("int")).drop("_h", "_r")
+                     hash: str = "arith") -> DataFrame:
+    """SP-3: adds ``fold`` in 0..k-1.  Within each class the hash order is cut
+    into k runs whose sizes differ by at most one row (``fold = floor(rank * k /
+    n)``), the StratifiedKFold guarantee; only the k - 1 hashes at the cuts are
+    searched."""
+    h = key_hash(key, seed, hash)
+    found = BO.find(df, h, lambda n: [-(-j * n // k) for j in range(1, k)], label, _q(key))
+    return BO.segment(df, h, found, label, _q(key), "fold")
 
 
 # ---------------------------------------------------------------- WN: batches --
 
-def assign_batches(df: DataFrame, n_batches: int, key: str,
+def assign_batches(df: DataFrame, n_batches: int, key: str, remainder: str = "keep",
                    rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
-    """WN-2: contiguous batches of ``floor(N / n)`` rows in key order,
-    numbered 1..n; the remainder rows are dropped (reference behaviour)."""
-    n = df.count()
-    size = n // n_batches
-    if size == 0:
-        return df.withColumn("batch", F.lit(None).cast("int")).limit(0)
-    d = ordered_index(df, [key], name="_i", rows_per_bucket=rows_per_bucket, n_rows=n)
-    return d.where(F.col("_i") < size * n_batches) \
-            .withColumn("batch", (F.floor(F.col("_i") / size) + 1).cast("int")).drop("_i")
+    """WN-2: contiguous batches of ``floor(N / n)`` rows in key order, numbered
+    1..n.  ``remainder`` says what becomes of the last ``N mod n`` rows: "keep"
+    adds them to the last batch, "drop" leaves them out.  With fewer rows than
+    batches every row is a batch ("keep") or none is ("drop").  Integer keys are
+    cut at their exact boundaries without a sort; other keys are ranked."""
+    if remainder not in ("keep", "drop"):
+        raise ValueError("remainder must be 'keep' or 'drop'")
+    if df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long"):
+        cuts = lambda n: [j * max(1, n // n_batches) for j in range(1, n_batches + 1)]
+        found = BO.find(df, _q(key), cuts)
+        n = next((m for m, _ in found.values()), 0)
+        d = BO.segment(df, _q(key), found, name="batch").withColumn("batch", F.col("batch") + 1)
+    else:
+        n = df.count()
+        d = ordered_index(df, [key], name="_i", rows_per_bucket=rows_per_bucket, n_rows=n)
+        d = d.withColumn("batch", (F.floor(F.col("_i") / max(1, n // n_batches)) + 1).cast("int")).drop("_i")
+    if remainder == "drop":
+        return d.where(F.col("batch") <= (n_batches if n >= n_batches else 0))
+    return d.withColumn("batch", F.least("batch", F.lit(n_batches)))
 
 
 def rolling_mean(df: DataFrame, cols: Sequence[str], order: str, window: int,

@@ -115,12 +115,13 @@ def classification_report(spark, sf):
     return MT.classification_report(scored_events(spark, sf), "label", "pred")
 
 
-FOLDED_SQL = (f"(SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY h, event_id) - 1) % 5 AS INTEGER) AS fold "
+FOLDED_SQL = (f"(SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY h, event_id) - 1) * 5 "
+              f"// count(*) OVER (PARTITION BY label) AS INTEGER) AS fold "
               f"FROM (SELECT *, {mix64('event_id', 42)} AS h FROM {SCORED_SQL} s0) s1)")
 
 
 def folded_events(spark, sf):
-    return SA.stratified_folds(scored_events(spark, sf), "label", "event_id", 5, 42, rows_per_bucket=RPB)
+    return SA.stratified_folds(scored_events(spark, sf), "label", "event_id", 5, 42)
 
 
 @query("mt06_aggregate_folds", f"""
@@ -167,7 +168,7 @@ KEYED_SQL = (f"(SELECT * FROM (SELECT *, CAST(i // (cnt // 10) + 1 AS INTEGER) A
 @query("mo01_batch_metrics_keyed", metrics_sql(KEYED_SQL, ["batch"], MO_COLS))
 def batch_metrics_keyed(spark, sf):
     """MO-1 over 10 contiguous batches in key order (WN-2), remainder dropped."""
-    b = SA.assign_batches(scored_events(spark, sf), 10, "event_id", rows_per_bucket=RPB)
+    b = SA.assign_batches(scored_events(spark, sf), 10, "event_id", remainder="drop")
     return MO.batch_metrics(b, "batch", "label", "pred", "prob")
 
 

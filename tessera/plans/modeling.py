@@ -4,9 +4,10 @@ invariants are covered by tests (folds partition rows, AUC in [0, 1], same
 seed -> same folds).
 
 ML table: ``events`` (unique ``event_id``; label = purchase, ~20 % positive
-like the reference's target) with per-user aggregates joined back.  The
-arena uses lighter tree / boosting sizes than the reference defaults to keep
-the correctness run short; the library defaults are the reference ones.
+like the reference's target) with per-user aggregates joined back.  Sizes
+(trees, rounds, repeats, restarts, trials) are the library's defaults.  The
+holdout is drawn before the user averages are computed, which see training
+rows only.
 """
 
 from __future__ import annotations
@@ -15,28 +16,32 @@ from pyspark.sql import functions as F
 
 from tessera.operators import experiment as EX
 from tessera.operators import model as MD
+from tessera.operators import sample as SA
 from tessera.plans.registry import load, query
 from tessera.session import scratch_path
 from tessera.sources import tracking as TR
 
 FEATURES = ["value", "log_value", "hour", "weekday", "k", "user_events", "user_avg_value"]
 KEY, LABEL = "event_id", "label"
-RPB = 4096
-# Arena sizes for the registered queries.
+# The reference's baseline parameters where they are not defaults.
 ARENA = {
     "logistic": {"C": 1.0},
-    "random_forest": {"n_estimators": 20, "max_depth": 5},
-    "gbt": {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.1},
-    "linear_svc": {"max_iter": 100},
+    "random_forest": {"max_depth": 5},
+    "gbt": {"max_depth": 3, "learning_rate": 0.1},
+    "linear_svc": {},
     "decision_tree": {"max_depth": 4},
 }
+# The searched space: strength, and the reducer jointly.
+SEARCH = {"C": ("log", 1e-4, 1e2), "reducer_method": ("cat", ["none", "pca", "lda"]), "reducer_n": ("int", 2, 7)}
+TRIALS = 30
 
 
 def ml_table(spark, sf):
     """Event features; the user statistics table is one row per user and is
     joined on ``user_id`` (AQE broadcasts it when small)."""
     ev = load(spark, sf, "events")
-    users = ev.groupBy("user_id").agg(F.count(F.lit(1)).alias("user_events"),
+    users = SA.stratified_split(ev.withColumn(LABEL, (F.col("event_type") == "purchase").cast("int")), LABEL, KEY, 0.2, 42) \
+        .where("NOT is_test").groupBy("user_id").agg(F.count(F.lit(1)).alias("user_events"),
                                       F.avg("value").alias("user_avg_value"))
     d = ev.join(users, "user_id", "left")
     return d.select(
@@ -44,89 +49,101 @@ def ml_table(spark, sf):
         "value", F.log1p(F.when(F.col("value") < 0, 0.0).otherwise(F.col("value"))).alias("log_value"),
         F.hour("ts").cast("double").alias("hour"), F.dayofweek("ts").cast("double").alias("weekday"),
         F.get_json_object("props", "$.k").cast("double").alias("k"),
-        F.col("user_events").cast("double"), "user_avg_value")
+        F.coalesce("user_events", F.lit(0)).cast("double").alias("user_events"), "user_avg_value")
 
 
 def train_table(spark, sf):
-    train, _ = EX.prepare(ml_table(spark, sf), LABEL, KEY, 0.2, 5, 42, rows_per_bucket=RPB)
+    train, _ = EX.prepare(ml_table(spark, sf), LABEL, KEY, 0.2, 5, 42)
     return train
 
 
-def _pipe(spark, model, train, params=None, **kw):
-    n = train.count()
-    return MD.build_pipeline(model, FEATURES, params if params is not None else ARENA[model], LABEL, "weight",
-                             n_train=n, **kw)
+def _pipe(model, params=None, **kw):
+    return MD.build_pipeline(model, FEATURES, params if params is not None else ARENA[model], LABEL, "weight", **kw)
+
+
+def _kept(spark, sf, work):
+    """``work(train)`` over the kept training table, as a small result table."""
+    train = train_table(spark, sf).persist()
+    try:
+        return MD.small(work(train))
+    finally:
+        train.unpersist()
+
+
+def _cv(train, model, params=None):
+    metrics, oof = MD.cross_validate(_pipe(model, params), train, KEY, LABEL, "fold", model)
+    metrics = MD.small(metrics)
+    oof.unpersist()
+    return metrics
+
+
+def _arena(train, models, parallelism=2):
+    ranking, oofs = MD.arena({m: _pipe(m) for m in models}, train, KEY, LABEL, "fold", parallelism=parallelism)
+    ranking = MD.small(ranking)
+    for o in oofs.values():
+        o.unpersist()
+    return ranking
 
 
 @query("cv01_cross_validate")
 def cross_validate(spark, sf):
     """CV-1 + ML-1/ML-2: per-fold metrics of the balanced logistic pipeline."""
-    train = train_table(spark, sf).persist()
-    m, _ = MD.cross_validate(_pipe(spark, "logistic", train), train, KEY, LABEL, "fold", "logistic")
-    return m
+    return _kept(spark, sf, lambda train: _cv(train, "logistic"))
 
 
 @query("cv02_arena")
 def arena(spark, sf):
     """CV-2 + ML-2..6 + MT-6 + WN-3: CV ranking of the five model families."""
-    train = train_table(spark, sf).persist()
-    n = train.count()
-    pipes = {m: MD.build_pipeline(m, FEATURES, p, LABEL, "weight", n_train=n) for m, p in ARENA.items()}
-    ranking, _ = MD.arena(pipes, train, KEY, LABEL, "fold", parallelism=2)
-    return ranking
+    return _kept(spark, sf, lambda train: _arena(train, ARENA))
 
 
 @query("cv03_grid_search")
 def grid_search(spark, sf):
     """CV-3: exhaustive grid over the decision tree."""
-    train = train_table(spark, sf).persist()
-    return MD.grid_search("decision_tree", {"max_depth": [3, 5], "min_samples_leaf": [1, 20],
-                                            "criterion": ["gini", "entropy"]},
-                          train, FEATURES, KEY, LABEL, "fold", "weight", parallelism=2)
+    return _kept(spark, sf, lambda train: MD.grid_search(
+        "decision_tree", {"max_depth": [3, 5], "min_samples_leaf": [1, 20], "criterion": ["gini", "entropy"]},
+        train, FEATURES, KEY, LABEL, "fold", "weight", parallelism=2))
 
 
 @query("cv04_random_search")
 def random_search(spark, sf):
     """CV-4: seeded random search of C with the reducer searched jointly."""
-    train = train_table(spark, sf).persist()
-    space = {"C": ("log", 1e-4, 1e2), "reducer_method": ("cat", ["none", "pca"]), "reducer_n": ("int", 2, 5)}
-    return MD.random_search("logistic", space, 4, train, FEATURES, KEY, LABEL, "fold", "weight", 42,
-                            parallelism=2, baseline_auc=0.5)
+    return _kept(spark, sf, lambda train: MD.random_search(
+        "logistic", SEARCH, TRIALS, train, FEATURES, KEY, LABEL, "fold", "weight", 42, parallelism=4, baseline_auc=0.5))
 
 
 @query("cv05_soft_vote")
 def soft_vote(spark, sf):
     """CV-5: weights 1..5 for logistic + forest, all 25 vectors in one job."""
-    train = train_table(spark, sf).persist()
-    oofs = {}
-    for m in ("logistic", "random_forest"):
-        _, oofs[m] = MD.cross_validate(_pipe(spark, m, train), train, KEY, LABEL, "fold", m)
-    return MD.soft_vote(oofs, KEY)
+    def work(train):
+        oofs = {m: MD.cross_validate(_pipe(m), train, KEY, LABEL, "fold", m)[1] for m in ("logistic", "random_forest")}
+        out = MD.small(MD.soft_vote(oofs, KEY))
+        for o in oofs.values():
+            o.unpersist()
+        return out
+    return _kept(spark, sf, work)
 
 
 @query("cv07_holdout")
 def holdout(spark, sf):
     """CV-7 + MT-7: refit on all training rows, evaluate the holdout."""
-    d = ml_table(spark, sf)
-    train, test = EX.prepare(d, LABEL, KEY, 0.2, 5, 42, rows_per_bucket=RPB)
-    model = _pipe(spark, "logistic", train).fit(train)
-    return MD.holdout_evaluate(model, test, LABEL)
+    train, test = EX.prepare(ml_table(spark, sf), LABEL, KEY, 0.2, 5, 42)
+    return MD.holdout_evaluate(MD.fit_pipeline(_pipe("logistic"), train), test, LABEL)
 
 
 @query("cv08_run_experiment")
 def run_experiment(spark, sf):
-    """CV-8: the full experiment; returns the summary row (best model, CV
-    and holdout AUC, robustness diagnosis)."""
-    cfg = {"models": {"logistic": {"C": 1.0}, "decision_tree": {"max_depth": 4},
-                      "random_forest": {"n_estimators": 20, "max_depth": 5}},
-           "search": {"logistic": ({"C": ("log", 1e-4, 1e2)}, 2)},
-           "parallelism": 2, "rows_per_bucket": RPB}
-    return EX.run_experiment(ml_table(spark, sf), FEATURES, LABEL, KEY, cfg)["summary"]
+    """CV-8: the full experiment; returns its ranking, the vote among the
+    entrants, next to the champion's holdout figures."""
+    cfg = {"models": ARENA, "search": {"logistic": (SEARCH, TRIALS)}, "parallelism": 4,
+           "registry": scratch_path(spark, "experiment"), "name": "event_risk"}
+    r = EX.run_experiment(ml_table(spark, sf), FEATURES, LABEL, KEY, cfg)
+    # one row per entrant, one summary row
+    return r["ranking"].join(F.broadcast(r["summary"]))
 
 
 def _fitted(spark, sf, model):
-    train = train_table(spark, sf)
-    return _pipe(spark, model, train).fit(train)
+    return MD.fit_pipeline(_pipe(model), train_table(spark, sf))
 
 
 @query("ml07_linear_weights")
@@ -146,10 +163,8 @@ def feature_importance(spark, sf):
 
 @query("ml10_permutation_importance")
 def permutation_importance(spark, sf):
-    """ML-10 on the whole table (no sample), 2 repeats per feature."""
-    d = ml_table(spark, sf)
-    model = _fitted(spark, sf, "logistic")
-    return MD.permutation_importance(model, d, ["value", "k", "user_events"], KEY, LABEL, repeats=2)
+    """ML-10: every feature on the whole table, the default repeats."""
+    return MD.permutation_importance(_fitted(spark, sf, "logistic"), ml_table(spark, sf), FEATURES, KEY, LABEL)
 
 
 def _emb(spark, sf):
@@ -202,12 +217,12 @@ def fisher_2d(spark, sf):
 
 @query("ml13_kmeans_scan")
 def kmeans_scan(spark, sf):
-    return MD.kmeans_scan(_emb(spark, sf), "embedding", (2, 3, 4, 5, 6), n_init=3)
+    return MD.kmeans_scan(_emb(spark, sf), "embedding", (2, 3, 4, 5, 6))
 
 
 @query("ml14_assign_clusters")
 def assign_clusters(spark, sf):
-    return MD.assign_clusters(ml_table(spark, sf), ["value", "k", "user_events"], KEY, k=3, n_init=3)
+    return MD.assign_clusters(ml_table(spark, sf), ["value", "k", "user_events"], KEY, k=3)
 
 
 @query("sc01_score")
@@ -215,9 +230,11 @@ def score(spark, sf):
     """SC-1 (+IO-10/11): fit, register, load the latest version, score every
     event with the 0.30 triage threshold and rule messages."""
     base = scratch_path(spark, "registry")
-    train = train_table(spark, sf)
-    model = _pipe(spark, "logistic", train).fit(train)
-    run_id = TR.append_run(spark, base, "logistic", "final", ARENA["logistic"], {"roc_auc": 0.5})
+    train, test = EX.prepare(ml_table(spark, sf), LABEL, KEY, 0.2, 5, 42)
+    model = MD.fit_pipeline(_pipe("logistic"), train)
+    held = MD.holdout_evaluate(model, test, LABEL).first()
+    run_id = TR.append_run(spark, base, "logistic", "final", ARENA["logistic"],
+                           {"roc_auc": held["roc_auc"], "recall": held["recall"]})
     TR.save_model(spark, base, "event_risk", model, run_id)
     latest = TR.load_model(spark, base, "event_risk")
     rules = [("high value", F.col("value") > 100), ("frequent user", F.col("user_events") > 20),
@@ -230,25 +247,19 @@ def model_performance(spark, sf):
     """IO-10..12: two registered versions; the latest one's run metrics
     (absent recall -> default 0.0)."""
     base = scratch_path(spark, "registry")
-    train = train_table(spark, sf)
+    train = train_table(spark, sf).persist()
     for c in (1.0, 0.1):
-        model = _pipe(spark, "logistic", train, {"C": c}).fit(train)
-        m, _ = MD.cross_validate(_pipe(spark, "logistic", train, {"C": c}), train.persist(), KEY, LABEL, "fold")
-        auc = m.agg(F.avg("roc_auc")).first()[0]
+        auc = _cv(train, "logistic", {"C": c}).agg(F.avg("roc_auc")).first()[0]
         run = TR.append_run(spark, base, "logistic", "final", {"C": c}, {"roc_auc": auc})
-        TR.save_model(spark, base, "event_risk", model, run)
+        TR.save_model(spark, base, "event_risk", MD.fit_pipeline(_pipe("logistic", {"C": c}), train), run)
+    train.unpersist()
     return TR.model_performance(spark, base, "event_risk")
 
 
 @query("wn03_rank_models")
 def rank_models(spark, sf):
     """WN-3 / CV-6: ranking of the arena and the selected best row."""
-    train = train_table(spark, sf).persist()
-    n = train.count()
-    pipes = {m: MD.build_pipeline(m, FEATURES, ARENA[m], LABEL, "weight", n_train=n)
-             for m in ("logistic", "decision_tree")}
-    ranking, _ = MD.arena(pipes, train, KEY, LABEL, "fold")
-    return MD.select_best(ranking)
+    return _kept(spark, sf, lambda train: MD.select_best(_arena(train, ("logistic", "decision_tree"))))
 
 
 @query("fe09_categorical_branch")
@@ -259,7 +270,7 @@ def categorical_branch(spark, sf):
     d = ml_table(spark, sf).join(
         load(spark, sf, "events").select(KEY, F.when(F.col("value") > 100, "high").when(F.col("value") > 20, "mid")
                                               .otherwise("low").alias("value_band")), KEY)
-    train, _ = EX.prepare(d, LABEL, KEY, 0.2, 5, 42, rows_per_bucket=RPB)
-    pipe = MD.build_pipeline("logistic", FEATURES, ARENA["logistic"], LABEL, "weight", n_train=train.count(),
+    train, _ = EX.prepare(d, LABEL, KEY, 0.2, 5, 42)
+    pipe = MD.build_pipeline("logistic", FEATURES, ARENA["logistic"], LABEL, "weight",
                              categorical=["value_band"])
-    return MD.linear_weights(pipe.fit(train))
+    return MD.linear_weights(MD.fit_pipeline(pipe, train))

@@ -12,7 +12,6 @@ from tessera.operators import sample as SA
 from tessera.plans.registry import load, query
 from tessera.plans.sqlgen import mix64
 
-RPB = 4096
 SEED = 42
 
 
@@ -43,7 +42,7 @@ FROM (SELECT o_orderkey, o_orderstatus, {mix64('o_orderkey', SEED)} AS h FROM or
 """)
 def stratified_split(spark, sf):
     o = load(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    return SA.stratified_split(o, "o_orderstatus", "o_orderkey", 0.2, SEED, rows_per_bucket=RPB)
+    return SA.stratified_split(o, "o_orderstatus", "o_orderkey", 0.2, SEED)
 
 
 @query("sp02_stratified_split_hash", f"""
@@ -56,12 +55,12 @@ def stratified_split_hash(spark, sf):
 
 @query("sp03_stratified_folds", f"""
 SELECT o_orderkey, o_orderstatus,
-  CAST((row_number() OVER (PARTITION BY o_orderstatus ORDER BY h, o_orderkey) - 1) % 5 AS INTEGER) AS fold
+  CAST((row_number() OVER (PARTITION BY o_orderstatus ORDER BY h, o_orderkey) - 1) * 5 // count(*) OVER (PARTITION BY o_orderstatus) AS INTEGER) AS fold
 FROM (SELECT o_orderkey, o_orderstatus, {mix64('o_orderkey', SEED)} AS h FROM orders) t
 """)
 def stratified_folds(spark, sf):
     o = load(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    return SA.stratified_folds(o, "o_orderstatus", "o_orderkey", 5, SEED, rows_per_bucket=RPB)
+    return SA.stratified_folds(o, "o_orderstatus", "o_orderkey", 5, SEED)
 
 
 @query("wn02_assign_batches", """
@@ -70,7 +69,7 @@ SELECT o_orderkey, CAST(i // (n // 10) + 1 AS INTEGER) AS batch FROM r WHERE i <
 """)
 def assign_batches(spark, sf):
     o = load(spark, sf, "orders").select("o_orderkey")
-    return SA.assign_batches(o, 10, "o_orderkey", rows_per_bucket=RPB)
+    return SA.assign_batches(o, 10, "o_orderkey", remainder="drop")
 
 
 @query("wn01_rolling_mean", """

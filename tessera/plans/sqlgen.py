@@ -42,14 +42,11 @@ def union_all(selects: Sequence[str]) -> str:
     return "\nUNION ALL\n".join(selects)
 
 
-def mult32(x: str) -> str:
-    """Twin of ``sample._mult32`` (all BIGINT arithmetic)."""
-    lo = f"(({x}) % 65536)"
-    hi = f"((({x}) // 65536) % 65536)"
-    return f"(({lo} * 2654435761 + (({hi} * 2654435761) % 65536) * 65536) % 4294967296)"
-
-
 def mix64(key: str, seed: int = 42) -> str:
     """Twin of ``sample.mix64`` for non-negative integer keys."""
-    k = f"(CAST({key} AS BIGINT) % 4294967296)"
-    return mult32(f"(({mult32(k)} + {seed}) % 4294967296)")
+    from tessera.operators.sample import HASH_MULT, MOD32, mixed_seed
+    k = f"CAST({key} AS BIGINT)"
+    h = f"xor(xor({k} % {MOD32}, {k} >> 32), {mixed_seed(seed)})"
+    for _ in range(2):
+        h = f"(xor({h}, {h} >> 16) * {HASH_MULT} % {MOD32})"
+    return f"xor({h}, {h} >> 16)"

@@ -168,10 +168,10 @@ def ingest(spark: SparkSession, src, dst: str, force: bool = False, skip_if_exis
         return spark.createDataFrame([(None, None, out_mb, None, 0.0, True)], schema_row)
     t0 = time.time()
     df = read_many(spark, src, schema=schema, string_empty_as=string_empty_as) if not isinstance(src, DataFrame) else src
+    if required:
+        check_required_columns(spark, df, required)  # before anything is overwritten
     write_parquet(df, dst, compression, mode="overwrite")
     rows = spark.read.parquet(dst).count()
-    if required:
-        check_required_columns(spark, dst, required)
     in_mb = sum(path_size_bytes(spark, p) for p in (list_files(spark, src, ".csv") if isinstance(src, str) else src)) / 1e6 \
         if not isinstance(src, DataFrame) else None
     out_mb = path_size_bytes(spark, dst) / 1e6

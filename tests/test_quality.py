@@ -85,3 +85,23 @@ def test_drop_columns_and_any_null(spark):
     assert C.drop_columns(df, ["b", "zz"]).columns == ["a"]
     assert [r[0] for r in df.select(C.any_null(["a", "b"])).collect()] == [True, False]
     assert C.select_features(df, ["b", "x", "a"])[1] == ["x"]
+
+
+def test_nan_is_missing_and_broken_rules_fail_alone(spark):
+    from tessera.operators import quality as QC
+
+    @QC.rule("explodes")
+    def explodes(i, df, column, kw):
+        raise ZeroDivisionError("no")
+    suite = {"column_expectations": {"x": [
+        {"type": "between", "kwargs": {"min_value": 0, "max_value": 10}},
+        {"type": "not_null", "kwargs": {"mostly": 0.5}}, {"type": "explodes"}]}}
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (None,)], "x double")
+    checks = QC.run_suite(df, suite)
+    r = {x.check_id: x for x in checks.collect()}
+    assert r[0].success and r[0].max_obs == 2.0 and r[0].observed == 1.0
+    assert r[1].observed == 0.5 and r[1].success
+    assert not r[2].success and "rule failed" in r[2].error
+    k = {x.check_id: x.kwargs for x in QC.with_kwargs(checks, suite).collect()}
+    assert k[0] == '{"max_value": 10, "min_value": 0}' and k[2] == "{}"
+    del QC.RULES["explodes"]
