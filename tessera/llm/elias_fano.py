@@ -124,15 +124,15 @@ def _unpack(packed: np.ndarray, bits: int, i: np.ndarray) -> np.ndarray:
     return (packed[word] >> shift | high) & U((1 << bits) - 1)
 
 
-def quantise(x: np.ndarray, bits: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and codebook: equal-sized bins of the sorted values, each standing for its mean."""
+def quantise(x: np.ndarray, bits: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and codebook: bins of equal width, so that no value is off by more
+    than the width, each standing for the mean of its values."""
     if not len(x):
-        return np.empty(0, np.uint8), np.zeros(1)
-    size = min(1 << bits, len(x))
-    edges = np.unique(np.quantile(x, np.linspace(0, 1, size + 1)[1:-1]))
-    code = np.searchsorted(edges, x, side="right")
-    n = np.maximum(np.bincount(code, minlength=len(edges) + 1), 1)
-    return code.astype(np.uint8 if bits <= 8 else np.uint16), np.bincount(code, x, len(edges) + 1) / n
+        return np.empty(0, np.uint16), np.zeros(1)
+    low, width = float(x.min()), float(np.ptp(x)) / ((1 << bits) - 1) or 1.0
+    code = ((x - low) / width).astype(np.uint16)
+    used, code = np.unique(code, return_inverse=True)
+    return code.astype(np.uint16), np.bincount(code, x, len(used)) / np.bincount(code, minlength=len(used))
 
 
 class Trie:
@@ -148,7 +148,7 @@ class Trie:
         key = parent.astype(U) * U(max(1, len(vocabulary))) + np.searchsorted(vocabulary, word).astype(U)
         pointers = np.searchsorted(parent, np.arange(len(roots) + 1)).astype(U)
         code, book = quantise(log_p)
-        padded = np.zeros(-(-len(code) // 8) * 8, np.uint8)
+        padded = np.zeros(-(-len(code) // 4) * 4, np.uint16)
         padded[:len(code)] = code
         parts = [np.array([len(code), len(book)], U), padded.view(U), book.view(U)]
         for values in (roots, np.cumsum(np.concatenate([[0], counts])).astype(U), vocabulary, pointers, key):
@@ -163,8 +163,8 @@ class Trie:
         self.buffer, self.size = buffer, len(buffer) if size is None else size
         words = np.frombuffer(buffer, U, self.size // 8)
         n, b = int(words[0]), int(words[1])
-        at = 2 + -(-n // 8)
-        self.code = words[2:at].view(np.uint8)[:n]
+        at = 2 + -(-n // 4)
+        self.code = words[2:at].view(np.uint16)[:n]
         self.book = words[at:at + b].view(np.float64)
         at += b
         levels = []
