@@ -132,14 +132,16 @@ def certified_cutoffs(good: DataFrame, stratum: str = "lang", rules: tuple[Rule,
     pass the base rules."""
     levels = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(i + 1).alias("level"), F.lit(float(c)).alias("cutoff"))
                        for r in rules for i, c in enumerate(r.cutoffs)])
-    broken = F.array(*[F.struct(F.lit(r.name).alias("rule"), _violated(r).alias("level")) for r in rules])
+    # who violates a cutoff violates all stricter ones: the levels from `first` on
+    broken = F.array(*[F.struct(F.lit(r.name).alias("rule"), (len(r.cutoffs) + 1 - _violated(r)).alias("first"),
+                                F.lit(len(r.cutoffs)).alias("last")) for r in rules])
     key = F.col(stratum).alias("_stratum")
     n = good.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     n_strata = good.agg(F.count_distinct(F.struct(key)).alias("n_strata"))
     grid = n.select("_stratum", "n", F.explode(levels).alias("g")).select("_stratum", "n", "g.*")
-    hit = good.select(key, F.explode(broken).alias("b")).where("b.level > 0") \
-        .groupBy("_stratum", "b.rule", "b.level").agg(F.count(F.lit(1)).alias("hits")) \
-        .select("_stratum", "rule", F.explode(F.sequence(F.lit(1), F.col("level"))).alias("level"), "hits") \
+    hit = good.select(key, F.explode(broken).alias("b")).where("b.first <= b.last") \
+        .groupBy("_stratum", "b.rule", "b.first", "b.last").agg(F.count(F.lit(1)).alias("hits")) \
+        .select("_stratum", "rule", F.explode(F.sequence("first", "last")).alias("level"), "hits") \
         .groupBy("_stratum", "rule", "level").agg(F.sum("hits").alias("hits"))
     g = grid.alias("g").join(hit.alias("h"), F.col("g._stratum").eqNullSafe(F.col("h._stratum"))
                              & (F.col("g.rule") == F.col("h.rule")) & (F.col("g.level") == F.col("h.level")), "left") \
