@@ -22,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NULL_ID, stage, text_of
+from tessera.llm.common import NULL_ID, map_texts, stage, text_of
 from tessera.llm.components import connected_components
 from tessera.llm.gray_index import GrayIndex, gray_rank
 
@@ -31,6 +31,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not
 SEED = 42
 #: Rows of whole groups searched together.
 CHUNK_ROWS = 100_000
+#: Times a hot group is split.  After four splits the codes of a group of radius
+#: 4 agree on 38 or more bits; what still is large then is searched as it is.
+SPLITS = 4
 #: Shingles whose bits are counted at a time.
 COUNT_ROWS = 1 << 16
 
@@ -66,7 +69,7 @@ def fingerprints(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["id", "fp"])
 
     d = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"), text_of(text).alias("text"))
-    return d.mapInArrow(run, "id bigint, fp bigint")
+    return map_texts(d, run, "id bigint, fp bigint")
 
 
 def blocks(fixed: int, n: int) -> list[int]:
@@ -115,19 +118,18 @@ def links(codes: DataFrame, radius: int, group_rows: int = 20_000) -> DataFrame:
     keyed = codes.select(F.explode(F.array(*[F.lit(_signed(m)).cast("long") for m in masks])).alias("mask"), "fp") \
         .select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"), "fp")
     done = []
-    while masks and any(m.bit_count() < 60 for m in masks):
+    for _ in range(SPLITS):
         hot = keyed.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_rows)
         hot = stage(hot.select("mask", "value"), "hot-groups")
         if hot.isEmpty():
             break
         done.append(keyed.join(hot, ["mask", "value"], "left_anti"))
-        children = {m: blocks(m, radius + 1) for m in masks}
-        pick = F.create_map(*[x for m, c in children.items() for x in (
-            F.lit(_signed(m)).cast("long"), F.array(*[F.lit(_signed(k)).cast("long") for k in c]))])
-        keyed = stage(keyed.join(hot, ["mask", "value"], "left_semi")
-                      .select(F.explode(F.element_at(pick, F.col("mask"))).alias("mask"), "fp")
-                      .select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"), "fp"), "split-groups")
-        masks = [k for c in children.values() for k in c]
+        pairs = [(_signed(m), _signed(k)) for m in masks for k in blocks(m, radius + 1)]
+        children = F.broadcast(codes.sparkSession.createDataFrame(pairs, "mask long, child long"))  # (radius + 1)^splits rows
+        keyed = stage(keyed.join(hot, ["mask", "value"], "left_semi").join(children, "mask")
+                      .select(F.col("child").alias("mask"), F.col("child").bitwiseAND(F.col("fp")).alias("value"), "fp"),
+                      "split-groups")
+        masks = [k for m in masks for k in blocks(m, radius + 1)]
     for part in done:
         keyed = keyed.unionAll(part)
     grouped = keyed.repartition("mask", "value").sortWithinPartitions("mask", "value")
