@@ -73,10 +73,10 @@ def _fix_strings(df: DataFrame, string_empty_as: str, null_tokens: Sequence[str]
         if not isinstance(f.dataType, T.StringType):
             continue
         c = F.col(f"`{f.name}`")
-        if null_tokens:
-            c = F.when(c.isin(list(null_tokens)), F.lit(None).cast("string")).otherwise(c)
         if string_empty_as == "empty":
             c = F.coalesce(c, F.lit(""))
+        if null_tokens:  # last, or the nulls would be blanks again
+            c = F.when(c.isin(list(null_tokens)), F.lit(None).cast("string")).otherwise(c)
         out[f.name] = c
     return df.withColumns(out) if out else df
 

@@ -22,7 +22,7 @@ def test_translate_params():
 
 def test_cross_validate_invariants(spark):
     from tessera.plans.modeling import FEATURES
-    train, test = EX.prepare(_table(spark), "label", "event_id", 0.2, 3, 42, rows_per_bucket=256)
+    train, test = EX.prepare(_table(spark), "label", "event_id", 0.2, 3, 42)
     n_all = _table(spark).count()
     assert train.count() + test.count() == n_all
     pipe = MD.build_pipeline("decision_tree", FEATURES, {"max_depth": 3}, "label", "weight")
@@ -33,7 +33,7 @@ def test_cross_validate_invariants(spark):
 
 def test_soft_vote_weights_grid(spark):
     from tessera.plans.modeling import FEATURES
-    train, _ = EX.prepare(_table(spark), "label", "event_id", 0.2, 3, 42, rows_per_bucket=256)
+    train, _ = EX.prepare(_table(spark), "label", "event_id", 0.2, 3, 42)
     train = train.persist()
     oofs = {}
     for name in ("logistic", "decision_tree"):
@@ -86,3 +86,61 @@ def test_custom_stages_persist(spark, tmp_path):
     p1 = [r.probability[1] for r in model.transform(df).orderBy("id").select("probability").collect()]
     p2 = [r.probability[1] for r in back.transform(df).orderBy("id").select("probability").collect()]
     assert p1 == p2
+
+
+def test_the_vote_can_win_and_is_logged_registered_and_scored(spark, tmp_path):
+    """Two models that each see a part of the signal: their vote beats both, is
+    refitted, scores the holdout and its members are registered."""
+    import random
+
+    from tessera.sources import tracking as TR
+    rng = random.Random(5)
+    rows = []
+    for i in range(3000):
+        x, z = rng.gauss(0, 1), rng.gauss(0, 1)
+        rows.append((i, x, z, int(rng.random() < 1 / (1 + 2.718 ** -(1.2 * x + 2.2 * abs(z) - 1.8)))))
+    df = spark.createDataFrame(rows, "id long, x double, z double, y int").repartition(2)
+    base = str(tmp_path / "registry")
+    cfg = {"models": {"logistic": {"C": 1.0}, "decision_tree": {"max_depth": 3}}, "folds": 3, "parallelism": 2,
+           "search": {"logistic": ({"C": ("log", 0.01, 10.0)}, 2)}, "registry": base, "name": "risk", "scale_columns": ["x"]}
+    out = EX.run_experiment(df, ["x", "z"], "y", "id", cfg)
+    assert out["best"] == "soft_vote" and out["ranking"].where("rank = 1").first()["model"] == "soft_vote"
+    s = out["summary"].first()
+    assert s.best_model == "soft_vote" and s.holdout_roc_auc > 0.6
+    p = out["model"].transform(df).select("probability", "prediction")
+    assert p.count() == 3000 and p.where("prediction NOT IN (0, 1)").count() == 0
+    runs = TR.read_runs(spark, base)
+    stages = {r.stage: r["count"] for r in runs.groupBy("stage").count().collect()}
+    assert stages == {"baseline": 2, "trial": 2, "vote": 1, "champion": 1}
+    champion = runs.where("stage = 'champion'").first()
+    assert abs(champion.metrics["roc_auc"] - s.holdout_roc_auc) < 1e-9
+    assert {r.name for r in TR.read_versions(spark, base).collect()} == {"risk.logistic", "risk.decision_tree"}
+    names = MD.assembler_names(out["model"].members[0][1])
+    assert sorted(names) == ["x", "z"]
+
+
+def test_one_penalty_for_folds_and_refit(spark):
+    df = spark.createDataFrame([(i, float(i % 7), i % 2, i % 3) for i in range(60)], "id long, x double, label int, fold int")
+    pipe = MD.build_pipeline("logistic", ["x"], {"C": 2.0}, "label")
+    assert MD.fit_pipeline(pipe, df).stages[-1].getRegParam() == 1 / 120
+    assert MD.fit_pipeline(pipe, df.where("fold <> 0")).stages[-1].getRegParam() == 1 / 80
+
+
+def test_two_writers_never_share_a_version(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tessera.sources import tracking as TR
+    df = spark.createDataFrame([(float(i), i % 2) for i in range(20)], "x double, label int")
+    model = MD.build_pipeline("decision_tree", ["x"], {"max_depth": 2}, "label").fit(df)
+    with ThreadPoolExecutor(3) as ex:
+        got = list(ex.map(lambda _: TR.save_model(spark, str(tmp_path), "m", model), range(3)))
+    assert sorted(got) == [1, 2, 3]
+
+
+def test_model_queries_leave_no_cache(spark):
+    from conftest import SF001
+    from tessera.plans import QUERIES
+    spark.catalog.clearCache()
+    for name in ("cv01_cross_validate", "cv03_grid_search", "wn03_rank_models", "ag03_value_counts"):
+        QUERIES[name](spark, SF001).collect()
+        assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0, name
