@@ -8,7 +8,7 @@ words one class that is shared evenly among its types.
 The texts are read once.  Each task turns its texts into (context, word) pairs
 and deals them to shards by the hash of the context.  A shard counts the pairs
 of training texts, builds its trie in a memory map and answers the pairs of all
-texts by successor search; only sums per text and shard leave it.  The number of
+texts by successor search; only sums per text leave it.  The number of
 shards grows with the corpus, so a shard's size does not.  A context so frequent
 that it would fill a shard is among the top words, whose counts every task
 knows; its pairs are spread over several shards by the word as well, after equal
@@ -31,7 +31,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NULL_ID, ascii_lower, release, split_words, stage, text_of
+from tessera.llm.common import NULL_ID, ascii_lower, map_texts, release, split_words, stage, text_of
 from tessera.llm.elias_fano import Trie
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have the package installed
@@ -42,7 +42,9 @@ U = np.uint64
 START, END = 65_000, 65_001
 ESCAPE = 0xFFFF
 TAIL = 1 << 63
-CHUNK_CHARS = 2 << 20
+_START, _END = np.array([START], U), np.array([END], U)
+#: Pairs that a task turns into rows at a time.
+CHUNK_PAIRS = 300_000
 
 
 @dataclass(frozen=True)
@@ -71,11 +73,20 @@ class Unigrams:
 
 def count_words(train: DataFrame, top_words: int) -> Unigrams:
     """``train`` has a column ``text``.  All texts are counted; the driver gets
-    the totals and the ``top_words`` most frequent words."""
+    the totals and the most frequent words, ``top_words`` at most."""
     counts = stage(train.select(F.explode(split_words(ascii_lower(F.col("text")))).alias("word"))
                    .groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(top_words).collect()
+    # the lowest count, in eighths of an octave, that at most top_words words reach
+    octave = F.floor(8 * F.log2(F.col("n").cast("double")))
+    least, seen = None, 0
+    for r in sorted(counts.groupBy(octave.alias("o")).agg(F.count(F.lit(1)).alias("v")).collect(), reverse=True):
+        seen += r["v"]
+        if seen > top_words:
+            break
+        least = r["o"]
+    top = [] if least is None else counts.where(octave >= least).collect()  # at most top_words rows
+    top.sort(key=lambda r: (-r["n"], r["word"]))
     texts = train.count()
     release(counts)
     return Unigrams([r["word"].encode() for r in top], np.array([r["n"] for r in top], float),
@@ -99,31 +110,60 @@ def _shard(context: np.ndarray, word: np.ndarray, parts: np.ndarray, shards: int
     return ((h * U(0x94D049BB133111EB) >> U(33)) + g % n) % U(shards)
 
 
-_DEALT = "shard int, ids binary, rks binary, train binary, rows binary, ctx binary, ctx_far binary, " \
-         "word binary, word_far binary, times binary"
+_DEALT = "shard int, chunk bigint, blob binary"
+_ARRAYS = ("<i8", "<u4", "<u4", "u1", "<u4", "<u2", "<u8", "<u2", "<u8", "<u4")
+_SUMS = ("<u4", "<f4", "<f8", "<u4")
 
 
-def _narrow(codes: np.ndarray) -> tuple[bytes, bytes]:
+def pack(arrays, kinds: tuple[str, ...]) -> bytes:
+    """Arrays of the given types in one compressed blob; two-byte codes are
+    stored by byte, as their high bytes repeat."""
+    import zstandard
+
+    parts = []
+    for x, kind in zip(arrays, kinds, strict=True):
+        x = np.ascontiguousarray(x, kind)
+        parts.append(x.view(np.uint8).reshape(-1, 2).T.tobytes() if kind == "<u2" else x.tobytes())
+    head = np.array([len(p) for p in parts], "<u4").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
+
+
+def unpack(blob: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    out, at = [], 4 * len(kinds)
+    for size, kind in zip(np.frombuffer(data, "<u4", len(kinds)).tolist(), kinds, strict=True):
+        part = data[at:at + size]
+        if kind == "<u2":
+            part = np.frombuffer(part, np.uint8).reshape(2, -1).T.tobytes()
+        out.append(np.frombuffer(part, kind))
+        at += size
+    return out
+
+
+def _narrow(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     far = codes >= TAIL
-    return np.where(far, ESCAPE, codes).astype("<u2").tobytes(), codes[far].tobytes()
+    return np.where(far, ESCAPE, codes), codes[far]
 
 
-def _wide(near: bytes, far: bytes) -> np.ndarray:
-    out = np.frombuffer(near, "<u2").astype(U)
-    out[out == ESCAPE] = np.frombuffer(far, U)
+def _wide(near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    out = near.astype(U)
+    out[near == ESCAPE] = far
     return out
 
 
 def _deal(unigrams, parts: np.ndarray, shards: int):
-    names = [c.split()[0] for c in _DEALT.split(", ")]
+    """Texts to rows of one chunk and shard: the pairs, by text of the chunk.
+    The first row of a chunk also lists its texts."""
 
-    def flush(held: list) -> pa.RecordBatch:
-        ids, rks, train, codes = zip(*held, strict=True)
-        ids, rks, train = np.array(ids, np.int64), np.array(rks, np.int32), np.array(train, np.uint8)
+    def flush(held: list, chunk: int) -> pa.RecordBatch:
+        ids, train, codes = zip(*held, strict=True)
+        train = np.array(train, np.uint8)
         size = np.array([len(c) for c in codes]) + 1
         doc = np.repeat(np.arange(len(codes)), size)
-        context = np.concatenate([np.r_[U(START), c] for c in codes])
-        word = np.concatenate([np.r_[c, U(END)] for c in codes])
+        context = np.concatenate([x for c in codes for x in (_START, c)])
+        word = np.concatenate([x for c in codes for x in (c, _END)])
         times = np.ones(len(doc), np.uint32)
         # equal pairs of a text within contexts that are spread: one row with their number
         spread = (context < TAIL) & (word < TAIL)
@@ -140,42 +180,78 @@ def _deal(unigrams, parts: np.ndarray, shards: int):
         order = np.lexsort((doc, shard))
         shard, doc, context, word, times = (x[order] for x in (shard, doc, context, word, times))
         cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
-        rows = []
+        blobs, listed = [], (np.array(ids, np.int64), size)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             d, n = np.unique(doc[a:b], return_counts=True)
-            rows.append((int(shard[a]), ids[d].tobytes(), rks[d].tobytes(), train[d].tobytes(), n.astype("<u4").tobytes(),
-                         *_narrow(context[a:b]), *_narrow(word[a:b]), times[a:b].tobytes()))
-        cols = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names)
+            blobs.append(pack([*listed, d, train[d], n, *_narrow(context[a:b]), *_narrow(word[a:b]), times[a:b]], _ARRAYS))
+            listed = ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]], pa.int32()), pa.array([chunk] * len(blobs), pa.int64()),
+                                           pa.array(blobs, pa.binary())], ["shard", "chunk", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         coder = _Coder((w, i) for i, w in enumerate(unigrams.value.words))
+        chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         held: list = []
         size = 0
         for batch in batches:
-            plain = [c.to_pylist() for c in batch.columns[:3]]
-            for i, rk, train, text in zip(*plain, batch.column(3), strict=True):
+            for i, train, text in zip(*[c.to_pylist() for c in batch.columns[:2]], batch.column(2), strict=True):
                 words = text.as_py().encode("utf-8", "surrogatepass").lower().split()
-                held.append((i, rk, train, np.fromiter(map(coder.__getitem__, words), U, len(words))))
-                size += len(words)
-                if size >= CHUNK_CHARS // 6:
-                    yield flush(held)
-                    held, size = [], 0
+                held.append((i, train, np.fromiter(map(coder.__getitem__, words), U, len(words))))
+                size += len(words) + 1
+                if size >= CHUNK_PAIRS:
+                    yield flush(held, chunk)
+                    held, size, chunk = [], 0, chunk + 1
         if held:
-            yield flush(held)
+            yield flush(held, chunk)
 
     return run
 
 
-def shard_pairs(table: pa.Table) -> dict:
-    """The rows of one shard as flat arrays."""
-    rows = table.to_pylist()
-    join = lambda key, kind: np.concatenate([np.frombuffer(r[key], kind) for r in rows])
-    n = join("rows", "<u4").astype(np.int64)
-    return {"ids": join("ids", np.int64), "rks": join("rks", np.int32), "doc": np.repeat(np.arange(len(n)), n),
-            "train": join("train", np.uint8).astype(bool), "times": join("times", np.uint32).astype(float),
-            "context": np.concatenate([_wide(r["ctx"], r["ctx_far"]) for r in rows]),
-            "word": np.concatenate([_wide(r["word"], r["word_far"]) for r in rows])}
+def _local(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes and each row's place among them, in four bytes."""
+    distinct, place = np.unique(codes, return_inverse=True)
+    return distinct, place.astype(np.int32 if len(distinct) < 1 << 31 else np.int64)
+
+
+class _Shard:
+    """The rows of one shard as arrays; ``doc`` counts texts over all chunks."""
+
+    def __init__(self, table: pa.Table):
+        self.chunks, self.listed, self.docs = [], [], []
+        train, doc, times, context, word = [], [], [], [], []
+        first = 0
+        for chunk, blob in zip(table["chunk"].to_pylist(), table["blob"], strict=True):
+            ids, size, d, t, n, c, c_far, w, w_far, x = unpack(blob.as_py(), _ARRAYS)
+            self.chunks.append((chunk, first, first + len(d)))
+            self.listed.append((ids, size))
+            self.docs.append(d)
+            train.append(np.repeat(t.astype(bool), n))
+            doc.append(np.repeat(np.arange(first, first + len(d), dtype=np.int32), n))
+            times.append(x.astype(np.float32))
+            context.append(_wide(c, c_far))
+            word.append(_wide(w, w_far))
+            first += len(d)
+        self.n = first
+        self.train, self.doc, self.times = (np.concatenate(x) for x in (train, doc, times))
+        self.contexts, ci = _local(np.concatenate(context))
+        del context
+        self.words, wi = _local(np.concatenate(word))
+        del word
+        pair = ci.astype(U) * U(len(self.words)) + wi.astype(U)
+        self.row_context = ci
+        del wi
+        distinct, self.pair = _local(pair)
+        del pair
+        self.pair_context = (distinct // U(len(self.words))).astype(np.int64)
+        self.pair_word = (distinct % U(len(self.words))).astype(np.int64)
+
+    def trie(self, unigrams: Unigrams, mu: float) -> Trie:
+        """Of the pairs that training texts hold."""
+        count = np.bincount(self.pair, self.times * self.train, len(self.pair_context))
+        seen = np.flatnonzero(count)
+        return build_trie(self.contexts[self.pair_context[seen]], self.words[self.pair_word[seen]], count[seen], unigrams, mu)
 
 
 def build_trie(context: np.ndarray, word: np.ndarray, count: np.ndarray, unigrams: Unigrams, mu: float) -> Trie:
@@ -205,44 +281,52 @@ def _log_p1(unigrams: Unigrams, word: np.ndarray) -> np.ndarray:
 
 
 def _score(unigrams_of, mu: float):
+    """Sums per text of a chunk: log10 probability, base terms and known words
+    of the pairs' contexts (every word is the context of one pair)."""
+
     def run(table: pa.Table) -> pa.Table:
-        unigrams = unigrams_of.value
-        p = shard_pairs(table)
-        contexts, ci = np.unique(p["context"], return_inverse=True)
-        words, wi = np.unique(p["word"], return_inverse=True)
-        pair, pi = np.unique(ci.astype(U) * U(len(words)) + wi.astype(U), return_inverse=True)
-        pair_c, pair_w = (pair // U(len(words))).astype(np.int64), (pair % U(len(words))).astype(np.int64)
-        count = np.bincount(pi, p["times"] * p["train"][p["doc"]], len(pair))
-        seen = count > 0
-        trie = build_trie(contexts[pair_c[seen]], words[pair_w[seen]], count[seen], unigrams, mu)
-        parent, size = trie.contexts(contexts)
-        near = contexts < TAIL
-        size[near] = _top_counts(unigrams)[contexts[near].astype(np.int64)]
-        log_p = trie.log_p(parent[pair_c], trie.words(words)[pair_w])
-        back = _log_p1(unigrams, words)[pair_w] + np.log10(mu / (size[pair_c] + mu))
-        log_p = np.where(np.isnan(log_p), back, log_p)
-        n, doc, times, start = len(p["ids"]), p["doc"], p["times"], p["context"] == U(START)
-        word_times = np.where(start, 0, times)
-        sums = [np.bincount(doc, times * log_p[pi], n), np.bincount(doc, word_times * unigrams.base(size)[ci], n),
-                np.bincount(doc, word_times * (size > 0)[ci], n), np.bincount(doc, word_times, n),
-                np.bincount(doc, np.where(start, times, 0), n)]
-        return pa.table([pa.array(p["ids"]), pa.array(p["rks"]), pa.array(sums[0]), pa.array(sums[1]),
-                         *[pa.array(np.rint(s).astype(np.int64)) for s in sums[2:]]],
-                        names=["id", "rk", "log_p", "base", "known", "words", "starts"])
+        unigrams, rows = unigrams_of.value, _Shard(table)
+        trie = rows.trie(unigrams, mu)
+        parent, size = trie.contexts(rows.contexts)
+        near = rows.contexts < TAIL
+        size[near] = _top_counts(unigrams)[rows.contexts[near].astype(np.int64)]
+        log_p = trie.log_p(parent[rows.pair_context], trie.words(rows.words)[rows.pair_word])
+        miss = np.flatnonzero(np.isnan(log_p))
+        log_p[miss] = _log_p1(unigrams, rows.words)[rows.pair_word[miss]] + np.log10(mu / (size[rows.pair_context[miss]] + mu))
+        del trie, miss
+        total = np.bincount(rows.doc, rows.times * log_p[rows.pair], rows.n)
+        word = rows.contexts != U(START)
+        base = np.bincount(rows.doc, rows.times * (word * unigrams.base(size))[rows.row_context], rows.n)
+        known = np.bincount(rows.doc, rows.times * (word & (size > 0))[rows.row_context], rows.n)
+        out: dict = {"chunk": [], "ids": [], "sizes": [], "sums": []}
+        for (chunk, a, b), (ids, sizes), d in zip(rows.chunks, rows.listed, rows.docs, strict=True):
+            out["chunk"].append(chunk)
+            out["ids"].append(ids.tobytes())
+            out["sizes"].append(sizes.tobytes())
+            out["sums"].append(pack([d, total[a:b], base[a:b], np.rint(known[a:b])], _SUMS))
+        return pa.table([pa.array(out["chunk"], pa.int64()), *[pa.array(out[k], pa.binary()) for k in ("ids", "sizes", "sums")]],
+                        names=list(out))
 
     return run
 
 
+def _combine(table: pa.Table) -> pa.Table:
+    """The texts of one chunk with their sums over all shards."""
+    ids = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in table["ids"]])
+    sizes = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table["sizes"]])
+    sums = [np.zeros(len(ids)) for _ in range(3)]
+    for blob in table["sums"]:
+        d, *parts = unpack(blob.as_py(), _SUMS)
+        for total, part in zip(sums, parts, strict=True):
+            total[d] += part
+    return pa.table([pa.array(ids), pa.array(sizes.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]),
+                     pa.array(np.rint(sums[2]).astype(np.int64))], names=["id", "n_tokens", "log_p", "base", "known"])
+
+
 def _tries(unigrams_of, mu: float):
     def run(table: pa.Table) -> pa.Table:
-        p = shard_pairs(table)
-        keep = p["train"][p["doc"]]
-        order = np.lexsort((p["word"][keep], p["context"][keep]))
-        c, w, t = (p[k][keep][order] for k in ("context", "word", "times"))
-        first = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])]) if len(c) else np.empty(0, np.int64)
-        count = np.add.reduceat(t, first) if len(c) else t
-        trie = build_trie(c[first], w[first], count, unigrams_of.value, mu)
-        return pa.table([pa.array([table["shard"][0].as_py()], pa.int32()), pa.array([len(first)], pa.int64()),
+        trie = _Shard(table).trie(unigrams_of.value, mu)
+        return pa.table([pa.array([table["shard"][0].as_py()], pa.int32()), pa.array([trie.children.n], pa.int64()),
                          pa.array([trie.tobytes()], pa.binary())], names=["shard", "pairs", "trie"])
 
     return run
@@ -258,7 +342,7 @@ class NgramModel:
             raise ValueError(f"at most {START} top words")
         d = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"),
                         F.coalesce(is_train, F.lit(False)).cast("int").alias("train"), text_of(text).alias("text"))
-        self.docs = d.select("id", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("rk"), "train", "text")
+        self.docs = d.select("id", "train", "text")
         self.mu = mu
         self.unigrams = count_words(d.where("train = 1").select("text"), top_words)
         share = d.agg(F.sum("train").alias("t"), F.count(F.lit(1)).alias("n")).first()
@@ -269,7 +353,7 @@ class NgramModel:
 
     def _dealt(self) -> tuple[DataFrame, object]:
         shared = self.docs.sparkSession.sparkContext.broadcast(self.unigrams)  # top_words words and counts
-        return self.docs.mapInArrow(_deal(shared, self.parts, self.shards), _DEALT), shared
+        return map_texts(self.docs, _deal(shared, self.parts, self.shards), _DEALT), shared
 
     def tries(self) -> DataFrame:
         """The model: ``shard, pairs, trie``, one memory-mappable trie per shard."""
@@ -286,16 +370,12 @@ class NgramModel:
         Empty tables give an empty result."""
         dealt, shared = self._dealt()
         sums = dealt.groupBy("shard").applyInArrow(
-            _score(shared, self.mu),
-            "id bigint, rk int, log_p double, base double, known bigint, words bigint, starts bigint")
-        out = sums.groupBy("id", "rk").agg(*[F.sum(c).alias(c) for c in ("log_p", "base", "known", "words", "starts")])
+            _score(shared, self.mu), "chunk bigint, ids binary, sizes binary, sums binary")
+        out = sums.groupBy("chunk").applyInArrow(
+            _combine, "id bigint, n_tokens bigint, log_p double, base double, known bigint")
         u = self.unigrams
-        # each row has one start; repeated rows came together and part again
-        out = out.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("starts"))).alias("_copy"))
-        tokens = (F.col("words") / F.col("starts")).cast("long") + 1
         return out.select(
-            F.nullif("id", F.lit(NULL_ID)).alias("doc_id"), tokens.alias("n_tokens"),
-            ((F.col("known") / F.col("starts")).cast("long") + int(u.texts > 0)).alias("n_known"),
-            F.lit(u.tokens).cast("long").alias("train_tokens"),
-            (F.col("base") / F.col("starts") + float(u.base(u.texts)) - tokens * u.base_total).alias("base_score"),
-            (F.col("log_p") / F.col("starts")).alias("score"))
+            F.nullif("id", F.lit(NULL_ID)).alias("doc_id"), "n_tokens",
+            (F.col("known") + int(u.texts > 0)).alias("n_known"), F.lit(u.tokens).cast("long").alias("train_tokens"),
+            (F.col("base") + float(u.base(u.texts)) - F.col("n_tokens") * u.base_total).alias("base_score"),
+            F.col("log_p").alias("score"))
