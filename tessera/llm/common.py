@@ -15,9 +15,22 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Ids that are null rank below every id.
 NULL_ID = -(1 << 63)
+TEXTS_PER_BATCH = 256
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Spark reads Parquet four thousand rows and hands rows to Python ten
+    thousand at a time.  With texts that is tens of megabytes, or far more where
+    texts are long, per task and in both processes; the session's batches are
+    made smaller, which costs nothing with rows of this size."""
+    for key, rows in (("spark.sql.parquet.columnarReaderBatchSize", 256),
+                      ("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_PER_BATCH)):
+        if int(spark.conf.get(key)) > rows:
+            spark.conf.set(key, str(rows))
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
@@ -25,6 +38,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below ``spark.checkpoint.dir`` and read it back:
     a lineage cut that survives lost executors and can be read by column."""
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch_path(spark, f"llm-{name}")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -45,6 +59,12 @@ def release(*staged: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def map_texts(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``mapInArrow`` over rows with whole texts, in small batches."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def text_of(col: str) -> Column:
     """The text column; null counts as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -21,7 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_of
+from tessera.llm.common import map_texts, text_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have the package installed
 
@@ -42,8 +42,6 @@ def encoder(vocabulary: str):
         import tiktoken
         from tokenizers import Tokenizer
 
-        exact = Tokenizer.from_file(vocabulary)
-        exact.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(vocabulary, encoding="utf-8") as f:
             model = json.load(f)
         special = {t["id"] for t in model["added_tokens"]}
@@ -61,6 +59,8 @@ def encoder(vocabulary: str):
             except BaseException as e:  # its regular expressions give up on huge runs of white space
                 if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                     raise
+                exact = Tokenizer.from_file(vocabulary)
+                exact.encode_special_tokens = True  # their strings in a text are ordinary text
                 return np.array(exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
         _ENCODERS[vocabulary] = encode
@@ -122,7 +122,7 @@ def pack_power_of_two(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id",
         raise ValueError("largest must be a power of two")
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    out = d.mapInArrow(_pieces(vocabulary, end, largest, with_ids), schema + ", ids array<int>" * with_ids)
+    out = map_texts(d, _pieces(vocabulary, end, largest, with_ids), schema + ", ids array<int>" * with_ids)
     out = out.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     return out.withColumn("bucket", F.round(F.log2(F.col("length").cast("double"))).cast("int"))
 

@@ -34,7 +34,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NULL_ID, release, stage, text_of
+from tessera.llm.common import NULL_ID, map_texts, release, stage, text_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have the package installed
 
@@ -223,8 +223,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         raise ValueError("length must be at least reach + %d" % GRAM)
     d = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"), text_of(text).alias("text")) \
         .select("id", F.xxhash64("text").alias("rk"), "text")
-    phrases = stage(d.where(F.octet_length("text") >= length).mapInArrow(
-        _parser(length, reach), "id bigint, rk bigint, start bigint, windows int, core bigint, body bigint"), "phrases")
+    phrases = stage(map_texts(
+        d.where(F.octet_length("text") >= length), _parser(length, reach), "id bigint, rk bigint, start bigint, windows int, core bigint, body bigint"), "phrases")
     cores = phrases.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("body").alias("low"), F.max("body").alias("high")) \
         .where("n >= 2").select("core", (F.col("low") == F.col("high")).alias("whole"))
     cores = stage(cores, "cores")
@@ -237,9 +237,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     wanted = rep.groupBy(F.col("r.id").alias("_id"), F.col("r.rk").alias("_rk")).agg(F.collect_list(F.struct(
         F.col("r.start").alias("start"), F.col("r.windows").alias("windows"), "core", "body", "times")).alias("wanted"))
     ranks = d.join(wanted, (F.col("id") == F.col("_id")) & (F.col("rk") == F.col("_rk"))) \
-        .dropDuplicates(["_id", "_rk"]).select("text", "wanted") \
-        .mapInArrow(_window_ranks(length), "core bigint, body bigint, off int, rank bigint, times bigint")
-    ranks = stage(ranks, "window-ranks")
+        .dropDuplicates(["_id", "_rk"]).select("text", "wanted")
+    ranks = stage(map_texts(ranks, _window_ranks(length), "core bigint, body bigint, off int, rank bigint, times bigint"),
+                  "window-ranks")
     again = ranks.groupBy("core", "rank").agg(F.sum("times").alias("n")).where("n >= 2").select("core", "rank")
     offs = ranks.join(again, ["core", "rank"]).groupBy("core", "body").agg(F.sort_array(F.collect_list("off")).alias("offs"))
     offs = stage(offs, "repeated-windows")
@@ -264,4 +264,4 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     out = d.join(per_doc, (F.col("id") == F.col("_id")) & (F.col("rk") == F.col("_rk")), "left") \
         .select(F.nullif("id", F.lit(NULL_ID)).alias("id"), "text", "spans")
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_kept
-    return out.mapInArrow(_cutter(length, with_kept), schema)
+    return map_texts(out, _cutter(length, with_kept), schema)
