@@ -18,10 +18,9 @@ from tessera.llm.queries import vocabulary
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or a risk-controlled cutoff reject go."""
     verdict = quality_rules.quality_rules(docs, load(spark, sf_dir, "labels")).where("kept") \
-        .select(F.col("doc_id").alias("_kept"), "rk").distinct()
-    d = docs.withColumn("_rk", row_key(F.col("text")))
-    return d.join(verdict, d["doc_id"].eqNullSafe(verdict["_kept"]) & (d["_rk"] == verdict["rk"]), "left_semi") \
-        .select(*docs.columns)
+        .select(F.col("doc_id").alias("_kept"), F.col("rk").alias("_rk")).distinct()
+    same = docs["doc_id"].eqNullSafe(verdict["_kept"]) & (row_key(docs["text"]) == verdict["_rk"])
+    return docs.join(verdict, same, "left_semi")
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +43,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     hits = decontaminate.decontaminate(docs, load(spark, sf_dir, "benchmark")).where("n_hit > 0") \
-        .select(F.col("doc_id").alias("_hit"), "rk").distinct()
-    d = docs.withColumn("_rk", row_key(F.col("text")))
-    return d.join(hits, d["doc_id"].eqNullSafe(hits["_hit"]) & (d["_rk"] == hits["rk"]), "left_anti").select(*docs.columns)
+        .select(F.col("doc_id").alias("_hit"), F.col("rk").alias("_rk")).distinct()
+    same = docs["doc_id"].eqNullSafe(hits["_hit"]) & (row_key(docs["text"]) == hits["_rk"])
+    return docs.join(hits, same, "left_anti")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

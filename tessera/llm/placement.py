@@ -71,9 +71,13 @@ def place(df: DataFrame, keys: Sequence[str], shards: Sequence[str] | Mapping[st
     names = sorted(shards)
     table = fill_table(shards, size)
     rows = [(i, names[s]) for i, s in enumerate(table.tolist())]  # `size` rows, the proven bound of the broadcast
-    lookup = df.sparkSession.createDataFrame(rows, f"_slot int, {shard} string")
-    base = df.drop(shard).withColumn(slot, slot_of(*[F.col(k) for k in keys], size=size))
-    return base.join(F.broadcast(lookup), F.col(slot) == F.col("_slot"), "left").drop("_slot")
+    own = "_slot"
+    while own in df.columns or own in (slot, shard):
+        own += "_"
+    lookup = df.sparkSession.createDataFrame(rows, ["i", "name"]).select(
+        F.col("i").cast("int").alias(own), F.col("name").alias(shard))
+    base = df.withColumn(slot, slot_of(*[F.col(k) for k in keys], size=size)).drop(shard)
+    return base.join(F.broadcast(lookup), F.col(slot) == F.col(own), "left").drop(own)
 
 
 def write_shards(placed: DataFrame, path: str, shard: str = "shard", slot: str = "slot") -> None:
