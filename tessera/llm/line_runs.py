@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import NULL_ID, SPACES, ascii_lower, stage, text_of
@@ -26,17 +26,12 @@ from tessera.llm.common import NULL_ID, SPACES, ascii_lower, stage, text_of
 KEY = ["h1", "h2"]
 
 
-def line_key(line: Column) -> Column:
-    """The line without white space at its ends, A-Z in lower case."""
-    return ascii_lower(F.btrim(line, F.lit(SPACES)))
-
-
 def keyed_lines(docs: DataFrame, doc_id: str, text: str, min_chars: int, batches: int) -> DataFrame:
-    """``batch, id, rk, pos, h1, h2`` of every line whose key is long enough.
-    ``rk`` tells apart rows that share an id; null ids rank lowest."""
+    """``batch, id, rk, pos, h1, h2`` of every line whose key is long enough.  The
+    key is the line without white space at its ends, A-Z in lower case.  ``rk`` tells apart rows that share an id; null ids rank lowest."""
     t = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"), text_of(text).alias("_t"))
-    t = t.select("id", F.xxhash64("_t").alias("rk"), F.posexplode(F.split("_t", "\n", -1)).alias("pos", "_line"))
-    t = t.withColumn("_key", line_key(F.col("_line"))).where(F.char_length("_key") >= min_chars)
+    t = t.select("id", F.xxhash64("_t").alias("rk"), F.posexplode(F.split(ascii_lower(F.col("_t")), "\n", -1)).alias("pos", "_line"))
+    t = t.withColumn("_key", F.btrim("_line", F.lit(SPACES))).where(F.char_length("_key") >= min_chars)
     return t.select(F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int").alias("batch"), "id", "rk", "pos",
                     F.xxhash64("_key").alias("h1"), F.xxhash64(F.lit(1), "_key").alias("h2"))
 
@@ -91,12 +86,13 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
                min_docs: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped`` added.
 
-    Lines whose key (see :func:`line_key`) has ``min_chars`` code points and
+    Lines whose key (the line without white space at its ends, A-Z in lower case) has ``min_chars`` code points and
     stands in ``min_docs`` documents stay only in the largest document holding
     it, every time they stand there.  A null or empty text is one empty line.
     Rows that share an id are one holder, and each row keeps or loses its own
     lines; null ids together rank below every id.  Other columns pass through,
-    whatever their names; an empty table gives an empty result."""
+    those named like an added one are replaced; an empty table gives an empty
+    result."""
     lines = stage(keyed_lines(docs, doc_id, text, min_chars, batches), "lines")
     runs = LineRuns(fanout)
     for b in range(batches):
@@ -104,13 +100,16 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     drop = lines.drop("batch").join(runs.repeated(min_docs).select(*KEY, "max_id"), KEY) \
         .where("id <> max_id").groupBy("id", "rk").agg(F.collect_set("pos").alias("_drop")) \
         .select(F.col("id").alias("_id"), F.col("rk").alias("_rk"), "_drop")
-    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[doc_id].cast("long").alias("_doc"),
-                    F.coalesce(docs[text].cast("string"), F.lit("")).alias("_t"))
-    d = d.join(drop, (F.coalesce("_doc", F.lit(NULL_ID)) == F.col("_id")) & (F.xxhash64("_t") == F.col("_rk")), "left")
+    own = {"kept_text", "n_lines", "n_dropped"}
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                    F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("_doc"),
+                    F.xxhash64(text_of(text)).alias("_key"))
+    d = d.join(drop, (F.col("_doc") == F.col("_id")) & (F.col("_key") == F.col("_rk")), "left")
+    d = d.withColumn("_t", F.coalesce(F.col("_row").getField(text).cast("string"), F.lit("")))
     d = d.withColumn("_lines", F.split("_t", "\n", -1))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
     kept = F.array_join(F.transform(stay, lambda p: F.get("_lines", p)), "\n")
-    return d.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns],
+    return d.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c not in own],
                     F.when(F.col("_drop").isNull(), F.col("_t")).otherwise(kept).alias("kept_text"),
                     F.size("_lines").cast("long").alias("n_lines"),
                     F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
