@@ -14,13 +14,15 @@ ordinary calibration documents exceed.  A logistic model over the document's
 evidence (mean, largest, share of toxic windows, number of windows), fitted on
 calibration documents that no dictionary has seen, gives the score.
 
-What is learnt comes from bounded samples of the labelled rows (``max_docs`` of
-each class for the dictionaries, ``max_docs`` for the calibration, chosen by the
-hash of the id); scoring is one pass over all texts without a shuffle.
+What is learnt comes from bounded samples of the labelled rows (about
+``max_docs`` of each class, and as many windows of each, for the dictionaries,
+``max_docs`` for the calibration, chosen by hash); scoring is one pass over all
+texts without a shuffle.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +33,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, split_words, stage, text_of
+from tessera.llm.common import ascii_lower, map_texts, split_words, stage, text_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have the package installed
 
@@ -120,6 +122,17 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarr
     return w
 
 
+def _about(rows: DataFrame, group: str, hashed: str, n: int) -> DataFrame:
+    """About ``n`` rows of each of a few groups (all rows of smaller ones): those
+    whose hash is below the share.  No sort, and no task sends more than its part."""
+    sizes = {r[group]: r["n"] for r in rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
+    low = F.pmod(F.col(hashed), F.lit(1 << 30))
+    keep = F.lit(False)
+    for g, size in sizes.items():
+        keep = keep | ((F.col(group) == g) & (low < math.ceil(n / size * (1 << 30))))
+    return rows.where(keep)
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_docs: int = 20_000,
           window: int = 112, ordinary_size: int = 16384, toxic_size: int = 1600, min_z: float = 6.0, min_docs: int = 5,
           max_words: int = 20_000, window_risk: float = 0.01, calibration: float = 0.25) -> Model:
@@ -130,11 +143,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         .groupBy(F.col(doc_id).alias("_id")).agg(F.max("toxic").cast("int").alias("toxic")) \
         .withColumn("h", F.xxhash64("_id"))
     known = stage(known, "toxicity-labels")
-    held = F.pmod(F.xxhash64("h"), F.lit(1000)) < int(1000 * calibration)
-    picked = [known.where(held).orderBy("h").limit(max_docs).withColumn("part", F.lit("calibrate")),
-              *[known.where(~held & (F.col("toxic") == c)).orderBy("h").limit(max_docs).withColumn("part", F.lit("train"))
-                for c in (0, 1)]]
-    sample = stage(picked[0].unionAll(picked[1]).unionAll(picked[2]), "toxicity-sample")  # at most 3 * max_docs rows
+    part = F.when(F.pmod(F.xxhash64("h"), F.lit(1000)) < int(1000 * calibration), "calibrate").otherwise("train")
+    known = known.withColumn("part", part).withColumn("group", F.when(F.col("part") == "train", F.col("toxic")).otherwise(2))
+    sample = stage(_about(known, "group", "h", max_docs).drop("group"), "toxicity-sample")  # about 3 * max_docs rows at most
     rows = stage(docs.select(F.col(doc_id).alias("_doc"), text_of(text).alias("text"))
                  .join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_id", "h", "toxic", "part", "text"),
                  "toxicity-rows")
@@ -170,9 +181,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(cls, pa.int32()),
                                               pa.array(order, pa.int64())], ["w", "toxic", "o"])
 
-    cut = rows.where("part = 'train'").select("h", "toxic", "text").mapInArrow(pieces, "w binary, toxic int, o bigint")
+    cut = map_texts(rows.where("part = 'train'").select("h", "toxic", "text"), pieces, "w binary, toxic int, o bigint")
     cut = stage(cut, "toxicity-windows")
-    samples = [[bytes(r["w"]) for r in cut.where(F.col("toxic") == c).orderBy("o", "w").limit(max_docs).collect()] for c in (0, 1)]
+    few = sorted(_about(cut, "toxic", "o", max_docs).select("toxic", "o", "w").collect())
+    samples = [[bytes(r["w"]) for r in few if r["toxic"] == c] for c in (0, 1)]
     if not samples[0] or not samples[1]:
         return nothing
     ordinary = train_dictionary(samples[0], ordinary_size)
@@ -192,8 +204,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 [pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64())),
                                                 strict=True)], ["toxic", "n", "mean", "largest", "above"])
 
-    got = rows.where("part = 'calibrate'").select("toxic", "text") \
-        .mapInArrow(evidence, "toxic int, n bigint, mean double, largest bigint, above array<bigint>").collect()
+    got = map_texts(rows.where("part = 'calibrate'").select("toxic", "text"), evidence,
+                    "toxic int, n bigint, mean double, largest bigint, above array<bigint>").collect()
     y = np.array([r["toxic"] for r in got], float)
     if not 0 < y.sum() < len(y):
         return Model(ordinary, toxic, window, 1, (0.0,) * 7, (0.0,) * 6, (1.0,) * 6, float(total))
@@ -233,4 +245,4 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                                               pa.array(bad)], ["doc_id", "score", "predicted", "n_windows", "n_toxic_windows"])
 
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return d.mapInArrow(run, "doc_id bigint, score double, predicted int, n_windows bigint, n_toxic_windows bigint")
+    return map_texts(d, run, "doc_id bigint, score double, predicted int, n_windows bigint, n_toxic_windows bigint")
