@@ -34,10 +34,14 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the smallest id."""
-    groups = simhash_dedup.simhash_dedup(docs)
-    keep = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each near-duplicate group stays: the smallest id's (null ids
+    rank first), of several texts under it the one with the least hash."""
+    least = simhash_dedup.simhash_dedup(docs).groupBy("component").agg(F.min(F.struct("doc_id", "rk")).alias("least"))
+    keep = least.select(F.col("least.doc_id").alias("_keep"), F.col("least.rk").alias("_rk"))
+    keyed = docs.withColumn("_row_rk", row_key(docs["text"]))
+    same = keyed["doc_id"].eqNullSafe(keep["_keep"]) & (keyed["_row_rk"] == keep["_rk"])
+    # repeated rows share id and text, so they are one group's: one of them stays
+    return keyed.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_row_rk"]).select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NULL_ID, map_texts, stage, text_of
+from tessera.llm.common import NULL_ID, map_texts, row_key, stage, text_of
 from tessera.llm.components import connected_components
 from tessera.llm.gray_index import GrayIndex, gray_rank
 
@@ -61,15 +61,16 @@ def fingerprint(text: str, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """``id, fp`` per row; null texts are empty, null ids rank below every id."""
+    """``id, rk, fp`` per row; null texts are empty, null ids rank below every id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["id", "fp"])
+            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["id", "rk", "fp"])
 
-    d = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"), text_of(text).alias("text"))
-    return map_texts(d, run, "id bigint, fp bigint")
+    d = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"), row_key(F.col(text)).alias("rk"),
+                    text_of(text).alias("text"))
+    return map_texts(d, run, "id bigint, rk bigint, fp bigint")
 
 
 def blocks(fixed: int, n: int) -> list[int]:
@@ -138,8 +139,10 @@ def links(codes: DataFrame, radius: int, group_rows: int = 20_000) -> DataFrame:
 
 def simhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4,
                   group_rows: int = 20_000) -> DataFrame:
-    """``doc_id, fp, component_id`` per row of ``docs``; ``component_id`` is the
-    smallest id that a chain of links reaches, the row's own included.
+    """``doc_id, rk, fp, component_id, component`` per row of ``docs``;
+    ``component_id`` is the smallest id that a chain of links reaches, the row's
+    own included, ``component`` the smallest fingerprint of the chain, which
+    tells components apart whatever their ids, and ``rk`` the hash of the text.
 
     Texts of fewer words than ``shingle`` are one shingle; null and empty texts
     have fingerprint zero, which links like any other.  Null ids rank below
@@ -150,12 +153,13 @@ def simhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     comps = connected_components(links(classes.select("fp"), radius, group_rows))
     comps = stage(comps.join(classes, comps["node"] == classes["fp"]).select("node", "root", "first"), "components")
     least = comps.groupBy("root").agg(F.min("first").alias("least"))
-    named = comps.join(least, "root").select("node", "least")
+    named = comps.join(least, "root").select("node", "root", "least")
     classes = classes.join(named, classes["fp"] == named["node"], "left") \
-        .select("fp", F.coalesce("least", "first").alias("component_id"))
+        .select("fp", F.coalesce("root", "fp").alias("component"), F.coalesce("least", "first").alias("component_id"))
     out = fps.join(classes, "fp")
     null = F.lit(NULL_ID)
-    return out.select(F.nullif("id", null).alias("doc_id"), "fp", F.nullif("component_id", null).alias("component_id"))
+    return out.select(F.nullif("id", null).alias("doc_id"), "rk", "fp", F.nullif("component_id", null).alias("component_id"),
+                      "component")
 
 
 def digest(result: DataFrame) -> DataFrame:

@@ -113,3 +113,19 @@ def test_one_document_of_each_group_stays(spark):
     comp = S.simhash_dedup(frame(spark, rows))
     assert out.count() == comp.select("component_id").distinct().count()
     assert {r.doc_id for r in out.collect()} == {r.component_id for r in comp.select(F.col("component_id")).collect()}
+
+
+def test_null_and_reused_ids_keep_a_row_of_each_group(spark):
+    import corpus_pipeline
+    rows = sample()
+    apart = ["".join(f"{c}{i}{c} " for i in range(60)) for c in "qwz"]
+    rows += [(None, t, None, None, None) for t in (*apart, rows[3][1], "")] + [(7_777, a.replace("1", "ö"), "en", "odd", None) for a in apart]
+    rows, d = awkward(spark, rows)
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.near_stage(spark, d, "").collect()]
+    comp = plain_components([plain_fp(t) for _, t, *_ in rows], 4)
+    least = {}
+    for i, t, *_ in rows:
+        least.setdefault(comp[plain_fp(t)], set()).add(-(2 ** 63) if i is None else i)
+    got = {comp[plain_fp(t)]: -(2 ** 63) if i is None else i for i, t in out}
+    assert len(out) == len(got) and got == {c: min(ids) for c, ids in least.items()}
+    assert sum(i is None for i, _ in out) >= 5 and sum(i == 7_777 for i, _ in out) == 3
