@@ -105,6 +105,21 @@ def test_scores(spark):
             assert m.shards > 20 and m.parts.max() > 1
 
 
+def test_words_beyond_the_coded_ones_have_probabilities_of_their_own(spark):
+    """More types of equal count than there are codes: words of count two and of one must not score alike."""
+    from llm_cases import frame
+    rng = np.random.default_rng(6)
+    once, twice = ([f"{c}{i}" for i in range(61_000)] for c in "ab")
+    bag = rng.permutation(once + 2 * twice)
+    rows = [(i, " ".join(x), "en", "s", 1) for i, x in enumerate(np.array_split(bag, 100))]
+    rows += [(1000 + i, " ".join(rng.choice(words, 300)), "en", "s", 1) for i, words in enumerate((once, twice, once, twice))]
+    for rows, kw in ((rows, {}), (sample(), {"code_words": 40, "mu": 3.0, "pairs_per_shard": 3000})):  # noqa: B020
+        m = N.NgramModel(frame(spark, rows), F.col("doc_id") < 1000, **kw)
+        got = sorted((tuple(r) for r in m.score().select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()), key=repr)
+        check(got, plain(rows, [j for j, r in enumerate(rows) if r[0] < 1000], 1 << 40, m.mu))
+        assert len(m.unigrams.words) < m.unigrams.types - 1
+
+
 def test_the_model_can_be_kept(spark):
     rows, d = awkward(spark, sample(80))
     m = N.NgramModel(d, F.lit(True), pairs_per_shard=20_000)
