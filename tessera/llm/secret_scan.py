@@ -3,7 +3,10 @@
 The patterns give the base spans.  The method adds *random* spans: maximal runs
 of key characters that look drawn at random.  For each run an encoding is
 inferred (the smallest of decimal, hex, base32, alphanumeric, base64 whose
-alphabet holds every character).  Three tests against "random over that
+alphabet holds every character).  What base spans leave of a run is tested too.
+A run that mixes the separators of two alphabets fits none: it is cut at either
+pair of separators and at all of them, and every piece is tested; pieces found
+that overlap are one span.  Three tests against "random over that
 alphabet" follow: chi-squared uniformity of the alphabet, a runs test of the
 symbols above and below the middle, and the lag-1 serial correlation.  A run
 that any of them rejects (Bonferroni over the three) is not random.
@@ -41,6 +44,7 @@ _MAY = {"assign": _KEYWORD + r"[\"']?\x20*[:=]", "access": r"AKIA[A-Z0-9]{16}",
 ORDER = {k: i for i, k in enumerate((*BASE, "random"))}
 CANDIDATE = r"[A-Za-z0-9+/_-]+"
 MIN_RANDOM = 20
+SEPARATORS = "/+-_"
 #: Encodings from the smallest alphabet on; order gives the symbols' values.
 ALPHABETS = {
     "decimal": "0123456789",
@@ -80,6 +84,52 @@ def _spans(t: Column, kind: str, pattern: str, group: int, least: int) -> Column
     return F.aggregate(parts, zero, step, lambda acc: acc["out"])
 
 
+_SPAN = "struct<s:bigint,e:bigint,kind:string,n:int,value:string>"
+
+
+def _rest(run: Column, base: Column, least: int) -> Column:
+    """What sorted base spans leave of a run, without separators at its ends;
+    the run itself if they leave it alone."""
+    hit = F.filter(base, lambda b: (b["s"] < run["e"]) & (run["s"] < b["e"]))
+    ends = F.concat(hit, F.array(F.struct(run["e"].alias("s"), run["e"].alias("e"))))
+    zero = F.struct(run["s"].alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+
+    def step(acc: Column, b: Column) -> Column:
+        whole = F.substring(run["value"], (acc["at"] - run["s"] + 1).cast("int"),
+                            F.greatest(F.lit(0), b["s"] - acc["at"]).cast("int"))
+        left = F.ltrim(whole, F.lit(SEPARATORS))
+        value = F.rtrim(left, F.lit(SEPARATORS))
+        s = acc["at"] + F.char_length(whole) - F.char_length(left)
+        one = F.array(F.struct(s.alias("s"), (s + F.char_length(value)).alias("e"), run["kind"].alias("kind"),
+                               run["n"].alias("n"), value.alias("value")))
+        return F.struct(F.greatest(acc["at"], b["e"]).alias("at"),
+                        F.when(F.char_length(value) >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    return F.when(F.size(hit) == 0, F.array(run)).otherwise(F.aggregate(ends, zero, step, lambda acc: acc["out"]))
+
+
+def _pieces(run: Column, least: int) -> Column:
+    """A run that fits no alphabet cut at '/' and '+', at '-' and '_', and at all four; other runs whole."""
+    cut = F.concat(*[_spans(run["value"], "random", p, 0, least) for p in (r"[A-Za-z0-9_-]+", r"[A-Za-z0-9+/]+", r"[A-Za-z0-9]+")])
+    moved = F.transform(cut, lambda x: F.struct((x["s"] + run["s"]).alias("s"), (x["e"] + run["s"]).alias("e"),
+                                                x["kind"].alias("kind"), x["n"].alias("n"), x["value"].alias("value")))
+    mixed = F.rlike(run["value"], F.lit("[+/]")) & F.rlike(run["value"], F.lit("[_-]"))
+    return F.when(mixed, F.array_distinct(moved)).otherwise(F.array(run))
+
+
+def _united(spans: Column) -> Column:
+    """Sorted spans; those that overlap as one."""
+    none = F.array().cast("array<struct<s:bigint,e:bigint,kind:string,n:int>>")
+
+    def step(out: Column, x: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        grown = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(last.withField("e", F.greatest(last["e"], x["e"]))))
+        return F.when(F.size(out) == 0, F.array(x)).when(x["s"] < last["e"], grown) \
+            .otherwise(F.concat(out, F.array(x)))
+
+    return F.aggregate(F.sort_array(spans), none, step)
+
+
 def normal_cdf(z: Column) -> Column:
     """Phi(z) by a rational approximation of the complementary error function,
     relative error below 2e-7 in both tails.  The coefficients are fixed values."""
@@ -164,18 +214,21 @@ def secret_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     long_run = F.rlike("_t", F.lit(CANDIDATE[:-1] + "{%d}" % min_random))
     runs = F.when(long_run, _spans(F.col("_t"), "random", CANDIDATE, 0, min_random)).otherwise(none)
     d = d.select(*keep, F.concat(*found).alias("base"), runs.alias("runs"))
-    clear = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"])))
+    taken = F.sort_array(F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"))))
+    d = d.withColumn("taken", F.when(F.size("runs") > 0, taken))
+    clear = F.flatten(F.transform("runs", lambda r: _rest(r, F.col("taken"), min_random)))
     d = stage(d.select(F.monotonically_increasing_id().alias("_uid"), *keep,
                        F.transform("base", lambda b: b.dropFields("value")).alias("base"), clear.alias("runs")),
               "secret-spans")
-    tested = battery(d.select("_uid", F.explode("runs").alias("r")).select("_uid", "r.*"))
+    runs = d.select("_uid", F.explode("runs").alias("r")).select("_uid", F.explode(_pieces(F.col("r"), min_random)).alias("r"))
+    tested = battery(runs.select("_uid", "r.*"))
     tested = stage(tested.where(F.col("p_random") >= p_random)
                    .withColumn("size_class", F.floor(F.log2(F.char_length("value").cast("double"))))
                    .select("_uid", "s", "e", "kind", "n", "p_text", "size_class"), "secret-tests")
     # one row per power of two of the length: at most 31
     limit = discoveries(tested, q).where("p_max IS NOT NULL")
     more = tested.join(F.broadcast(limit), "size_class").where("p_text <= p_max") \
-        .groupBy(F.col("_uid").alias("_more")).agg(F.collect_list(F.struct("s", "e", "kind", "n")).alias("random"))
+        .groupBy(F.col("_uid").alias("_more")).agg(_united(F.collect_list(F.struct("s", "e", "kind", "n"))).alias("random"))
     out = d.join(more, F.col("_uid") == F.col("_more"), "left")
     ordered = lambda spans: F.transform(
         F.sort_array(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["n"].alias("n"), x["e"].alias("e"),

@@ -89,3 +89,29 @@ def test_false_discovery_bins_match_the_sorted_procedure(spark):
     taken = sum(x <= cut for x in p)
     assert taken <= sum(x <= best for x in p) + 1 and cut >= best * np.exp(-2 / 8)
     assert d.where(F.lit(False)).count() == 0 and S.discoveries(d.limit(0), 0.01).count() == 0
+
+
+def test_tokens_behind_paths_and_beside_base_spans_are_found(spark):
+    from llm_cases import frame
+    rng = random.Random(11)
+    draw = lambda abc, n: "".join(rng.choice(S.ALPHABETS[abc]) for _ in range(n))
+    rows, secret = [], {}
+    for i in range(240):
+        before, abc, after = [("é see /reset-password/", "alnum", " now"), ("at /my_app/", "alnum", ""),
+                              ("AKIA" + "Q2" * 10 + "/", "alnum", " x"), ("é " + "deadbeef" * 4 + "-", "alnum", " x"),
+                              ("to /reset-password/", "base64url", "/done"),
+                              ("x deadbeef" + "0a" * 12 + "/a-b/", "alnum", "")][i % 6]
+        key = "Z" + draw(abc, 46) + "Y"
+        rows.append((i, before + key + after, "en", "x", 1))
+        secret[i] = (len(before), len(before) + len(key))
+    rows += [(1000 + i, "x" + "/some-path/of_words" * 9 + f" {i}", "en", "x", 1) for i in range(50)]
+    out = {r.doc_id: r for r in S.secret_spans(frame(spark, rows)).collect()}
+    for k in range(6):
+        hit = sum(any(x.kind == "random" and x.s <= s and e <= x.e for x in out[i].spans)
+                  for i, (s, e) in secret.items() if i % 6 == k)
+        assert hit >= 32, (k, hit)
+    for r in out.values():
+        found = sorted((x.s, x.e) for x in r.spans if x.kind == "random")
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+        assert not any(x.s < b.e and b.s < x.e for x in r.spans if x.kind == "random" for b in r.base)
+    assert not any(out[1000 + i].spans for i in range(50))
