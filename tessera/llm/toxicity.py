@@ -4,6 +4,10 @@ Two zstandard dictionaries are trained: one on ordinary text, one on toxic
 text.  The toxic one sees the toxic documents reduced to the words that lean
 toxic (their share of toxic documents exceeds that of ordinary ones by a z-score
 of ``min_z``), because what toxic and ordinary text have in common says nothing.
+It holds every leaning word at least once: its size follows from the words found
+(once or twice their bytes, ``toxic_size`` at least, as the calibration documents
+choose).  The bound is ``most`` bytes, zstandard's usual 110 KB, and ``max_words``
+words; of more words those that lean most stay.
 Both compressors use the ordinary dictionary, the second one the toxic
 dictionary as well, so their outputs differ only where toxic material helps.
 
@@ -23,6 +27,7 @@ texts without a shuffle.
 from __future__ import annotations
 
 import math
+import re
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -68,11 +73,14 @@ def windows(text: str, size: int) -> list[bytes]:
     return out
 
 
-def compressor(dictionary: bytes):
+def compressor(dictionary: bytes, span: int = 0):
+    """``span``: bytes of the largest dictionary that is compared."""
     import zstandard as z
 
+    # every position of the dictionary must be in the tables
+    log = max(14, (span - 1).bit_length())
     params = z.ZstdCompressionParameters(
-        window_log=17, hash_log=14, chain_log=14, search_log=4, min_match=4, strategy=z.STRATEGY_LAZY2,
+        window_log=17, hash_log=log, chain_log=log, search_log=4, min_match=4, strategy=z.STRATEGY_LAZY2,
         write_content_size=False, write_checksum=False, write_dict_id=False)
     if not dictionary:
         return z.ZstdCompressor(compression_params=params)
@@ -92,8 +100,28 @@ def train_dictionary(samples: list[bytes], size: int, **cover: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def with_words(dictionary: bytes, words: list[bytes], most: int) -> bytes:
+    """The dictionary after those of ``words`` (strongest first) that it lacks.
+    If that is above ``most`` bytes the words alone, and of them the strongest."""
+    held = set(re.split(rb"[ \t\n\x0b\x0c\r]+", dictionary)[1:-1])
+    missing: list[bytes] = []
+    size = 2
+    for w in words:
+        if w not in held:
+            if size + len(w) + 1 > most:
+                break
+            missing.append(w)
+            size += len(w) + 1
+    added = b" " + b" ".join(missing[::-1]) + b" " if missing else b""
+    room = most - len(added)
+    if len(dictionary) > room:
+        return with_words(b"", words, most)
+    return added + dictionary
+
+
 def _evidence(ordinary: bytes, toxic: bytes, size: int):
-    plain, primed = compressor(ordinary).compress, compressor(toxic + ordinary).compress
+    span = len(toxic) + len(ordinary)
+    plain, primed = compressor(ordinary, span).compress, compressor(toxic + ordinary, span).compress
 
     def of(text: str) -> tuple[np.ndarray, int]:
         pieces = windows(text, size)
@@ -135,7 +163,7 @@ def _about(rows: DataFrame, group: str, hashed: str, n: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_docs: int = 20_000,
           window: int = 112, ordinary_size: int = 16384, toxic_size: int = 1600, min_z: float = 6.0, min_docs: int = 5,
-          max_words: int = 20_000, window_risk: float = 0.01, calibration: float = 0.25) -> Model:
+          max_words: int = 20_000, window_risk: float = 0.01, calibration: float = 0.25, most: int = 112_640) -> Model:
     """Learn from the rows of ``labels`` (``doc_id, toxic``); ids labelled more
     than once are toxic if any label says so, null ids are left out.  Without
     both classes the model knows only the base rate."""
@@ -188,36 +216,48 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     if not samples[0] or not samples[1]:
         return nothing
     ordinary = train_dictionary(samples[0], ordinary_size)
-    toxic = train_dictionary(samples[1], toxic_size, k=16, d=6)
+    leaning = [w.encode() for w in lean]
+    once = sum(len(w) + 1 for w in leaning)
+    sizes_tried = sorted({min(most, max(toxic_size, k * once)) for k in (1, 2)})
+    toxics = [with_words(train_dictionary(samples[1], size, k=16, d=6), leaning, most) for size in sizes_tried]
 
     # calibration documents: the evidence of their windows, as counts above each threshold
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = _evidence(ordinary, toxic, window)
+        each = [_evidence(ordinary, toxic, window) for toxic in toxics]
         for b in batches:
             rows = []
             for c, t in zip(*[x.to_pylist() for x in b.columns], strict=True):
-                gain, n = of(t)
-                above = (gain[:, None] >= THRESHOLDS[None, :]).sum(0)
-                rows.append((c, len(gain), float(gain.sum()) / max(1, n), int(gain.max(initial=0)), above.tolist()))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
+                for j, of in enumerate(each):
+                    gain, n = of(t)
+                    above = (gain[:, None] >= THRESHOLDS[None, :]).sum(0)
+                    rows.append((j, c, len(gain), float(gain.sum()) / max(1, n), int(gain.max(initial=0)), above.tolist()))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64())),
-                                                strict=True)], ["toxic", "n", "mean", "largest", "above"])
+                [pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64(),
+                                                       pa.list_(pa.int64())), strict=True)],
+                ["tried", "toxic", "n", "mean", "largest", "above"])
 
     got = map_texts(rows.where("part = 'calibrate'").select("toxic", "text"), evidence,
-                    "toxic int, n bigint, mean double, largest bigint, above array<bigint>").collect()
-    y = np.array([r["toxic"] for r in got], float)
-    if not 0 < y.sum() < len(y):
-        return Model(ordinary, toxic, window, 1, (0.0,) * 7, (0.0,) * 6, (1.0,) * 6, float(total))
-    n, mean, largest = (np.array([r[k] for r in got], float) for k in ("n", "mean", "largest"))
-    above = np.array([r["above"] for r in got], float)
-    risk = above[y == 0].sum(0) / max(1.0, n[y == 0].sum())
-    fine = np.flatnonzero(risk <= window_risk)
-    threshold = int(THRESHOLDS[fine[0]]) if len(fine) else int(THRESHOLDS[-1])
-    x = _features(mean, largest, above[:, threshold - 1] / np.maximum(n, 1), n)
-    center, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
-    w = _fit_logistic((x - center) / scale, y)
-    return Model(ordinary, toxic, window, threshold, tuple(w), tuple(center), tuple(scale), float(total))
+                    "tried int, toxic int, n bigint, mean double, largest bigint, above array<bigint>").collect()
+    best = None
+    for j, toxic in enumerate(toxics):
+        part = [r for r in got if r["tried"] == j]
+        y = np.array([r["toxic"] for r in part], float)
+        if not 0 < y.sum() < len(y):
+            return Model(ordinary, toxic, window, 1, (0.0,) * 7, (0.0,) * 6, (1.0,) * 6, float(total))
+        n, mean, largest = (np.array([r[k] for r in part], float) for k in ("n", "mean", "largest"))
+        above = np.array([r["above"] for r in part], float)
+        risk = above[y == 0].sum(0) / max(1.0, n[y == 0].sum())
+        fine = np.flatnonzero(risk <= window_risk)
+        threshold = int(THRESHOLDS[fine[0]]) if len(fine) else int(THRESHOLDS[-1])
+        x = _features(mean, largest, above[:, threshold - 1] / np.maximum(n, 1), n)
+        center, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
+        w = _fit_logistic((x - center) / scale, y)
+        p = 1 / (1 + np.exp(-np.clip(w[0] + (x - center) / scale @ w[1:], -30, 30)))
+        loss = -float(np.mean(np.log(np.where(y == 1, p, 1 - p))))
+        if best is None or loss < best[0]:
+            best = loss, Model(ordinary, toxic, window, threshold, tuple(w), tuple(center), tuple(scale), float(total))
+    return best[1]
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

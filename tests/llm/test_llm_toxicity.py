@@ -53,3 +53,24 @@ def test_awkward_rows_and_missing_classes(spark):
         out = T.score(d, T.train(d, known)).collect()
         assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
     assert T.score(empty(spark), T.train(empty(spark), labels)).count() == 0
+
+
+def test_every_leaning_word_counts(spark):
+    """A lexicon of several times the least dictionary: each of its words is evidence."""
+    rng = np.random.default_rng(9)
+    make = lambda n: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(n)]
+    plain, bad = make(3000), make(700)
+    rows, known = [], []
+    for i in range(1600):
+        toxic = i % 2
+        words = list(rng.choice(plain, 100)) + list(rng.choice(bad, 70, replace=False)) * toxic
+        rows.append((i, " ".join(rng.permutation(words)), "en", "s", 1))
+        known.append((i, 1, toxic))
+    model = T.train(frame(spark, rows), spark.createDataFrame(known, "doc_id long, quality int, toxic int"), min_docs=5)
+    held = model.toxic.decode("latin-1")
+    assert np.mean([w in held for w in bad]) > 0.95
+    probe = [(i, " ".join(rng.permutation([*rng.choice(plain, 30), *bad[i * 7:i * 7 + 7]])), "en", "s", 1) for i in range(100)]
+    clean = [(1000 + i, " ".join(rng.choice(plain, 37)), "en", "s", 1) for i in range(100)]
+    out = {r.doc_id: r.score for r in T.score(frame(spark, probe + clean), model).collect()}
+    y = np.array([r[0] < 1000 for r in probe + clean], int)
+    assert auc(y, np.array([out[r[0]] for r in probe + clean])) > 0.97
