@@ -53,8 +53,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Power-of-two pieces of the remaining documents."""
-    return packing.pack_power_of_two(docs, vocabulary(), with_ids=False)
+    """Power-of-two pieces of the remaining documents, their token ids with them."""
+    return packing.pack_power_of_two(docs, vocabulary())
 
 
 STAGES = [

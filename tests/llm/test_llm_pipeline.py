@@ -55,3 +55,12 @@ def test_run(spark):
     a = C.run(spark, SF)
     assert a.count() == a.select("sequence_id").distinct().count() > 100
     assert re.match("doc_id", ",".join(a.columns)) and lower("A") == "a"
+
+
+def test_the_last_stage_returns_the_token_ids(spark):
+    import zlib
+
+    import numpy as np
+    out = C.packing_stage(spark, frame(spark, [(1, "some words to pack", "en", "s", 18), (None, None, None, None, None)]), SF).collect()
+    assert {r.doc_id for r in out} == {1, None}
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in out)
