@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, line_runs, ngram_model, packing, placement, prefix_free, quality_rules, secret_scan, simhash_dedup, toxicity
+from tessera.llm import (decontaminate, fill_middle, host_reputation, line_runs, ngram_model, packing, placement, prefix_free, quality_rules, secret_scan, simhash_dedup,
+                         token_align, toxicity)
 from tessera.llm.common import load, sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,11 +24,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def vocabulary() -> str:
-    """Path of the tokenizer file that packing uses by default."""
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's file."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
+
+
+def vocabulary() -> str:
+    """Path of the tokenizer file that packing uses by default."""
+    return tokenizer_file("byte_bpe_50k.json")
 
 
 def fold(doc_id: str = "doc_id"):
@@ -127,3 +133,38 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_prefix_free_repeats")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_free.remove_repeats(load(spark, sf_dir, "documents"), with_kept=False)
+
+
+@query("op11_host_reputation")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages")
+    outcomes = host_reputation.outcomes_from_documents(pages, load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return host_reputation.filter_urls(pages, outcomes)
+
+
+@query("op12_pointer_jumping_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(load(spark, sf_dir, "documents"), vocabulary(), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query("op13_exception_index_fim", """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+    sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+x AS (
+  SELECT doc_id, t, u, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (
+  SELECT doc_id, t, u, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM x),
+s AS (
+  SELECT doc_id, t, n, form, array_to_string(list_slice(u, 1, a), '') AS p, array_to_string(list_slice(u, a + 1, b), '') AS m,
+    array_to_string(list_slice(u, b + 1, n), '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM s""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle(load(spark, sf_dir, "documents"), with_output=False)
