@@ -40,6 +40,8 @@ from tessera.llm.packing import encoder
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have the package installed
 
 CHUNK_BYTES = 1 << 22
+#: Characters that are tokenised in one call.
+RUN_CHARS = 1 << 12
 #: Links of one group expanded at a time.
 BLOCK = 1 << 20
 UNIT_END = re.compile(r"(?<=[!-~])(?= )")
@@ -116,27 +118,58 @@ def terminal(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return number[pointer[:n]], number[pointer[n:]]
 
 
+class Coder:
+    """Both tokenizers over units, many at a time: units that end in a printable
+    ASCII character are coded in one string and told apart by where tokens end;
+    others, and runs whose bytes do not come out right, one by one."""
+
+    def __init__(self, vocabulary: str, model: str):
+        self.encode, self.b_side = encoder(vocabulary), pieces(model)
+        self.a_length = byte_lengths(vocabulary)
+        self.b_length = np.array([len(x) for x in self.b_side.bytes], np.int64)
+
+    def code(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A, how many each unit has, the same of B, and which units fit:
+        their bytes come out of both.  Others have no ids."""
+        runs: list[list[str]] = []
+        size = RUN_CHARS
+        for u in units:
+            alone = not "!" <= u[-1] <= "~"
+            if alone or size >= RUN_CHARS:
+                runs.append([])
+                size = 0
+            runs[-1].append(u)
+            size += RUN_CHARS if alone else len(u)
+        parts = [part for r in runs for part in self._run(r)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _run(self, units: list[str]):
+        data = [u.encode("utf-8", "surrogatepass") for u in units]
+        whole = b"".join(data)
+        ends = np.cumsum([len(d) for d in data])
+        a = self.encode("".join(units)).astype(np.int64)
+        b = np.array(self.b_side.encode(["".join(units)])[0], np.int64)
+        end_a, end_b = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
+        at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        if len(end_a) and len(end_b) and end_a[-1] == len(whole) == end_b[-1] and (end_a[at_a] == ends).all() \
+                and (end_b[at_b] == ends).all() and b"".join([self.b_side.bytes[i] for i in b.tolist()]) == whole:
+            yield a, np.diff(at_a + 1, prepend=0), b, np.diff(at_b + 1, prepend=0), np.ones(len(units), bool)
+        elif len(units) == 1:
+            none = np.empty(0, np.int64)
+            yield none, np.zeros(1, np.int64), none, np.zeros(1, np.int64), np.zeros(1, bool)
+        else:
+            half = len(units) // 2
+            yield from self._run(units[:half])
+            yield from self._run(units[half:])
+
+
 class Units:
     """Distinct units of a chunk, tokenised and aligned together."""
 
-    def __init__(self, units: list[str], vocabulary: str, model: str):
-        encode, b_side = encoder(vocabulary), pieces(model)
-        a_ids = [encode(u) for u in units]
-        b_ids = b_side.encode(units)
-        data = [u.encode("utf-8", "surrogatepass") for u in units]
-        name = b_side.bytes
-        a_length = byte_lengths(vocabulary)
-        fits = np.array([b"".join([name[i] for i in b]) == d and int(a_length[a].sum()) == len(d)
-                         for a, b, d in zip(a_ids, b_ids, data, strict=True)], bool)
-        self.fits = fits
+    def __init__(self, units: list[str], coder: Coder):
         # the bytes of units that fit, laid end to end
-        a_ids = [a if f else a[:0] for a, f in zip(a_ids, fits, strict=True)]
-        b_ids = [b if f else [] for b, f in zip(b_ids, fits, strict=True)]
-        self.n_a = np.array([len(a) for a in a_ids], np.int64)
-        self.n_b = np.array([len(b) for b in b_ids], np.int64)
-        a = np.concatenate(a_ids).astype(np.int64) if len(a_ids) else np.empty(0, np.int64)
-        b = np.array([i for ids in b_ids for i in ids], np.int64)
-        b_length = np.array([len(x) for x in name], np.int64)
+        a, self.n_a, b, self.n_b, self.fits = coder.code(units) if units else (np.empty(0, np.int64),) * 5
+        a_length, b_length = coder.a_length, coder.b_length
         group_a, group_b = terminal(np.cumsum(a_length[a]), np.cumsum(b_length[b]))
         groups = int(group_a[-1]) + 1 if len(group_a) else 0
         in_a, in_b = np.bincount(group_a, minlength=groups), np.bincount(group_b, minlength=groups)
@@ -212,10 +245,10 @@ def _aligner(vocabulary: str, model: str, chunk_bytes: int, with_groups: bool):
     if with_groups:
         kinds, names = [*kinds, pa.string()], [*names, "groups"]
 
-    def of_chunk(chunk: int, ids: list, docs: list[list[str]]) -> Iterator[pa.RecordBatch]:
+    def of_chunk(chunk: int, coder: Coder, ids: list, docs: list[list[str]]) -> Iterator[pa.RecordBatch]:
         number: dict[str, int] = {}
         seq = [np.fromiter((number.setdefault(u, len(number)) for u in d), np.int64, len(d)) for d in docs]
-        units = Units(list(number), vocabulary, model)
+        units = Units(list(number), coder)
         rows = []
         bounds = np.cumsum([0, *map(len, seq)])
         every = np.concatenate(seq) if seq else np.empty(0, np.int64)
@@ -248,6 +281,7 @@ def _aligner(vocabulary: str, model: str, chunk_bytes: int, with_groups: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # partitions of a scan are the same when a task runs again, and so are these numbers
         chunk = TaskContext.get().partitionId() << 32
+        coder = Coder(vocabulary, model)
         ids: list = []
         docs: list = []
         size = 0
@@ -258,10 +292,10 @@ def _aligner(vocabulary: str, model: str, chunk_bytes: int, with_groups: bool):
                 docs.append(units_of(text) if text else [])
                 size += len(text)
                 if size >= chunk_bytes:
-                    yield from of_chunk(chunk, ids, docs)
+                    yield from of_chunk(chunk, coder, ids, docs)
                     chunk, ids, docs, size = chunk + 1, [], [], 0
         if ids:
-            yield from of_chunk(chunk, ids, docs)
+            yield from of_chunk(chunk, coder, ids, docs)
 
     return run
 
