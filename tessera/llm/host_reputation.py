@@ -157,11 +157,12 @@ def outcomes_from_documents(pages: DataFrame, docs: DataFrame, labels: DataFrame
     line stands for the labels of all labelled documents that hold it; a page is
     bad if the lines it shows are, weighted equally, mostly from documents of no
     quality or toxic ones.  Lines are reduced to one row each before the join."""
-    line = F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1))
     bad = ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")
     known = labels.select("doc_id", bad.alias("bad")).groupBy("doc_id").agg(F.max("bad").alias("bad"))
-    lines = docs.select("doc_id", "text").join(known, "doc_id").select("bad", line.alias("line")) \
-        .select("bad", F.trim("line").alias("line")).where(F.char_length("line") >= min_chars).groupBy(F.xxhash64("line").alias("h")).agg(F.avg("bad").alias("bad"))
+    # texts become hashes where they are read: only those are shuffled
+    long_lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.trim(x)), lambda x: F.char_length(x) >= min_chars)
+    lines = docs.select("doc_id", F.transform(long_lines, lambda x: F.xxhash64(x)).alias("hashes")).where(F.size("hashes") > 0)
+    lines = lines.join(known, "doc_id").select("bad", F.explode("hashes").alias("h")).groupBy("h").agg(F.avg("bad").alias("bad"))
     shown = pages.select("page_id", host_and_path(F.col("url"))[0].alias("host"), F.explode(
         F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit("<p>([^<]*)</p>"), 1)).alias("line"))
     plain = F.col("line")
