@@ -50,7 +50,7 @@ def run_experiment(df: DataFrame, features: Sequence[str], label: str, key: str,
     ``seed``, ``parallelism``, ``scaling``, ``scale_columns``, ``class_weight``;
     with ``registry`` (a folder) every trial, every CV result and the champion
     with its training and holdout metrics are logged there as runs, and the
-    champion is registered as ``name`` (a vote registers its members).
+    champion, a vote included, is registered as ``name``.
 
     ``ranking`` has one row per entrant, the vote among them: a model that its
     search improved enters with its best trial, the vote averages the entrants'
@@ -114,10 +114,7 @@ def run_experiment(df: DataFrame, features: Sequence[str], label: str, key: str,
         "cv_roc_auc": base[best], "train_roc_auc": fitted["roc_auc"], "roc_auc": h["roc_auc"], "recall": h["recall"]})
     version = None
     if base_dir:
-        name = config.get("name", "model")
-        for part, m in ([(f"{name}.{x}", y) for x, (_, y) in zip(members, final.members, strict=True)]
-                        if best == "soft_vote" else [(name, final)]):
-            version = TR.save_model(spark, base_dir, part, m, run)
+        version = TR.save_model(spark, base_dir, config.get("name", "model"), final, run)
     summary = spark.createDataFrame(
         [(best, float(base[best]), float(h["roc_auc"]), float(h["recall"]))],
         "best_model string, cv_roc_auc double, holdout_roc_auc double, holdout_recall double")

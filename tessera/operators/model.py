@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import decide, risk_factors
 from tessera.operators import metrics as MT
 from tessera.operators import sample as SA
+from tessera.operators.vote import VoteModel, positive_score  # noqa: F401
 
 # ----------------------------------------------------------------- registry --
 
@@ -312,13 +313,6 @@ def fit_pipeline(pipe: Pipeline, df: DataFrame, n: int | None = None) -> Pipelin
     return Pipeline(stages=[*stages, est.copy({est.regParam: 1.0 / (c * max(1, n))})]).fit(df)
 
 
-def positive_score(pred: DataFrame) -> Column:
-    """Score of the positive class: P(1) when the model gives probabilities,
-    else the raw margin (LinearSVC) — enough for rank metrics."""
-    c = "probability" if "probability" in pred.columns else "rawPrediction"
-    return vector_to_array(F.col(c))[1]
-
-
 # -------------------------------------------------------- cross-validation --
 
 def _persist(df: DataFrame) -> DataFrame:
@@ -490,25 +484,6 @@ def soft_vote(oofs: Mapping[str, DataFrame], key: str, weight_range: Sequence[in
     return res.orderBy(F.desc("cv_roc_auc_mean"), *wcols)
 
 
-class VoteModel:
-    """Fitted soft vote: the weighted mean of its members' probabilities.
-    ``members``: [(weight, PipelineModel)]."""
-
-    def __init__(self, members: Sequence[tuple[float, PipelineModel]], threshold: float = 0.5):
-        self.members, self.threshold = list(members), threshold
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        d = df
-        for i, (_, m) in enumerate(self.members):
-            p = m.transform(d)
-            d = p.select(*d.columns, positive_score(p).alias(f"_vote{i}"))
-        total = sum(w for w, _ in self.members)
-        score = reduce(lambda a, b: a + b, [F.col(f"_vote{i}") * w for i, (w, _) in enumerate(self.members)]) / total
-        d = d.withColumn("_score", score).drop(*[f"_vote{i}" for i in range(len(self.members))])
-        return d.withColumn("probability", array_to_vector(F.array(1 - F.col("_score"), F.col("_score")))) \
-            .withColumn("prediction", decide("_score", self.threshold).cast("double")).drop("_score")
-
-
 def holdout_evaluate(model, holdout: DataFrame, label: str = "label") -> DataFrame:
     """CV-7: metrics of a fitted model on unseen rows."""
     p = model.transform(holdout)

@@ -90,7 +90,7 @@ def test_custom_stages_persist(spark, tmp_path):
 
 def test_the_vote_can_win_and_is_logged_registered_and_scored(spark, tmp_path):
     """Two models that each see a part of the signal: their vote beats both, is
-    refitted, scores the holdout and its members are registered."""
+    refitted, scores the holdout, is registered, loaded back and scores the same."""
     import random
 
     from tessera.sources import tracking as TR
@@ -114,7 +114,13 @@ def test_the_vote_can_win_and_is_logged_registered_and_scored(spark, tmp_path):
     assert stages == {"baseline": 2, "trial": 2, "vote": 1, "champion": 1}
     champion = runs.where("stage = 'champion'").first()
     assert abs(champion.metrics["roc_auc"] - s.holdout_roc_auc) < 1e-9
-    assert {r.name for r in TR.read_versions(spark, base).collect()} == {"risk.logistic", "risk.decision_tree"}
+    assert [(r.name, r.version) for r in TR.read_versions(spark, base).collect()] == [("risk", out["version"])]
+    back = TR.load_model(spark, base, "risk")
+    assert type(back) is MD.VoteModel and [w for w, _ in back.members] == [w for w, _ in out["model"].members]
+
+    def scores(m):
+        return [(r.id, r.probability, r.decision) for r in MD.score(m, df, 0.3, keep=["id"]).orderBy("id").collect()]
+    assert scores(back) == scores(out["model"])
     names = MD.assembler_names(out["model"].members[0][1])
     assert sorted(names) == ["x", "z"]
 
