@@ -132,7 +132,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_prefix_free_repeats")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prefix_free.remove_repeats(load(spark, sf_dir, "documents"), with_kept=False)
+    docs = load(spark, sf_dir, "documents")
+    # passages of over 50 words may be shorter than the strings that are removed: told in a column of their own
+    shared = prefix_free.shared_words(docs).select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), "n_shared_words")
+    out = prefix_free.remove_repeats(docs, with_kept=False)
+    out = out.join(shared, out["doc_id"].eqNullSafe(shared["_id"]) & (out["rk"] == shared["_rk"]), "left")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256",
+                      F.coalesce("n_shared_words", F.lit(0)).cast("long").alias("n_shared_words"))
 
 
 @query("op11_host_reputation")

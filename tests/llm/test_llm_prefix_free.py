@@ -62,9 +62,42 @@ def test_rolling_hash_and_minimum():
     rng = np.random.default_rng(1)
     data = rng.integers(0, 256, 500).astype(np.uint8)
     data[300:340] = data[100:140]
-    r = P.Rolling(data)
+    r = P.Rolling(data.astype(np.uint64))
     h = r.of(np.arange(460), 40)
     assert h[300] == h[100] and len(np.unique(h)) == 459
     x = rng.integers(0, 1 << 63, 200).astype(np.uint64)
     for w in (1, 7, 64, 200):
         assert (P.sliding_min(x, w) == np.array([x[i:i + w].min() for i in range(200 - w + 1)])).all()
+
+
+def shared(rows, words):
+    from llm_cases import WORD
+    data = [((i, t or ""), WORD.findall(t or "")) for i, t, *_ in rows]
+    holders = {}
+    for key, w in data:
+        for x in range(len(w) - words + 1):
+            holders.setdefault(tuple(w[x:x + words]), set()).add(key)
+    out = set()
+    for (i, t), w in data:
+        hit = {y for x in range(len(w) - words + 1) if len(holders[tuple(w[x:x + words])]) > 1 for y in range(x, x + words)}
+        if hit:
+            out.add((str(i), len(t), len(hit)))
+    return out
+
+
+def test_shared_words(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    rng = random.Random(8)
+    noise = lambda n: " ".join(rng.choice(("to", "the", "é", "a,")) + str(rng.randrange(500)) for _ in range(n))
+    passage = noise(80).split(" ")
+    rows = [(500 + k, noise(30) + "\n" + rng.choice((" ", "\t \n")).join(passage[k % 9:k % 9 + n]) + " " + noise(20), "en", "x", 1)
+            for k, n in enumerate([49, 50, 51, 52, 60, 70, 51, 51])]
+    rows += [(600, noise(60) + " again " + noise(1), "en", "x", 1), (601, " ".join(["ha"] * 200), "en", "x", 1)]
+    rows, d = awkward(spark, [*sample(), *rows])
+    lengths = d.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce(F.char_length("text"), F.lit(0)).alias("n")).distinct()
+    for words, reach in ((51, 32), (20, 12)):
+        got = P.shared_words(d, words=words, reach=reach).withColumnRenamed("doc_id", "i")
+        got = got.join(lengths, got["i"].eqNullSafe(lengths["doc_id"]) & (got["rk"] == lengths["h"]))
+        got = [(str(r.i), r.n, r.n_shared_words) for r in got.collect()]
+        assert len(got) == len(set(got)) and set(got) == shared(rows, words)
+    assert P.shared_words(empty(spark)).count() == 0
