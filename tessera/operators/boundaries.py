@@ -24,14 +24,21 @@ def _unsigned(v: int) -> int:
     return v - LOWEST
 
 
+class RepeatedKey(ValueError):
+    """A key that must be unique stands in several rows (or is null)."""
+
+
 def find(df: DataFrame, value: Column, ranks: Callable[[int], Sequence[int]], by: str | None = None,
-         tie: Column | None = None) -> dict:
-    """``{class: (n, [(value, tie) or None, ...])}``: for every class of ``by``
-    the row at each 0-based rank of ``ranks(n)`` in order of ``value`` (bigint),
-    then ``tie``; None where the rank is n or more.  ``tie`` is None in the
-    result where the first row of that value is meant.  Null values rank first.
-    The classes are the strata of a split: few, and their counts reach the
-    driver."""
+         tie: Column | None = None, together: bool = False) -> dict:
+    """``{class: (n, [(value, tie, after) or None, ...])}``: for every class of
+    ``by`` the row at each 0-based rank of ``ranks(n)`` in order of ``value``
+    (bigint), then ``tie``; None where the rank is n or more.  ``tie`` is None in
+    the result where the first row of that value is meant.  Null values rank first.
+    The classes are the strata of a split: few, and their counts reach the driver.
+
+    A rank may fall inside the rows of one ``(value, tie)``.  With ``together``
+    the boundary then moves to the nearer end of these rows (``after``: behind
+    them), so that they stay on one side; else :class:`RepeatedKey` is raised."""
     cls = F.col(f"`{by}`") if by else F.lit(None).cast("string")
     v = F.coalesce(value.cast("long"), F.lit(LOWEST))
     u = v.bitwiseXOR(F.lit(LOWEST))  # unsigned order
@@ -74,11 +81,18 @@ def find(df: DataFrame, value: Column, ranks: Callable[[int], Sequence[int]], by
                 found.append(None)
                 continue
             p, rank, m = at[(c, i)]
-            t = None
-            if rank and tie is not None:  # equal values: as many as hash collisions
+            t, after = None, False
+            if tie is not None and (rank or m > 1):
+                # the ties of one value: as many as hash collisions, each with its rows counted
                 same = d.where(F.col("c").eqNullSafe(F.lit(c)) & (F.col("u") == F.lit(p - (1 << 64) if p >> 63 else p)))
-                t = same.select("t").orderBy("t").limit(rank + 1).collect()[-1]["t"]
-            found.append((p + LOWEST, t))
+                for t, size in same.groupBy("t").agg(F.count(F.lit(1))).orderBy("t").collect():  # noqa: B007
+                    if rank < size:
+                        break
+                    rank -= size
+                if rank and not together:
+                    raise RepeatedKey(f"key {t!r} stands in {size} rows; name the column as group to keep such rows together")
+                after = 2 * rank > size
+            found.append((p + LOWEST, t, after))
         out[c] = (n[c], found)
     return out
 
@@ -94,16 +108,17 @@ def segment(df: DataFrame, value: Column, found: dict, by: str | None = None, ti
     def reached(i: int) -> Column:
         past = v > F.col(f"_v{i}")
         if tie is not None:
-            past = past | ((v == F.col(f"_v{i}")) & (F.col(f"_t{i}").isNull() | (tie >= F.col(f"_t{i}"))))
+            later = F.when(F.col(f"_a{i}"), tie > F.col(f"_t{i}")).otherwise(F.col(f"_t{i}").isNull() | (tie >= F.col(f"_t{i}")))
+            past = past | ((v == F.col(f"_v{i}")) & F.coalesce(later, F.lit(False)))
         else:
             past = past | (v == F.col(f"_v{i}"))
         return F.coalesce(past, F.lit(False)).cast("int")
 
     ctype = df.schema[by].dataType.simpleString() if by else "string"
     ttype = df.select(tie.alias("t")).schema["t"].dataType.simpleString() if tie is not None else "long"
-    rows = [(c, n, *[x for i in range(most) for x in ((b[i] if i < len(b) and b[i] else (None, None)))])
+    rows = [(c, n, *[x for i in range(most) for x in ((b[i] if i < len(b) and b[i] else (None, None, False)))])
             for c, (n, b) in found.items()]
-    schema = ", ".join([f"_c {ctype}", "_n long", *[f"_v{i} long, _t{i} {ttype}" for i in range(most)]])
+    schema = ", ".join([f"_c {ctype}", "_n long", *[f"_v{i} long, _t{i} {ttype}, _a{i} boolean" for i in range(most)]])
     side = df.sparkSession.createDataFrame(rows, schema)
     on = F.col(f"`{by}`").eqNullSafe(F.col("_c")) if by else F.col("_c").isNull()
     out = df.join(F.broadcast(side), on, "left")
@@ -111,4 +126,4 @@ def segment(df: DataFrame, value: Column, found: dict, by: str | None = None, ti
     out = out.withColumn(name, seg)
     if size:
         out = out.withColumn(size, F.col("_n"))
-    return out.drop("_c", "_n", *[f"_{x}{i}" for x in "vt" for i in range(most)])
+    return out.drop("_c", "_n", *[f"_{x}{i}" for x in "vta" for i in range(most)])

@@ -60,14 +60,23 @@ def impute_median(df: DataFrame, cols: Sequence[str], approx: bool = False,
 
 
 def fit_modes(df: DataFrame, cols: Sequence[str]) -> dict:
-    """Most frequent non-null value per column, the smallest on ties
-    (sklearn).  Per column: grouped count (partial aggregation) and a top-1
-    — no task holds more than one partition's distinct values."""
-    out = {}
-    for c in cols:
-        r = (df.where(_q(c).isNotNull()).groupBy(_q(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-               .orderBy(F.desc("n"), F.asc("v")).limit(1).collect())
-        out[c] = r[0]["v"] if r else None
+    """Most frequent non-null value per column, the smallest on ties (sklearn).
+
+    Columns of one type are stacked as (column, value) rows and counted in one
+    scan; the most frequent value of each column is an aggregate over the counts
+    (one row per task and column at the end), so no task holds the distinct values
+    of a column."""
+    by_type: dict = {}
+    for i, c in enumerate(cols):
+        by_type.setdefault(df.schema[c].dataType, []).append((i, c))
+    out: dict = dict.fromkeys(cols)
+    for group in by_type.values():
+        stacked = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _q(c).alias("v")) for i, c in group])).alias("x")) \
+            .select("x.i", "x.v").where("v IS NOT NULL")
+        counts = stacked.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+        # the largest count, then the smallest value: min over (-n, v)
+        best = counts.groupBy("i").agg(F.min(F.struct((-F.col("n")).alias("n"), "v"))["v"].alias("v")).collect()
+        out.update({cols[r["i"]]: r["v"] for r in best})
     return out
 
 

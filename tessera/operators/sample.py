@@ -254,30 +254,40 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42, hash: str = "arith
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.2,
-                     seed: int = 42, hash: str = "arith", exact: bool = True) -> DataFrame:
+                     seed: int = 42, hash: str = "arith", exact: bool = True, group: str | None = None) -> DataFrame:
     """SP-2: adds ``is_test`` (boolean).
 
+    ``key`` must be unique; where a cut meets a key that repeats or is null,
+    ``boundaries.RepeatedKey`` is raised.  With ``group`` (an integer column, such
+    as a patient's id) all rows of a group go to one side and nulls are one group:
+    the groups are taken in hash order until the share of all rows is reached as
+    nearly as whole groups allow, and each class's share is approached by chance.
+
     ``exact=True``: of each class the ``ceil(n_c * test_size)`` rows with the
     smallest hashes go to test, so every class has exactly that share.  Only
     the hash at the cut is searched (:mod:`~tessera.operators.boundaries`); no
     row is sorted or moved.  ``exact=False``: ``hash mod 10000 <
     test_size*10000``, binomial share."""
-    h = key_hash(key, seed, hash)
+    h = key_hash(group or key, seed, hash)
     if not exact:
+        h = F.coalesce(h, F.lit(0)) if group else h
         return df.withColumn("is_test", F.pmod(h, F.lit(10000)) < int(round(test_size * 10000)))
-    found = BO.find(df, h, lambda n: [math.ceil(round(n * test_size, 9))], label, _q(key))
-    return BO.segment(df, h, found, label, _q(key), "_s").withColumn("is_test", F.col("_s") == 0).drop("_s")
+    by, tie = (None, _q(group)) if group else (label, _q(key))
+    found = BO.find(df, h, lambda n: [math.ceil(round(n * test_size, 9))], by, tie, together=group is not None)
+    return BO.segment(df, h, found, by, tie, "_s").withColumn("is_test", F.col("_s") == 0).drop("_s")
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42,
-                     hash: str = "arith") -> DataFrame:
-    """SP-3: adds ``fold`` in 0..k-1.  Within each class the hash order is cut
+                     hash: str = "arith", group: str | None = None) -> DataFrame:
+    """SP-3: adds ``fold`` in 0..k-1 (``key`` and ``group`` as in
+    :func:`stratified_split`).  Within each class the hash order is cut
     into k runs whose sizes differ by at most one row (``fold = floor(rank * k /
     n)``), the StratifiedKFold guarantee; only the k - 1 hashes at the cuts are
     searched."""
-    h = key_hash(key, seed, hash)
-    found = BO.find(df, h, lambda n: [-(-j * n // k) for j in range(1, k)], label, _q(key))
-    return BO.segment(df, h, found, label, _q(key), "fold")
+    h = key_hash(group or key, seed, hash)
+    by, tie = (None, _q(group)) if group else (label, _q(key))
+    found = BO.find(df, h, lambda n: [-(-j * n // k) for j in range(1, k)], by, tie, together=group is not None)
+    return BO.segment(df, h, found, by, tie, "fold")
 
 
 # ---------------------------------------------------------------- WN: batches --

@@ -82,20 +82,15 @@ def chi2_stat(df: DataFrame, pairs: Sequence[Sequence[str]], yates: bool = True)
     # a window over the pair would hold every cell of a pair in one task
     n_pair = cells.groupBy(F.col("pair").alias("_p")).agg(F.sum("o").alias("N"))
     cells = cells.join(F.broadcast(n_pair), F.col("pair") == F.col("_p")).drop("_p")
-    cells = cells.withColumns({
-        "r": F.sum("o").over(Window.partitionBy("pair", "a")),
-        "c": F.sum("o").over(Window.partitionBy("pair", "b"))})
-    cells = cells.withColumns({
-        "e": F.col("r") * F.col("c") / F.col("N"),
-        "ra": F.row_number().over(Window.partitionBy("pair", "a").orderBy("b")) == 1,
-        "cb": F.row_number().over(Window.partitionBy("pair", "b").orderBy("a")) == 1})
-    per = cells.groupBy("pair").agg(
-        F.first("N").alias("N"),
-        F.count_if("ra").alias("R"), F.count_if("cb").alias("C"),
-        F.sum(F.when(F.col("ra"), 1.0 / F.col("r"))).alias("inv_r"),
-        F.sum(F.when(F.col("cb"), 1.0 / F.col("c"))).alias("inv_c"),
-        F.sum(F.col("o") * F.col("o") / F.col("e")).alias("s"),
-        F.max(F.abs(F.col("o") - F.col("e"))).alias("d"))
+    # margins: grouped sums joined back, so no task holds all cells of one value
+    rows = cells.groupBy("pair", "a").agg(F.sum("o").alias("r"))
+    cols = cells.groupBy("pair", "b").agg(F.sum("o").alias("c"))
+    sides = rows.groupBy("pair").agg(F.count(F.lit(1)).alias("R"), F.sum(1.0 / F.col("r")).alias("inv_r")) \
+        .join(cols.groupBy("pair").agg(F.count(F.lit(1)).alias("C"), F.sum(1.0 / F.col("c")).alias("inv_c")), "pair")
+    e = F.col("r") * F.col("c") / F.col("N")
+    per = cells.join(rows, ["pair", "a"]).join(cols, ["pair", "b"]).groupBy("pair").agg(
+        F.max("N").alias("N"), F.sum(F.col("o") * F.col("o") / e).alias("s"), F.max(F.abs(F.col("o") - e)).alias("d")) \
+        .join(sides, "pair")
     dof = ((F.col("R") - 1) * (F.col("C") - 1)).cast("long")
     plain = F.greatest(F.col("s") - F.col("N"), F.lit(0.0))
     corrected = F.pow(F.greatest(F.col("d") - 0.5, F.lit(0.0)), 2) * F.col("N") * F.col("inv_r") * F.col("inv_c")
@@ -143,7 +138,7 @@ def trend(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def smooth(trend_df: DataFrame, x: str = "x", y: str = "y_mean", frac: float = 0.3, it: int = 0,
-           rows_per_bucket: int = 1 << 20) -> DataFrame:
+           rows_per_bucket: int = 1 << 20, delta: float = 0.0) -> DataFrame:
     """AG-16 second half: locally weighted linear regression (LOWESS) of the
     trend table: ``x, y, smooth``.
 
@@ -151,10 +146,15 @@ def smooth(trend_df: DataFrame, x: str = "x", y: str = "y_mean", frac: float = 0
     ``|dx|``, ties by x) get tricube weights ``(1 - (d/h)^3)^3`` with ``h``
     the k-th distance, and a weighted least-squares line is evaluated at the
     point.  The k nearest of a point lie within ``k - 1`` ranks of it, so
-    candidates come from a rank *band* join (``2k - 1`` per point, never all
-    pairs); the work is O(m k) over the m distinct x values.  ``it`` bisquare
-    robustness iterations re-weight by the residuals (median absolute
-    residual from the exact quantile operator)."""
+    candidates come from a rank *band* join, ``2k - 1`` per point.  With k a share
+    of the m distinct x values this is quadratic in m.  ``delta`` (a share of the
+    range of x, 0.01 for long tables) makes it linear: the line is fitted at the
+    first and last point of each of the ``1 / delta`` cells of that width and
+    interpolated between them, see :func:`_smooth_grid`.  ``it`` bisquare robustness
+    iterations re-weight by the residuals (median absolute residual from the exact
+    quantile operator)."""
+    if delta:
+        return _smooth_grid(trend_df, x, y, frac, it, rows_per_bucket, delta)
     from tessera.operators.quantiles import exact_quantiles
     from tessera.operators.sample import ordered_index
     t = trend_df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) \
@@ -205,3 +205,85 @@ def smooth(trend_df: DataFrame, x: str = "x", y: str = "y_mean", frac: float = 0
         cur = fit(pairs.join(delta, "j").withColumn("w", F.col("w0") * F.col("delta"))).checkpoint()
         res.unpersist()
     return t.join(cur, t["r"] == cur["i"]).select("x", "y", F.col("fit").alias("smooth"))
+
+
+def _weighted_line(w, x, y, at):
+    """(sums of a weighted line fit, its value at ``at`` from them)."""
+    sums = [F.sum(w).alias("sw"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"),
+            F.sum(w * x * x).alias("sxx"), F.sum(w * x * y).alias("sxy")]
+    sw, sx, sy, sxx, sxy = (F.col(c) for c in ("sw", "sx", "sy", "sxx", "sxy"))
+    den = sw * sxx - sx * sx
+    b = (sw * sxy - sx * sy) / den
+    ok = F.abs(den) > F.lit(1e-12) * F.greatest(F.lit(1.0), sw * sxx)
+    return sums, F.when(sw <= 0, F.lit(None)).when(ok, (sy - b * sx) / sw + b * at).otherwise(sy / sw)
+
+
+def _smooth_grid(trend_df: DataFrame, x: str, y: str, frac: float, it: int, rows_per_bucket: int, delta: float) -> DataFrame:
+    """LOWESS fitted at no more than ``2 / delta + 4`` points.
+
+    * The points (first and last of each cell, at most that many rows) reach the
+      driver and travel as literals.
+    * A point's bandwidth is the least reach of the windows of k consecutive x that
+      hold it; windows come from one equi-join of the ranks with themselves, and
+      each looks only at the points inside it.
+    * Every row then adds its weighted moments to the points within whose bandwidth
+      it lies (combined before the shuffle), and is interpolated inside its cell.
+
+    Work and rows are m times the points that see a row; nothing is joined in
+    pairs.  Robustness weights are functions of a row and the fits, so iterations
+    do not grow the lineage."""
+    from tessera.operators.quantiles import exact_quantiles
+    from tessera.operators.sample import ordered_index
+    from tessera.session import scratch_path
+    if not 0 < delta <= 1:
+        raise ValueError("delta must lie between 0 and 1")
+    t = trend_df.select(_q(x).cast("double").alias("x"), _q(y).cast("double").alias("y")) \
+        .where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    m, lo, hi = t.agg(F.count(F.lit(1)), F.min("x"), F.max("x")).first()
+    if not m:
+        return t.withColumn("smooth", F.lit(None).cast("double"))
+    k = min(m, max(2, int(frac * m + 1e-10)))
+    width = (hi - lo) * delta or 1.0
+    t = ordered_index(t, ["x"], name="r", rows_per_bucket=rows_per_bucket, n_rows=m)
+    path = scratch_path(trend_df.sparkSession, "lowess")
+    t.withColumn("cell", F.floor((F.col("x") - F.lit(lo)) / F.lit(width))).write.parquet(path)
+    t = trend_df.sparkSession.read.parquet(path)
+    cells = t.groupBy("cell").agg(F.min("x").alias("a"), F.max("x").alias("b")).collect()
+    points = sorted({c[e] for c in cells for e in ("a", "b")})
+    at = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(points)])
+    windows = t.select("r", F.col("x").alias("first")).join(t.select((F.col("r") - (k - 1)).alias("r"), F.col("x").alias("last")), "r")
+    inside = windows.select("first", "last", F.explode(F.filter(at, lambda q: q["p"].between(F.col("first"), F.col("last")))).alias("q"))
+    reach = {r["i"]: r["h"] for r in inside.groupBy(F.col("q.i").alias("i")).agg(
+        F.min(F.greatest(F.col("q.p") - F.col("first"), F.col("last") - F.col("q.p"))).alias("h")).collect()}
+    bands = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), F.lit(float(reach[i])).alias("h")) for i, p in enumerate(points)])
+    spark = t.sparkSession
+
+    def fits(weight) -> dict:
+        """Value of the fitted line at every point."""
+        far = lambda q: F.abs(F.col("x") - q["p"])
+        d = t.select("x", "y", weight.alias("rw"), F.explode(F.filter(
+            bands, lambda q: (far(q) < q["h"]) | (q["h"] <= 0) & (far(q) == 0))).alias("q"))
+        q = F.col("q")
+        tri = F.when(q["h"] <= 0, F.lit(1.0)).otherwise(F.pow(1 - F.pow(far(q) / q["h"], 3), 3))
+        sums, value = _weighted_line(tri * F.col("rw"), F.col("x"), F.col("y"), F.col("p"))
+        g = d.groupBy(q["i"].alias("i"), q["p"].alias("p")).agg(*sums)
+        return {r["p"]: r["v"] for r in g.select("p", value.alias("v")).collect()}  # one row per point
+
+    def interpolated(found: dict) -> DataFrame:
+        side = spark.createDataFrame([(c["cell"], c["a"], c["b"], found.get(c["a"]), found.get(c["b"])) for c in cells],
+                                     "cell long, xa double, xb double, fa double, fb double")
+        f = F.when(F.col("xa") == F.col("xb"), F.col("fa")).otherwise(
+            F.col("fa") + (F.col("fb") - F.col("fa")) * (F.col("x") - F.col("xa")) / (F.col("xb") - F.col("xa")))
+        return t.join(F.broadcast(side), "cell").select("x", "y", "r", "cell", f.alias("smooth"))
+
+    out = interpolated(fits(F.lit(1.0)))
+    for _ in range(it):
+        s = exact_quantiles(out.select(F.abs(F.col("y") - F.col("smooth")).alias("ae")), ["ae"], [0.5])["ae"][0] or 0.0
+        if s <= 0:
+            break
+        u = (F.col("y") - F.col("smooth")) / F.lit(6.0 * s)
+        path = scratch_path(spark, "lowess")
+        out.withColumn("rw", F.when(F.abs(u) < 1, F.pow(1 - u * u, 2)).otherwise(F.lit(0.0))).drop("smooth").write.parquet(path)
+        t = spark.read.parquet(path)
+        out = interpolated(fits(F.col("rw")))
+    return out.select("x", "y", "smooth")

@@ -203,7 +203,11 @@ def anova_f(spark, sf):
     return ST.anova_f(load(spark, sf, "lineitem"), NUM, "l_returnflag")
 
 
-@query("ag13_anova")
+# three groups: with two degrees of freedom the tail of F has a closed form
+@query("ag13_anova", f"""
+SELECT *, p_value < 0.05 AS significant
+FROM (SELECT *, pow(1 + 2 * f_stat / df_within, -df_within / 2) AS p_value FROM ({union_all([_anova_sql(c) for c in NUM])}) f) p
+""")
 def anova(spark, sf):
     return ST.anova_oneway(load(spark, sf, "lineitem"), NUM, "l_returnflag")
 
@@ -241,7 +245,13 @@ def chi2_stat(spark, sf):
     return ST.chi2_stat(_chi_base(spark, sf), CHI_PAIRS)
 
 
-@query("ag14_chi2")
+# one and two degrees of freedom: the error function by its series, and an exponential
+@query("ag14_chi2", f"""
+SELECT *, p_value < 0.05 AS significant FROM (
+  SELECT *, CASE dof WHEN 2 THEN exp(-chi2 / 2)
+    WHEN 1 THEN 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 60),
+      lambda n: pow(-1, n) * pow(sqrt(chi2 / 2), 2 * n + 1) / (gamma(n + 1) * (2 * n + 1)))) END AS p_value FROM ({CHI_SQL}) x) y
+""")
 def chi2(spark, sf):
     return ST.chi2_independence(_chi_base(spark, sf), CHI_PAIRS)
 
@@ -277,7 +287,7 @@ def class_weights(spark, sf):
     return PR.class_weights(lineitem_labeled(spark, sf), "is_returned")
 
 
-@query("ag16_smooth", """
+SMOOTH_SQL = """
 WITH t AS (SELECT CAST(l_quantity AS DOUBLE) AS x, avg(l_extendedprice) AS y FROM lineitem
            WHERE l_quantity IS NOT NULL GROUP BY l_quantity),
 m AS (SELECT count(*) AS m FROM t),
@@ -296,7 +306,10 @@ SELECT t.x, t.y,
               + ((sw * sxy - sx * sy) / (sw * sxx - sx * sx)) * t.x
        ELSE sy / sw END AS smooth
 FROM t JOIN g ON t.x = g.xi
-""")
+"""
+
+
+@query("ag16_smooth", SMOOTH_SQL)
 def smooth(spark, sf):
     """AG-16: LOWESS (frac 0.3, no robustness iteration) of the quantity
     trend; the DuckDB twin enumerates all pairs, the Spark plan a rank band."""
@@ -304,6 +317,18 @@ def smooth(spark, sf):
     return ST.smooth(tr, "x", "y_mean", frac=0.3, it=0)
 
 
+@query("ag16_smooth_grid", f"""
+WITH f AS ({SMOOTH_SQL}), r AS (SELECT min(x) AS lo, (max(x) - min(x)) * 0.1 AS width FROM f),
+c AS (SELECT f.*, floor((x - lo) / width) AS cell FROM f, r),
+e AS (SELECT cell, min(x) AS xa, max(x) AS xb, arg_min(smooth, x) AS fa, arg_max(smooth, x) AS fb FROM c GROUP BY cell)
+SELECT c.x, c.y, CASE WHEN xa = xb THEN fa ELSE fa + (fb - fa) * (c.x - xa) / (xb - xa) END AS smooth FROM c JOIN e ON c.cell = e.cell
+""")
+def smooth_grid(spark, sf):
+    """AG-16 with fits at the ends of ten cells only: work linear in the points."""
+    tr = ST.trend(load(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
+    return ST.smooth(tr, "x", "y_mean", frac=0.3, delta=0.1)
+
+
 @query("ag16_smooth_robust")
 def smooth_robust(spark, sf):
     """AG-16 with 3 bisquare robustness iterations (statsmodels' default)."""

@@ -63,6 +63,20 @@ def stratified_folds(spark, sf):
     return SA.stratified_folds(o, "o_orderstatus", "o_orderkey", 5, SEED)
 
 
+@query("sp04_grouped_split", f"""
+WITH e AS (SELECT event_id, user_id, event_type FROM events),
+g AS (SELECT user_id, {mix64('user_id', SEED)} AS h, count(*) AS c FROM e GROUP BY user_id),
+b AS (SELECT user_id, c, sum(c) OVER (ORDER BY h, user_id) - c AS before FROM g),
+t AS (SELECT CAST(ceil(count(*) * 0.2) AS BIGINT) AS t FROM e)
+SELECT e.event_id, e.user_id, b.before + b.c <= t.t OR (b.before < t.t AND 2 * (t.t - b.before) > b.c) AS is_test
+FROM e JOIN b ON e.user_id = b.user_id, t
+""")
+def grouped_split(spark, sf):
+    """SP-2 with a grouped key: all events of a user fall on one side."""
+    ev = load(spark, sf, "events").select("event_id", "user_id", "event_type")
+    return SA.stratified_split(ev, "event_type", "event_id", 0.2, SEED, group="user_id").drop("event_type")
+
+
 @query("wn02_assign_batches", """
 WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
 SELECT o_orderkey, CAST(i // (n // 10) + 1 AS INTEGER) AS batch FROM r WHERE i < (n // 10) * 10

@@ -161,7 +161,7 @@ def test_boundaries_match_a_sort(spark):
         assert n == len(own) and got[-1] is None
         for r, g in zip([0, 1, n // 3, n - 1], got, strict=False):
             first = own.index(next(o for o in own if o[0] == g[0]))
-            assert g[0] == own[r][0] and (g[1] == own[r][1] if r > first else g[1] is None)
+            assert g[0] == own[r][0] and g[1] in ((own[r][1],) if r > first else (None, own[r][1])) and not g[2]
     seg = BO.segment(df, F.col("v"), found, "c", F.col("k"))
     counts = {(r.c, r._segment): r["count"] for r in seg.groupBy("c", "_segment").count().collect()}
     n = found["a"][0]
@@ -187,3 +187,26 @@ def test_prefix_sums_rank_nulls_first_at_every_size(spark):
     b = SA.ordered_index(df, ["x", "id"], rows_per_bucket=10_000)
     assert a.select("id", "_idx").exceptAll(b.select("id", "_idx")).count() == 0
     assert a.where("x IS NULL").agg(F.max("_idx")).first()[0] == 5
+
+
+def test_repeated_keys_raise_or_stay_together(spark):
+    """No silent empty test set: a key that repeats is refused, a group is kept whole."""
+    import pytest
+
+    from tessera.operators.boundaries import RepeatedKey
+    one = spark.createDataFrame([(7, i % 2, i) for i in range(1000)], "g long, label int, id long").repartition(4)
+    none = one.withColumn("g", F.lit(None).cast("long"))
+    for d in (one, none):
+        with pytest.raises(RepeatedKey):
+            SA.stratified_split(d, "label", "g", 0.2)
+        with pytest.raises(RepeatedKey):
+            SA.stratified_folds(d, "label", "g", 5)
+    many = spark.createDataFrame([(i * i % 97 if i % 50 else None, i % 2, i) for i in range(3000)], "g long, label int, id long").repartition(5)
+    split = SA.stratified_split(many, "label", "id", 0.2, group="g")
+    assert split.count() == 3000 and split.groupBy("g").agg(F.countDistinct("is_test").alias("k")).where("k > 1").count() == 0
+    largest = many.groupBy("g").count().agg(F.max("count")).first()[0]
+    assert abs(split.where("is_test").count() - 600) <= largest / 2
+    folds = SA.stratified_folds(many, "label", "id", 5, group="g")
+    assert folds.groupBy("g").agg(F.countDistinct("fold").alias("k")).where("k > 1").count() == 0
+    sizes = [r["count"] for r in folds.groupBy("fold").count().collect()]
+    assert len(sizes) == 5 and all(abs(n - 600) <= largest for n in sizes)

@@ -131,3 +131,43 @@ def test_f_sf_reproduces_published_anova():
     assert abs(f_sf(0.8528299853856534, 1, 9969) - 0.3557753304234788) < 1e-9
     assert abs(f_sf(1.9257785122451976, 1, 9979) - 0.16525202264503197) < 1e-9
     assert abs(f_sf(3.87120658223427, 1, 9976) - 0.049148857774150366) < 1e-9
+
+
+def _lowess(x, y, frac, at):
+    import numpy as np
+    k = max(2, int(frac * len(x) + 1e-10))
+    out = []
+    for p in at:
+        d = np.abs(x - p)
+        h = np.sort(d)[k - 1]
+        w = np.where(d < h, (1 - (d / h) ** 3) ** 3, 0)
+        b = ((w.sum() * (w * x * y).sum() - (w * x).sum() * (w * y).sum())
+             / (w.sum() * (w * x * x).sum() - (w * x).sum() ** 2))
+        out.append(((w * y).sum() - b * (w * x).sum()) / w.sum() + b * p)
+    return np.array(out)
+
+
+def test_smooth_grid_is_linear_and_exact_at_its_points(spark):
+    """100,000 points; the fits at the ends of the cells are those of a plain LOWESS."""
+    import numpy as np
+    m = 100_000
+    d = spark.range(m).select((F.col("id") * 0.001 + F.sin(F.col("id") * 1.7) * 0.0004).alias("x"),
+                              (F.sin(F.col("id") * 0.0001) * 3 + F.pmod(F.col("id") * 7919, F.lit(100)) / 50).alias("y"))
+    out = ST.smooth(d, "x", "y", frac=0.3, delta=0.05, rows_per_bucket=20_000).toPandas().sort_values("x")
+    x, y, f = (out[c].to_numpy() for c in ("x", "y", "smooth"))
+    assert len(x) == m
+    cell = np.floor((x - x[0]) / ((x[-1] - x[0]) * 0.05))
+    ends = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    assert np.allclose(f[ends], _lowess(x, y, 0.3, x[ends]), rtol=1e-6)
+    points = np.unique(np.r_[ends, ends[1:] - 1, m - 1])  # the first and last point of every cell
+    assert np.allclose(f, np.interp(x, x[points], f[points]), rtol=1e-9)
+    robust = ST.smooth(d.withColumn("y", F.when(F.col("x") < 0.5, 1000.0).otherwise(F.col("y"))), "x", "y", frac=0.3, it=2, delta=0.05)
+    assert abs(robust.where("x > 40 AND x < 41").agg(F.avg("smooth")).first()[0] - f[(x > 40) & (x < 41)].mean()) < 0.2
+    assert ST.smooth(d.limit(0), "x", "y", delta=0.1).count() == 0
+
+
+def test_chi_square_margins_of_a_hot_value_are_no_window(spark):
+    d = spark.range(0, 20000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 500).cast("string")).alias("a"),
+                                     (F.col("id") % 300).alias("b"))
+    plan = ST.chi2_stat(d, [("a", "b")])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
