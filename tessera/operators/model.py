@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import decide, risk_factors
 from tessera.operators import metrics as MT
 from tessera.operators import sample as SA
+from tessera.operators.folds import FoldSpec, FoldTables
 from tessera.operators.vote import VoteModel, positive_score  # noqa: F401
 
 # ----------------------------------------------------------------- registry --
@@ -279,6 +280,7 @@ def build_pipeline(model: str, features: Sequence[str], params: Mapping | None =
         stages += cat_stages
         stages.append(VectorAssembler(inputCols=[cur, *cat_out], outputCol="_x_all"))
         cur = "_x_all"
+    shared = None if categorical else (len(stages), cur, FoldSpec(tuple(scaled), tuple(plain), scaling))
     method = (reducer or {}).get("method", "none")
     if method == "pca":
         stages.append(PCA(k=int(reducer.get("n_components", 2)), inputCol=cur, outputCol="_x_red"))
@@ -297,6 +299,7 @@ def build_pipeline(model: str, features: Sequence[str], params: Mapping | None =
     est.setParams(**{k: v for k, v in kw.items() if est.hasParam(k)})
     stages.append(est)
     pipe = Pipeline(stages=stages)
+    pipe.shared_preparation = shared
     if "C" in (params or {}) and est.hasParam("regParam"):
         pipe.inverse_strength = float(params["C"])
     return pipe
@@ -327,16 +330,32 @@ def small(df: DataFrame) -> DataFrame:
 
 def cross_validate(pipeline: Pipeline, df: DataFrame, key: str, label: str = "label",
                    fold_col: str = "fold", name: str = "model", parallelism: int = 5,
-                   folds: Sequence[int] | None = None) -> tuple[DataFrame, DataFrame]:
+                   folds: Sequence[int] | None = None, tables: FoldTables | None = None) -> tuple[DataFrame, DataFrame]:
     """CV-1: fit on the other folds, predict the held-out fold, for every
     fold.  Returns (fold metrics, out-of-fold predictions ``key, fold,
-    label, score, prediction``).  Stages are fitted on training rows only."""
-    sizes = {r[0]: r["count"] for r in df.groupBy(fold_col).count().collect()}
+    label, score, prediction``).  Stages are fitted on training rows only.
+
+    The imputation and scaling of pipelines from :func:`build_pipeline` without a
+    categorical branch are not refitted per fold: :class:`FoldTables` learns them
+    for all folds at once and holds the vectors.  A search hands one to all its
+    candidates through ``tables``."""
+    owned = tables is None
+    tables = tables or FoldTables(df, key, label, fold_col)
+    sizes = tables.sizes
     folds = folds if folds is not None else sorted(sizes)
+    shared = getattr(pipeline, "shared_preparation", None)
 
     def one(f):
-        m = fit_pipeline(pipeline, df.where(F.col(fold_col) != f), sum(sizes.values()) - sizes[f])
-        p = m.transform(df.where(F.col(fold_col) == f))
+        n = sum(sizes.values()) - sizes[f]
+        if shared:
+            skip, column, spec = shared
+            rest = Pipeline(stages=pipeline.getStages()[skip:])
+            if hasattr(pipeline, "inverse_strength"):
+                rest.inverse_strength = pipeline.inverse_strength
+            train, held = tables.fold(spec, f, column)
+            p = fit_pipeline(rest, train, n).transform(held)
+        else:
+            p = fit_pipeline(pipeline, df.where(F.col(fold_col) != f), n).transform(df.where(F.col(fold_col) == f))
         return p.select(key, fold_col, F.col(label).cast("int").alias("label"),
                         positive_score(p).alias("score"), F.col("prediction").cast("int").alias("prediction"))
     with ThreadPoolExecutor(max(1, parallelism)) as ex:
@@ -345,6 +364,9 @@ def cross_validate(pipeline: Pipeline, df: DataFrame, key: str, label: str = "la
     oof = _persist(reduce(lambda a, b: a.unionByName(b), parts))
     metrics = MT.binary_metrics(oof, "label", "prediction", "score", by=[fold_col]) \
         .withColumn("model", F.lit(name))
+    if owned and tables.made:
+        metrics = small(metrics)  # fills the predictions' cache, then the vectors can go
+        tables.release()
     return metrics, oof
 
 
@@ -355,13 +377,15 @@ def arena(models: Mapping[str, Pipeline], df: DataFrame, key: str, label: str =
     {name: oof})."""
     owned = not df.is_cached
     df = _persist(df)
+    tables = FoldTables(df, key, label, fold_col)
 
     def one(item):
         name, pipe = item
-        return name, cross_validate(pipe, df, key, label, fold_col, name, fold_parallelism)
+        return name, cross_validate(pipe, df, key, label, fold_col, name, fold_parallelism, tables=tables)
     with ThreadPoolExecutor(max(1, parallelism)) as ex:
         done = list(ex.map(one, list(models.items())))
     fold_metrics = small(reduce(lambda a, b: a.unionByName(b), [m for _, (m, _) in done]))
+    tables.release()
     if owned:
         df.unpersist()
     oofs = {name: oof for name, (_, oof) in done}  # the caller releases them
@@ -378,11 +402,12 @@ def _evaluate_candidates(make: Callable[[dict], Pipeline], candidates: Sequence[
                          key: str, label: str, fold_col: str, name: str, parallelism: int) -> DataFrame:
     owned = not df.is_cached
     df = _persist(df)  # released below; the trials' results are tables of one row
+    tables = FoldTables(df, key, label, fold_col)
 
     def one(i_params):
         i, params = i_params
         try:
-            m, oof = cross_validate(make(params), df, key, label, fold_col, name)
+            m, oof = cross_validate(make(params), df, key, label, fold_col, name, tables=tables)
             agg = small(MT.aggregate_folds(m, by=["model"]))
             oof.unpersist()
             return agg.withColumn("trial", F.lit(i)).withColumn("params", F.lit(json.dumps(params, sort_keys=True)))
@@ -392,6 +417,7 @@ def _evaluate_candidates(make: Callable[[dict], Pipeline], candidates: Sequence[
                                          "model string, trial int, params string, cv_roc_auc_mean double, error string")
     with ThreadPoolExecutor(max(1, parallelism)) as ex:
         parts = list(ex.map(one, list(enumerate(candidates))))
+    tables.release()
     if owned:
         df.unpersist()
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

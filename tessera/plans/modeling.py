@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import experiment as EX
+from tessera.operators import folds as FO
 from tessera.operators import model as MD
 from tessera.operators import sample as SA
 from tessera.plans.registry import load, query
@@ -105,6 +106,13 @@ def grid_search(spark, sf):
         train, FEATURES, KEY, LABEL, "fold", "weight", parallelism=2))
 
 
+@query("cv09_tune_f1")
+def tune_f1(spark, sf):
+    """CV-3 on Spark's tuning layer: the tree's grid ranked by mean F1."""
+    return _kept(spark, sf, lambda train: FO.tune(_pipe("decision_tree"), {
+        "maxDepth": [3, 5], "minInstancesPerNode": [1, 20]}, train, "f1", LABEL, "fold")[1])
+
+
 @query("cv04_random_search")
 def random_search(spark, sf):
     """CV-4: seeded random search of C with the reducer searched jointly."""
