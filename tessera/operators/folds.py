@@ -10,6 +10,7 @@ projection of that table.
 
 from __future__ import annotations
 
+import math
 import threading
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
@@ -40,37 +41,57 @@ def _x(c: str) -> Column:
     return F.col(f"`{c}`").cast("double")
 
 
+def _pooled(parts: Sequence[tuple[float, float, float]]) -> tuple[float, float]:
+    """(mean, sample deviation) of groups given by (rows, mean, sum of squared
+    deviations)."""
+    n = sum(p[0] for p in parts)
+    mean = sum(p[0] * p[1] for p in parts) / n
+    squares = sum(p[2] + p[0] * (p[1] - mean) ** 2 for p in parts)
+    return mean, math.sqrt(squares / (n - 1)) if n > 1 else 0.0
+
+
 def _statistics(df: DataFrame, fold_col: str, folds: Sequence, spec: FoldSpec, accuracy: int) -> dict:
     """``{fold: {column: (median, centre, divisor)}}`` from the rows outside the
-    fold; null and NaN are missing."""
+    fold; null and NaN are missing.
+
+    Counts, means and variances are taken once per fold and pooled on the driver
+    (folds x columns numbers); medians, which do not pool, are asked for columns
+    with missing values only, once per left-out fold in one aggregate."""
     cols = [*spec.scaled, *spec.plain]
     clean = df.select(fold_col, *[F.when(~F.isnan(_x(c)), _x(c)).alias(f"c{i}") for i, c in enumerate(cols)])
-    outside = {f: F.col(fold_col) != F.lit(f) for f in folds}
-    row = clean.agg(*[F.percentile_approx(F.when(outside[f], F.col(f"c{i}")), 0.5, accuracy).alias(f"m{j}_{i}")
-                      for j, f in enumerate(folds) for i in range(len(cols))]).first()
-    median = {(f, c): row[f"m{j}_{i}"] for j, f in enumerate(folds) for i, c in enumerate(cols)}
-    for (f, c), m in median.items():
-        if m is None:
-            raise ValueError(f"column {c!r} has no value outside fold {f!r}")
-    out = {f: {c: (median[f, c], 0.0, 1.0) for c in cols} for f in folds}
-    if spec.scaling is None or not spec.scaled:
+    rows = {r[fold_col]: r for r in clean.groupBy(fold_col).agg(F.count(F.lit(1)).alias("n"), *[
+        f(f"c{i}").alias(f"{k}{i}") for i in range(len(cols)) for f, k in ((F.count, "n"), (F.avg, "m"), (F.var_samp, "v"))]).collect()}
+    outside = {f: [r for g, r in rows.items() if g != f] for f in folds}
+    for f in folds:
+        for i, c in enumerate(cols):
+            if not sum(r[f"n{i}"] for r in outside[f]):
+                raise ValueError(f"column {c!r} has no value outside fold {f!r}")
+
+    def quantiles(x: Sequence[tuple], p: Sequence[float]) -> dict:
+        """{(fold, column): quantiles} of the given (fold, column, expression)."""
+        if not x:
+            return {}
+        found = clean.agg(*[F.percentile_approx(F.when(F.col(fold_col) != F.lit(f), e), list(p), accuracy).alias(f"q{k}")
+                            for k, (f, _, e) in enumerate(x)]).first()
+        return {(f, c): found[f"q{k}"] for k, (f, c, _) in enumerate(x)}
+    missing = [i for i in range(len(cols)) if any(r[f"n{i}"] < r["n"] for r in rows.values())]
+    median = {k: v[0] for k, v in quantiles([(f, i, F.col(f"c{i}")) for f in folds for i in missing], [0.5]).items()}
+    out = {f: {c: (median.get((f, i), 0.0), 0.0, 1.0) for i, c in enumerate(cols)} for f in folds}
+    if spec.scaling == "robust":
+        filled = [(f, i, F.coalesce(F.col(f"c{i}"), F.lit(median.get((f, i), 0.0)))) for f in folds for i in range(len(spec.scaled))]
+        spread = {k: (q[1], q[2] - q[0]) for k, q in quantiles(filled, [0.25, 0.5, 0.75]).items()}
+    elif spec.scaling == "standard":
+        spread = {}
+        for f in folds:
+            for i in range(len(spec.scaled)):
+                parts = [(r[f"n{i}"], r[f"m{i}"], (r[f"v{i}"] or 0.0) * (r[f"n{i}"] - 1)) for r in outside[f] if r[f"n{i}"]]
+                parts += [(r["n"] - r[f"n{i}"], median[f, i], 0.0) for r in outside[f] if r[f"n{i}"] < r["n"]]
+                spread[f, i] = _pooled(parts)
+    else:
         return out
-
-    def of(kind: str, f, i: int) -> Column:
-        x = F.when(outside[f], F.coalesce(F.col(f"c{i}"), F.lit(median[f, cols[i]])))
-        return {"mean": F.avg(x), "std": F.stddev_samp(x), "q1": F.percentile_approx(x, 0.25, accuracy),
-                "q2": F.percentile_approx(x, 0.5, accuracy), "q3": F.percentile_approx(x, 0.75, accuracy)}[kind]
-    kinds = ("mean", "std") if spec.scaling == "standard" else ("q1", "q2", "q3")
-    row = clean.agg(*[of(k, f, i).alias(f"{k}{j}_{i}") for k in kinds for j, f in enumerate(folds)
-                      for i in range(len(spec.scaled))]).first()
-    for j, f in enumerate(folds):
-        for i, c in enumerate(spec.scaled):
-            if spec.scaling == "standard":
-                centre, spread = row[f"mean{j}_{i}"], row[f"std{j}_{i}"] or 0.0
-            else:
-                centre, spread = row[f"q2{j}_{i}"], row[f"q3{j}_{i}"] - row[f"q1{j}_{i}"]
-            # a column without spread becomes 0, as in the scalers of the pipelines
-            out[f][c] = (median[f, c], centre, spread or float("inf"))
+    for (f, i), (centre, width) in spread.items():
+        # a column without spread becomes 0, as in the scalers of the pipelines
+        out[f][cols[i]] = (median.get((f, i), 0.0), centre, width or float("inf"))
     return out
 
 
