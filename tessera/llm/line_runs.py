@@ -82,34 +82,43 @@ def merge(runs: list[DataFrame]) -> DataFrame:
         F.sum("n_docs").alias("n_docs"), F.max("max_id").alias("max_id"), F.bool_and("fresh").alias("fresh"))
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20,
+def dedup_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20,
                min_docs: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
-    """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped`` added.
-
-    Lines whose key (the line without white space at its ends, A-Z in lower case) has ``min_chars`` code points and
-    stands in ``min_docs`` documents stay only in the largest document holding
-    it, every time they stand there.  A null or empty text is one empty line.
-    Rows that share an id are one holder, and each row keeps or loses its own
-    lines; null ids together rank below every id.  Other columns pass through,
-    those named like an added one are replaced; an empty table gives an empty
-    result."""
-    lines = stage(keyed_lines(docs, doc_id, text, min_chars, batches), "lines")
+    """Two structs a row: ``_row``, the row of ``docs`` as it was, and ``_out`` with
+    ``kept_text, n_lines, n_dropped``; so no column of the input can clash."""
+    named = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    d = docs.select(F.struct(*named).alias("_row"))
+    own = {docs.columns[i].lower(): F.col("_row").getField(f"c{i}") for i in range(len(named))}
+    key, body = own[doc_id.lower()].cast("long"), F.coalesce(own[text.lower()].cast("string"), F.lit(""))
+    d = d.select("_row", F.coalesce(key, F.lit(NULL_ID)).alias("_doc"), F.xxhash64(body).alias("_key"))
+    lines = stage(keyed_lines(d.select(F.col("_doc").alias("id"), body.alias("text")), "id", "text", min_chars, batches), "lines")
     runs = LineRuns(fanout)
     for b in range(batches):
         runs.add(lines.where(F.col("batch") == b))
     drop = lines.drop("batch").join(runs.repeated(min_docs).select(*KEY, "max_id"), KEY) \
         .where("id <> max_id").groupBy("id", "rk").agg(F.collect_set("pos").alias("_drop")) \
         .select(F.col("id").alias("_id"), F.col("rk").alias("_rk"), "_drop")
-    own = {"kept_text", "n_lines", "n_dropped"}
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-                    F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("_doc"),
-                    F.xxhash64(text_of(text)).alias("_key"))
     d = d.join(drop, (F.col("_doc") == F.col("_id")) & (F.col("_key") == F.col("_rk")), "left")
-    d = d.withColumn("_t", F.coalesce(F.col("_row").getField(text).cast("string"), F.lit("")))
-    d = d.withColumn("_lines", F.split("_t", "\n", -1))
+    d = d.select("_row", "_drop", body.alias("_t"), F.split(body, "\n", -1).alias("_lines"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
     kept = F.array_join(F.transform(stay, lambda p: F.get("_lines", p)), "\n")
-    return d.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c not in own],
-                    F.when(F.col("_drop").isNull(), F.col("_t")).otherwise(kept).alias("kept_text"),
-                    F.size("_lines").cast("long").alias("n_lines"),
-                    F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    return d.select("_row", F.struct(F.when(F.col("_drop").isNull(), F.col("_t")).otherwise(kept).alias("kept_text"),
+                                     F.size("_lines").cast("long").alias("n_lines"),
+                                     F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped")).alias("_out"))
+
+
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20,
+               min_docs: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
+    """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped`` added.
+
+    Lines whose key (the line without white space at its ends, A-Z in lower case) has ``min_chars`` code points and
+    stands in ``min_docs`` documents stay only in the largest document holding
+    it, every time they stand there.  A null or empty text is one empty line.
+    Rows that share an id are one holder, and each row keeps or loses its own
+    lines; null ids together rank below every id.  Other columns pass through,
+    those named like an added one (in whatever case) are replaced; an empty table
+    gives an empty result."""
+    added = ("kept_text", "n_lines", "n_dropped")
+    out = dedup_rows(docs, doc_id, text, min_chars, min_docs, batches, fanout)
+    return out.select(*[F.col("_row").getField(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in added],
+                      *[F.col("_out").getField(c).alias(c) for c in added])

@@ -30,41 +30,58 @@ CHUNK_CHARS = 1 << 20
 _ENCODERS: dict = {}
 
 
-def encoder(vocabulary: str):
-    """Batch encoder for a byte-level BPE vocabulary, kept per worker.
+def encoder(vocabulary: str, special: bool = False):
+    """Encoder for a byte-level BPE vocabulary, kept per worker.  With ``special``
+    the strings of special tokens in a text become those tokens, as ``tokenizers``
+    does unless told otherwise; else they are ordinary text.
 
     ``vocabulary`` is the path of a ``tokenizers`` JSON file.  The same
     vocabulary and merges are run through tiktoken, whose ids are the same and
     which is about five times faster; texts that it refuses go to tokenizers."""
-    if vocabulary not in _ENCODERS:
+    if (vocabulary, special) not in _ENCODERS:
         import json
+        import re
 
         import tiktoken
         from tokenizers import Tokenizer
 
         with open(vocabulary, encoding="utf-8") as f:
             model = json.load(f)
-        special = {t["id"] for t in model["added_tokens"]}
+        added = {t["content"]: t["id"] for t in model["added_tokens"]}
+        # tokens that swallow neighbouring spaces or need word ends are left to tokenizers
+        plain = not any(t[k] for t in model["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized"))
+        marks = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         # byte-level alphabets write bytes as printable characters: printable Latin-1 as it is, the rest from 256 on
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         back = {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in keep)}
-        ranks = {bytes(back[c] for c in w): i for w, i in model["model"]["vocab"].items() if i not in special}
+        ranks = {bytes(back[c] for c in w): i for w, i in model["model"]["vocab"].items() if i not in added.values()}
         # the pattern of byte-level pre-tokenisers, a fixed value
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         fast = tiktoken.Encoding("pack", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-        def encode(text: str) -> np.ndarray:
+        def ordinary(text: str) -> np.ndarray:
             try:
                 return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
             except BaseException as e:  # its regular expressions give up on huge runs of white space
                 if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                     raise
-                exact = Tokenizer.from_file(vocabulary)
-                exact.encode_special_tokens = True  # their strings in a text are ordinary text
-                return np.array(exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
+                return exactly(text, False)
+
+        def exactly(text: str, special: bool) -> np.ndarray:
+            exact = Tokenizer.from_file(vocabulary)
+            exact.encode_special_tokens = not special
+            return np.array(exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+        def encode(text: str) -> np.ndarray:
+            if not (special and marks and marks.search(text)):
+                return ordinary(text)
+            if not plain:
+                return exactly(text, True)
+            parts = [np.array([added[x]], "<u4") if x in added else ordinary(x) for x in marks.split(text) if x]
+            return np.concatenate(parts)
 
-        _ENCODERS[vocabulary] = encode
-    return _ENCODERS[vocabulary]
+        _ENCODERS[vocabulary, special] = encode
+    return _ENCODERS[vocabulary, special]
 
 
 def cut(n: int, largest: int) -> list[tuple[int, int]]:
@@ -80,7 +97,7 @@ def cut(n: int, largest: int) -> list[tuple[int, int]]:
 
 def _pieces(vocabulary: str, end: int, largest: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, special=True)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
 
         def flush(rows: list) -> pa.RecordBatch:

@@ -64,3 +64,33 @@ def test_the_last_stage_returns_the_token_ids(spark):
     out = C.packing_stage(spark, frame(spark, [(1, "some words to pack", "en", "s", 18), (None, None, None, None, None)]), SF).collect()
     assert {r.doc_id for r in out} == {1, None}
     assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in out)
+
+
+def test_every_stage_takes_awkward_rows_and_names(spark):
+    """Null and repeated ids, repeated rows, columns named like the stages' own,
+    dotted and differing in case only; and empty tables."""
+    from llm_cases import awkward, empty, sample
+    from pyspark.sql import functions as F
+    rows, d = awkward(spark, sample(40))
+    for c in ("_lines", "_row", "_out", "_row_rk", "_id", "_key", "_kept", "_rk", "_hit", "c0", "a.b", "N_LINES", "component", "bucket"):
+        d = d.withColumn(c, F.lit("keep " + c))
+    d = d.drop("n_chars")  # a stage needs no more than id and text
+    d = spark.createDataFrame(d.collect(), d.schema).repartition(3)
+    ids = sorted(str(r[0]) for r in rows)
+    for name, step in C.STAGES[:-1]:
+        out = step(spark, d, SF)
+        assert out.columns == d.columns, name
+        got = out.collect()
+        assert all(r[c] == "keep " + c for r in got for c in ("_lines", "_row_rk", "a.b", "N_LINES", "c0")), name
+        left = sorted(str(r["doc_id"]) for r in got)
+        if name == "line dedup":
+            assert left == ids
+        else:
+            assert 0 < len(left) <= len(ids) and set(left) <= set(ids), name
+        if name == "simhash near-dedup":
+            assert len({(r["doc_id"], r["text"] or "") for r in got}) == len(got)
+        nothing = step(spark, empty(spark), SF)
+        assert nothing.count() == 0 and nothing.columns == empty(spark).columns
+    packed = C.packing_stage(spark, d, SF)
+    assert packed.where("start = 0").count() == len(rows)
+    assert C.packing_stage(spark, empty(spark), SF).count() == 0
