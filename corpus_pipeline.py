@@ -1,5 +1,10 @@
 """The training-data pipeline: five stages over ``documents``.
 
+Every stage takes null, empty and very long texts (null counts as empty), null
+and repeated ids (a decision holds for the rows of one id and text), repeated
+rows, further columns of any name, which pass through, and empty tables, which
+stay empty.
+
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run``
 writes every stage's result as Parquet and hands it, reread, to the next one.
 All stages but the last return the columns of ``documents``.
@@ -25,12 +30,14 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, documents stay (a text may become empty);
-    ``n_chars`` follows where lines went."""
-    out = line_runs.line_dedup(docs)
-    cut = F.col("n_dropped") > 0
-    return out.withColumn("text", F.when(cut, F.col("kept_text")).otherwise(F.col("text"))) \
-        .withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))) \
-        .select(*docs.columns)
+    ``n_chars``, where there is such a column, follows where lines went."""
+    cut = F.col("_out.n_dropped") > 0
+    new = {"text": F.col("_out.kept_text"), "n_chars": F.char_length("_out.kept_text").cast("long")}
+
+    def column(i: int, name: str):
+        old = F.col("_row").getField(f"c{i}")
+        return (F.when(cut, new[name]).otherwise(old) if name in new else old).alias(name)
+    return line_runs.dedup_rows(docs).select(*[column(i, c) for i, c in enumerate(docs.columns)])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +45,13 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rank first), of several texts under it the one with the least hash."""
     least = simhash_dedup.simhash_dedup(docs).groupBy("component").agg(F.min(F.struct("doc_id", "rk")).alias("least"))
     keep = least.select(F.col("least.doc_id").alias("_keep"), F.col("least.rk").alias("_rk"))
-    keyed = docs.withColumn("_row_rk", row_key(docs["text"]))
-    same = keyed["doc_id"].eqNullSafe(keep["_keep"]) & (keyed["_row_rk"] == keep["_rk"])
+    # the row travels as a struct of numbered fields, so its columns' names cannot clash
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row"),
+                        F.col("doc_id").alias("_id"), row_key(docs["text"]).alias("_row_rk"))
+    same = keyed["_id"].eqNullSafe(keep["_keep"]) & (keyed["_row_rk"] == keep["_rk"])
     # repeated rows share id and text, so they are one group's: one of them stays
-    return keyed.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_row_rk"]).select(*docs.columns)
+    return keyed.join(keep, same, "left_semi").dropDuplicates(["_id", "_row_rk"]) \
+        .select(*[F.col("_row").getField(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
