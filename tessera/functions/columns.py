@@ -207,19 +207,16 @@ def factorize(df: DataFrame, col: str, key: str, new_col: str | None = None,
     c = F.col(f"`{col}`")
     d = df.where(c.isNotNull()).groupBy(c.alias("_v")).agg(
         F.min(F.col(f"`{key}`")).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    from tessera.operators.sample import ordered_index
+    from tessera.operators.sample import ordered_index, range_rank
     n_distinct = d.count()
     if order == "first":
         # numeric first-appearance key: exact distributed rank of the dictionary
         d = ordered_index(d, ["_first", "_v"], name="_code", n_rows=n_distinct).select("_v", "_code")
     elif order == "frequency":
-        d = ordered_index(d.withColumn("_negn", -F.col("_n")), ["_negn", "_v"], name="_code",
-                          n_rows=n_distinct).select("_v", "_code")
+        # ranked by count and value together: values of one count spread over many tasks
+        d = range_rank(d.withColumn("_negn", -F.col("_n")), ["_negn", "_v"], "_code", n_rows=n_distinct).select("_v", "_code")
     elif order == "alpha":
-        # distinct values ranked by value: one bounded window up to a bucket's
-        # size, range-bucketed beyond it
-        from tessera.operators.sample import string_rank
-        d = string_rank(d, "_v", name="_code", n_rows=n_distinct).select("_v", "_code")
+        d = range_rank(d, ["_v"], "_code", n_rows=n_distinct).select("_v", "_code")
     else:
         raise ValueError(order)
     side = F.broadcast(d) if n_distinct <= broadcast_limit else d

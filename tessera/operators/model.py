@@ -691,6 +691,7 @@ def assign_clusters(df: DataFrame, cols, key: str, k: int = 3, seed: int = 42, n
         m = KMeans(k=k, seed=seed + r, featuresCol="_z", predictionCol="cluster").fit(z)
         if best is None or m.summary.trainingCost < best.summary.trainingCost:
             best = m
+    z.unpersist()  # only the restarts read it again and again
     out = best.transform(z).select(key, F.col("cluster").cast("int"))
     return out.unionByName(incomplete.select(key, F.lit(None).cast("int").alias("cluster")))
 

@@ -177,42 +177,39 @@ def prefix_sums(df: DataFrame, order_cols: Sequence, values: dict[str, Column],
     return out.drop(*tmp, *[f"_po{i}" for i in range(len(vnames))], "_bkt")
 
 
-def _bucket_tree(col: Column, bounds: list, lo: int, hi: int) -> Column:
-    """Bucket number of ``col`` among sorted ``bounds`` as a balanced tree
-    of comparisons (O(log B) per row, any orderable type): bucket i holds
-    values in [bounds[i-1], bounds[i])."""
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(col < F.lit(bounds[mid]), _bucket_tree(col, bounds, lo, mid)) \
-            .otherwise(_bucket_tree(col, bounds, mid + 1, hi))
+def range_rank(df: DataFrame, cols: Sequence, name: str = "_rank", rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
+               n_rows: int | None = None) -> DataFrame:
+    """0-based rank of every row in the order of ``cols`` (columns of any orderable
+    type that together tell all rows apart), without a single-task window.
+
+    Up to ``rows_per_bucket`` rows one window (bounded).  Beyond that the rows are
+    range-partitioned and sorted on all of ``cols``, so equal first columns do not
+    share a partition, and written down with their place in the partition; the
+    counts per partition (one row each) become offsets, broadcast back."""
+    cols = [_q(c) for c in cols]
+    n = df.count() if n_rows is None else n_rows
+    parts = min(MAX_BUCKETS, max(1, math.ceil(n / rows_per_bucket)))
+    if parts <= 1:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*cols)) - 1)
+    from tessera.session import scratch_path
+    spark = df.sparkSession
+    path = scratch_path(spark, "range-rank")
+    at = F.monotonically_increasing_id()  # partition in the upper bits, place in the partition in the lower 33
+    df.repartitionByRange(parts, *cols).sortWithinPartitions(*cols).withColumn("_at", at).write.parquet(path)
+    d = spark.read.parquet(path)
+    part, place = F.shiftright("_at", 33).cast("int"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    run, offsets = 0, []
+    for r in d.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect():
+        offsets.append((r["p"], run))
+        run += r["n"]
+    side = spark.createDataFrame(offsets, "_p int, _before long")
+    return d.join(F.broadcast(side), part == F.col("_p")).withColumn(name, F.col("_before") + place).drop("_at", "_p", "_before")
 
 
 def string_rank(df: DataFrame, col: str, name: str = "_rank", rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
-                n_rows: int | None = None, sample_per_bucket: int = 64) -> DataFrame:
-    """0-based rank of every row by a (non-numeric) column with DISTINCT
-    values, without a single-task window: up to ``rows_per_bucket`` rows one
-    window (bounded); beyond that, range buckets from a bounded sample
-    (about ``sample_per_bucket`` values per bucket reach the driver), bucket
-    ids by a comparison tree, per-bucket counts turned into offsets on the
-    driver, and a window inside each bucket."""
-    c = _q(col)
-    n = df.count() if n_rows is None else n_rows
-    B = min(MAX_BUCKETS, max(1, math.ceil(n / rows_per_bucket)))
-    if B <= 1:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(c)) - 1)
-    frac = min(1.0, B * sample_per_bucket / max(1, n))
-    sample = sorted(r[0] for r in df.select(c).where(c.isNotNull()).sample(False, frac, 7).collect())
-    bounds = sorted(set(sample[i * len(sample) // B] for i in range(1, B))) if sample else []
-    d = df.withColumn("_sb", _bucket_tree(c, bounds, 0, len(bounds)))
-    counts = {r["_sb"]: r["n"] for r in d.groupBy("_sb").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offs, run = {}, 0
-    for b in sorted(counts):
-        offs[b] = run
-        run += counts[b]
-    m = F.create_map(*[x for b, o in offs.items() for x in (F.lit(b), F.lit(o))])
-    w = Window.partitionBy("_sb").orderBy(c)
-    return d.withColumn(name, F.element_at(m, F.col("_sb")) + F.row_number().over(w) - 1).drop("_sb")
+                n_rows: int | None = None) -> DataFrame:
+    """0-based rank of every row by a column with DISTINCT values."""
+    return range_rank(df, [col], name, rows_per_bucket, n_rows)
 
 
 def ordered_index(df: DataFrame, order_cols: Sequence, partition_cols: Sequence[str] = (),

@@ -210,3 +210,13 @@ def test_repeated_keys_raise_or_stay_together(spark):
     assert folds.groupBy("g").agg(F.countDistinct("fold").alias("k")).where("k > 1").count() == 0
     sizes = [r["count"] for r in folds.groupBy("fold").count().collect()]
     assert len(sizes) == 5 and all(abs(n - 600) <= largest for n in sizes)
+
+
+def test_range_rank_without_a_bucket_for_ties(spark):
+    """All first columns equal: the rows still spread over the partitions."""
+    d = spark.range(20_000).select(F.lit(-1).alias("n"), F.sha2(F.col("id").cast("string"), 256).alias("v")).repartition(4)
+    out = SA.range_rank(d, ["n", "v"], "r", rows_per_bucket=2_000)
+    rows = [(r.v, r.r) for r in out.collect()]
+    assert [v for v, _ in sorted(rows, key=lambda x: x[1])] == sorted(v for v, _ in rows)
+    assert sorted(r for _, r in rows) == list(range(20_000))
+    assert SA.range_rank(d, ["n", "v"], "r").where("r < 0").count() == 0  # one bounded window
