@@ -43,12 +43,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
-    # Spark removes a finished job's shuffle files once the driver has collected
-    # the objects that own them; without this they pile up until the query ends
     del df
+    free_shuffles(spark)
+    return out
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark removes a finished job's shuffle files once the driver has collected
+    the objects that own them; without this they pile up until the query ends."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return out
 
 
 def release(*staged: DataFrame) -> None:

@@ -3,7 +3,7 @@
 from collections import defaultdict
 
 from llm_cases import awkward, empty, frame, lower, sample
-from tessera.llm.line_runs import LineRuns, keyed_lines, line_dedup
+from tessera.llm.line_runs import LineRuns, keyed_lines, line_dedup, merge, without
 
 
 def key(line):
@@ -60,3 +60,25 @@ def test_runs_are_levelled_and_fresh_keys_are_known(spark):
     r = runs.repeated(3).collect()
     assert len(r) == 1 and r[0].n_docs == 60 and r[0].max_id == 59 and not r[0].fresh
     lines.unpersist()
+
+
+def test_anti_joins_and_compactions_move_no_row(spark):
+    rows = [(i, f"shared by {i % 7} of the documents\nonly in document number {i}", "en", "x", 1) for i in range(90)]
+    lines = keyed_lines(frame(spark, rows), "doc_id", "text", 20, 3).cache()
+    runs = LineRuns(fanout=3, buckets=4)
+    added = [runs.add(lines.where(f"batch = {b}")).drop("fresh") for b in range(2)]
+    batch, own = runs.raised[0]
+    for df in (without(batch, added[:1]), without(batch, [own]), merge(added)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "BucketedScan" in plan.replace("Bucketed: true", "BucketedScan")
+    # every key lies in one run, and repeats hold what the anti-join left out
+    keys = added[0].select("h1", "h2").unionAll(added[1].select("h1", "h2"))
+    assert keys.count() == keys.distinct().count()
+    assert without(batch, [own]).count() == batch.count() - own.count() > 0
+    lines.unpersist()
+
+
+def test_a_line_that_fills_one_document_is_hot(spark):
+    rows = [(1, "\n".join(["the very same line of text again"] * 500), "en", "x", 1)]
+    rows += [(i, f"the very same line of text again\nown line of the document {i}", "en", "x", 1) for i in range(2, 6)]
+    assert got(line_dedup(frame(spark, rows))) == plain(rows)
