@@ -43,6 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import decide, risk_factors
+from tessera.operators import gram as GR
 from tessera.operators import metrics as MT
 from tessera.operators import sample as SA
 from tessera.operators.folds import FoldSpec, FoldTables
@@ -124,8 +125,9 @@ class FisherDirectionModel(Model, _FisherParams, DefaultParamsReadable, DefaultP
 class FisherDirection(Estimator, _FisherParams, DefaultParamsReadable, DefaultParamsWritable):
     """ML-12: supervised 1-component reducer (Fisher's linear discriminant).
 
-    Fit = one grouped aggregate of per-class counts, means and covariances
-    (d + d(d+1)/2 numbers per class), then a d x d eigen-solve on the driver.
+    Fit = one pass that adds up block-wise moments per class (``gram``), of which
+    the means of the classes and one pooled d x d matrix reach the driver, then an
+    eigen-solve there.
     ``lda_0 = (x - mean) . w``, with ``w`` scaled to unit pooled within-class
     variance."""
 
@@ -134,28 +136,21 @@ class FisherDirection(Estimator, _FisherParams, DefaultParamsReadable, DefaultPa
         self._set(inputCol=inputCol, outputCol=outputCol, labelCol=labelCol)
 
     def _fit(self, df: DataFrame) -> FisherDirectionModel:
-        from pyspark.ml.stat import Correlation, Summarizer
         col, lab = self.getInputCol(), self.getLabelCol()
-        # per class: count, mean and variance vectors (one Summarizer job) and
-        # the Pearson matrix (Spark's distributed Gramian); d x d per class
-        stats = df.groupBy(F.col(lab).alias("_y")).agg(
-            F.count(F.lit(1)).alias("n"),
-            Summarizer.metrics("mean", "variance").summary(F.col(col)).alias("s")).collect()
-        n_tot = sum(r["n"] for r in stats)
-        d = len(stats[0]["s"]["mean"])
-        means = {r["_y"]: r["s"]["mean"].toArray() for r in stats}
-        mu = sum(r["n"] * means[r["_y"]] for r in stats) / n_tot
+        within, means = GR.class_scatter(df, vector_to_array(F.col(col)), F.col(lab))
+        per_class: dict = {}
+        for r in means.collect():
+            per_class.setdefault(r["label"], []).append((r["i"], r["n"], r["mean"]))
+        cells = within.collect()
+        GR.release(means)
+        rows = [(c[0][1], np.array([mean for _, _, mean in sorted(c)])) for c in per_class.values()]
+        n_tot = sum(n for n, _ in rows)
+        d = len(rows[0][1])
+        mu = sum(n * mean for n, mean in rows) / n_tot
         sw = np.zeros((d, d))
-        sb = np.zeros((d, d))
-        for r in stats:
-            sd = np.sqrt(np.maximum(r["s"]["variance"].toArray(), 0.0))
-            if r["n"] > 1:
-                corr = Correlation.corr(df.where(F.col(lab) == r["_y"]), col).first()[0].toArray()
-                corr = np.nan_to_num(corr, nan=0.0)
-                sw += (r["n"] - 1) * corr * np.outer(sd, sd)
-            diff = (means[r["_y"]] - mu)[:, None]
-            sb += r["n"] * diff @ diff.T
-        rows = stats
+        for r in cells:
+            sw[r["i"], r["j"]] = sw[r["j"], r["i"]] = r["within"]
+        sb = sum(n * np.outer(mean - mu, mean - mu) for n, mean in rows)
         vals, vecs = np.linalg.eig(np.linalg.pinv(sw) @ sb)
         w = np.real(vecs[:, int(np.argmax(np.real(vals)))])
         pooled = sw / max(1, n_tot - len(rows))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import select_by_type
+from tessera.operators.gram import correlation_cells
 
 
 def q(name: str) -> Column:
@@ -165,11 +166,20 @@ def box_stats(df: DataFrame, col: str, whisker: float = 1.5) -> DataFrame:
 
 # ------------------------------------------------------------------- AG-7 --
 
+#: Above this many columns, expressions per pair give way to block-wise products.
+WIDE = 48
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """AG-7: pairwise-complete Pearson for every ordered pair, long form
     ``col_a, col_b, corr`` — all pairs in ONE aggregate (each unordered pair
-    computed once, mirrored in the projection)."""
+    computed once, mirrored in the projection).  Above ``WIDE`` columns the pairs
+    are cells of block-wise products (``gram``), whose plan does not grow."""
     cols = list(cols or select_by_type(df, "numeric"))
+    if len(cols) > WIDE:
+        named = F.array(*[F.lit(c) for c in cols])
+        return correlation_cells(df, cols).select(F.get(named, F.col("i")).alias("col_a"),
+                                                  F.get(named, F.col("j")).alias("col_b"), "corr")
     aggs, idx = [], {}
     for i in range(len(cols)):
         for j in range(i, len(cols)):

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import cut, label_from_map
+from tessera.operators import gram as GR
 from tessera.operators import pivot as PV
 from tessera.operators import profile as PR
 from tessera.operators import stats as ST
@@ -148,6 +149,17 @@ def correlation_matrix(spark, sf):
     return PR.correlation_matrix(load(spark, sf, "lineitem"), NUM)
 
 
+@query("ag07_correlation_wide", """
+WITH e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS i
+           FROM embeddings)
+SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, corr(a.x, b.x) AS r
+FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2
+""")
+def correlation_wide(spark, sf):
+    """AG-7 over the elements of an array column: all pairs from one pass."""
+    return GR.correlation_cells(load(spark, sf, "embeddings"), "embedding").withColumnRenamed("corr", "r")
+
+
 @query("ag08_correlation_with", union_all([
     f"SELECT '{c}' AS feature, corr(CAST({c} AS DOUBLE), CAST(is_returned AS DOUBLE)) AS corr FROM {LABELED_SQL} t"
     for c in NUM + ["is_returned"]]))

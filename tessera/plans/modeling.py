@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import experiment as EX
 from tessera.operators import folds as FO
+from tessera.operators import gram as GR
 from tessera.operators import model as MD
 from tessera.operators import sample as SA
 from tessera.plans.registry import load, query
@@ -191,6 +192,20 @@ def fisher(spark, sf):
     return MD.fisher_projection(_emb(spark, sf), "embedding", "label", "vec_id")
 
 
+@query("ml12_class_scatter", """
+WITH e AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS i
+           FROM embeddings WHERE label IS NOT NULL),
+c AS (SELECT a.label, a.i, b.i AS j, count(*) * covar_pop(a.x, b.x) AS s
+      FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY 1, 2, 3)
+SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, sum(s) AS within FROM c GROUP BY 1, 2
+""")
+def class_scatter(spark, sf):
+    """ML-12: the pooled within-class products that the Fisher fit solves, for all
+    classes in one pass."""
+    e = load(spark, sf, "embeddings").where("label IS NOT NULL")
+    return GR.class_scatter(e, GR.vector_of(e, "embedding"), F.col("label"))[0]
+
+
 @query("ml12_fisher_2d", """
 WITH d AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
                   l_quantity AS a, l_discount AS b FROM lineitem),
