@@ -286,8 +286,27 @@ def with_errors(df: DataFrame, rules: list[tuple[str, Column]], col: str = "_err
 
 def split_valid(df: DataFrame, rules: list[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
     """QC-11: (valid rows, quarantined rows with ``_errors``) — one narrow
-    projection; write both sides from the same scan with ``foreachBatch`` or
-    by caching the tagged frame."""
+    projection; :func:`route_valid` writes both sides from the same scan."""
     tagged = with_errors(df, rules)
     return (tagged.where(F.size("_errors") == 0).drop("_errors"),
             tagged.where(F.size("_errors") > 0))
+
+
+def route_valid(df: DataFrame, rules: list[tuple[str, Column]], path: str, mode: str = "overwrite",
+                errors: str = "_errors", verdict: str = "verdict") -> tuple[DataFrame, DataFrame]:
+    """QC-11 as a sink: one scan of ``df`` and one write, partitioned into
+    ``verdict=valid`` and ``verdict=quarantine``, with no shuffle; returns the two
+    sides read back (the quarantined with ``errors``).  Reading a side lists and
+    scans its own files only.  A side without rows is an empty table; ``df`` must
+    not have columns named ``errors`` or ``verdict`` (in any case)."""
+    taken = {c.lower() for c in df.columns} & {errors.lower(), verdict.lower()}
+    if taken:
+        raise ValueError(f"the table has columns named {sorted(taken)}; choose other names for errors and verdict")
+    side = F.when(F.size(F.col(errors)) == 0, "valid").otherwise("quarantine")
+    routed = with_errors(df, rules, errors).withColumn(verdict, side)
+    routed.write.mode(mode).partitionBy(verdict).parquet(path)
+    back = df.sparkSession.read.schema(routed.schema).parquet(path)
+
+    def only(which: str) -> DataFrame:
+        return back.where(F.col(verdict) == which).drop(verdict)
+    return only("valid").drop(errors), only("quarantine")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import quality as QC
 from tessera.plans.registry import load, query
 from tessera.plans.sqlgen import lit, union_all
+from tessera.session import scratch_path
 
 SEGMENTS_OK = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD"]
 # A contract for the customer table in the reference's policy
@@ -110,14 +111,17 @@ ORDER_SUITE = {
 }
 
 
-@query("qc11_split_valid", """
+SPLIT_SQL = """
 SELECT o_orderkey, errors, errors = '' AS is_valid FROM (
   SELECT o_orderkey, concat_ws('|',
     CASE WHEN NOT (o_totalprice IS NULL OR (o_totalprice >= 0 AND o_totalprice <= 450000)) THEN 'o_totalprice:between' END,
     CASE WHEN NOT (o_orderstatus IS NULL OR o_orderstatus IN ('F', 'O')) THEN 'o_orderstatus:in_set' END,
     CASE WHEN o_orderpriority IS NULL THEN 'o_orderpriority:not_null' END) AS errors
   FROM orders) t
-""")
+"""
+
+
+@query("qc11_split_valid", SPLIT_SQL)
 def split_valid(spark, sf):
     """QC-11: row-level tagging with the suite's predicates; valid rows are
     those with no error (``split_valid`` returns both sides)."""
@@ -126,3 +130,12 @@ def split_valid(spark, sf):
     tagged = QC.with_errors(o, rules)
     return tagged.select("o_orderkey", F.array_join("_errors", "|").alias("errors"),
                          (F.size("_errors") == 0).alias("is_valid"))
+
+
+@query("qc11_routed_split", SPLIT_SQL)
+def routed_split(spark, sf):
+    """QC-11 as a sink: both sides from one scan and one write, read back."""
+    o = load(spark, sf, "orders")
+    valid, bad = QC.route_valid(o, QC.row_rules_from_suite(ORDER_SUITE, o), scratch_path(spark, "routed"))
+    return valid.select("o_orderkey", F.lit("").alias("errors"), F.lit(True).alias("is_valid")).unionAll(
+        bad.select("o_orderkey", F.array_join("_errors", "|").alias("errors"), F.lit(False).alias("is_valid")))

@@ -1,5 +1,7 @@
 """Quality suite: one fused scan, reference rule semantics (N11, QC-7)."""
 
+import pytest
+
 from tessera.operators import quality as QC
 
 SUITE = {
@@ -105,3 +107,31 @@ def test_nan_is_missing_and_broken_rules_fail_alone(spark):
     k = {x.check_id: x.kwargs for x in QC.with_kwargs(checks, suite).collect()}
     assert k[0] == '{"max_value": 10, "min_value": 0}' and k[2] == "{}"
     del QC.RULES["explodes"]
+
+
+def test_route_valid_is_one_scan_and_keeps_every_row(spark, tmp_path):
+    df = _df(spark)
+    rules = QC.row_rules_from_suite(SUITE, df)
+    scans = spark.sparkContext.accumulator(0)
+    seen = df.rdd.map(lambda r: (scans.add(1), r)[1])
+    counted = spark.createDataFrame(seen, df.schema)
+    valid, bad = QC.route_valid(counted, rules, str(tmp_path / "t"))
+    want_valid, want_bad = QC.split_valid(df, rules)
+    assert scans.value == df.count()
+    assert sorted(map(str, valid.collect())) == sorted(map(str, want_valid.collect()))
+    assert sorted(map(str, bad.collect())) == sorted(map(str, want_bad.collect()))
+    assert valid.columns == df.columns and scans.value == df.count()
+    plan = valid._jdf.queryExecution().executedPlan().toString()
+    assert "verdict" in plan and "PartitionFilters: [isnotnull(verdict" in plan
+
+
+def test_route_valid_without_rows_and_with_clashing_names(spark, tmp_path):
+    df = _df(spark)
+    rules = QC.row_rules_from_suite(SUITE, df)
+    for i, frame in enumerate((df.where("false"), QC.split_valid(df, rules)[0])):
+        valid, bad = QC.route_valid(frame, rules, str(tmp_path / f"e{i}"))
+        assert valid.count() == frame.count() and bad.count() == 0 and "_errors" in bad.columns
+    with pytest.raises(ValueError, match="verdict"):
+        QC.route_valid(df.selectExpr("*", "1 AS Verdict"), rules, str(tmp_path / "x"))
+    named, _ = QC.route_valid(df.selectExpr("*", "1 AS Verdict"), rules, str(tmp_path / "y"), verdict="side")
+    assert "Verdict" in named.columns
