@@ -480,13 +480,15 @@ def random_search(model: str, space: Mapping[str, tuple], n_trials: int, df: Dat
 
 
 def soft_vote(oofs: Mapping[str, DataFrame], key: str, weight_range: Sequence[int] = (1, 2, 3, 4, 5),
-              threshold: float = 0.5) -> DataFrame:
+              threshold: float = 0.5, bins: int | None = None) -> DataFrame:
     """CV-5: weighted mean of the base models' out-of-fold probabilities.
 
     The OOF tables (one row per key) are joined once; all weight vectors are
     evaluated in ONE job by exploding the weight grid next to each row and
     grouping the metrics by (weights, fold).  Returns one row per weight
-    vector with the aggregated CV metrics, best first."""
+    vector with the aggregated CV metrics, best first.  With ``bins`` the AUCs come
+    from score summaries: every task adds its rows to at most ``bins`` counts per
+    weight vector and fold, and only these are shuffled."""
     names = list(oofs)
     base = None
     for i, n in enumerate(names):
@@ -500,7 +502,7 @@ def soft_vote(oofs: Mapping[str, DataFrame], key: str, weight_range: Sequence[in
     den = reduce(lambda a, b: a + b, [F.col(f"w_{n}") for n in names])
     d = d.withColumn("score", num / den).withColumn("prediction", decide("score", threshold))
     wcols = [f"w_{n}" for n in names]
-    per_fold = MT.binary_metrics(d, "label", "prediction", "score", by=wcols + ["fold"])
+    per_fold = MT.binary_metrics(d, "label", "prediction", "score", by=wcols + ["fold"], bins=bins)
     res = MT.aggregate_folds(per_fold, by=wcols)
     return res.orderBy(F.desc("cv_roc_auc_mean"), *wcols)
 

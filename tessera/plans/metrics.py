@@ -86,6 +86,23 @@ def roc_auc_by_day(spark, sf):
     return MT.roc_auc(scored_events(spark, sf), "prob", "label", by=["day"], rows_per_bucket=256)
 
 
+@query("mt03_auc_summary", f"""
+WITH g AS (SELECT day, least(CASE WHEN prob >= 1 THEN 511 WHEN prob <= 0 THEN 0
+                        ELSE CAST(floor(prob * 512) AS INTEGER) END, 511) AS bin,
+                  count_if(label = 1) AS pos, count_if(label = 0) AS neg
+           FROM {SCORED_SQL} s WHERE prob IS NOT NULL AND label IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY day ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb
+      FROM g),
+t AS (SELECT day, sum(pos * (nb + neg / 2.0)) AS u, sum(CAST(pos AS DOUBLE) * neg) AS same,
+             CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE) AS pairs FROM c GROUP BY day)
+SELECT day, CASE WHEN pairs > 0 THEN u / pairs ELSE 0.5 END AS roc_auc,
+       CASE WHEN pairs > 0 THEN same / 2.0 / pairs ELSE 0.0 END AS max_error FROM t
+""")
+def auc_summary(spark, sf):
+    """MT-3 from mergeable score summaries with its error bound."""
+    return MT.summary_auc(MT.score_summary(scored_events(spark, sf), "prob", "label", ["day"], 512), ["day"])
+
+
 @query("mt04_roc_curve", f"""
 WITH g AS (SELECT prob AS threshold, count_if(label = 1) AS pos, count_if(label = 0) AS neg
            FROM {SCORED_SQL} s WHERE prob IS NOT NULL GROUP BY prob),
