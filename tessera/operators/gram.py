@@ -144,13 +144,16 @@ def correlation_cells(df: DataFrame, cols: Sequence[str] | str, block: int = BLO
     return m.unionAll(m.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "corr"))
 
 
-def class_scatter(df: DataFrame, vector: Column, label: Column, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def class_scatter(df: DataFrame, vector: Column, label: Column, block: int = BLOCK,
+                  keep: bool = False) -> tuple[DataFrame, DataFrame]:
     """``i, j, within`` (products of deviations from the own class's mean, summed
-    over all classes, i <= j) and ``label, i, n, mean``, both from one pass over rows
-    that have every element."""
+    over all classes, i <= j) and ``label, i, n, mean``, of the rows that have every
+    element.  Who reads both asks to ``keep`` the moments, so that one pass serves
+    both, and frees them with :func:`release`."""
     complete = df.where(vector.isNotNull() & ~F.exists(vector, lambda e: e.isNull()))
     m, shift = pair_moments(complete, vector, label, block)
-    m = m.persist()  # blocks are read for both results; :func:`release` frees them
+    if keep:
+        m = m.persist()
     within = m.groupBy("i", "j").agg(F.sum(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")).alias("within"))
     base = F.array(*[F.lit(float(s)) for s in shift])
     means = m.where("i = j").select(F.col("by").alias("label"), "i", F.col("n").cast("long").alias("n"),

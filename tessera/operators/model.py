@@ -137,7 +137,7 @@ class FisherDirection(Estimator, _FisherParams, DefaultParamsReadable, DefaultPa
 
     def _fit(self, df: DataFrame) -> FisherDirectionModel:
         col, lab = self.getInputCol(), self.getLabelCol()
-        within, means = GR.class_scatter(df, vector_to_array(F.col(col)), F.col(lab))
+        within, means = GR.class_scatter(df, vector_to_array(F.col(col)), F.col(lab), keep=True)
         per_class: dict = {}
         for r in means.collect():
             per_class.setdefault(r["label"], []).append((r["i"], r["n"], r["mean"]))
