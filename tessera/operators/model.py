@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import decide, risk_factors
 from tessera.operators import gram as GR
 from tessera.operators import metrics as MT
+from tessera.operators import permute as PM
 from tessera.operators import sample as SA
 from tessera.operators.folds import FoldSpec, FoldTables
 from tessera.operators.vote import VoteModel, positive_score  # noqa: F401
@@ -588,35 +589,35 @@ def feature_importance(model: PipelineModel, top: int | None = None, data: DataF
     return df.limit(top) if top else df
 
 
-def permute_column(df: DataFrame, col: str, key: str, seed: int, rows_per_bucket: int = 1 << 20) -> DataFrame:
-    """Shuffle one column across rows: the value at position i of a hash
-    order goes to the row at position i of the key order.  Both positions
-    come from the bucketed global index; the pairing is one equi-join."""
-    n = df.count()
-    by_key = SA.ordered_index(df.drop(col), [key], name="_pos", rows_per_bucket=rows_per_bucket, n_rows=n)
-    h = df.select(key, col).withColumn("_h", SA.mix64(key, seed))
-    by_hash = SA.ordered_index(h, ["_h", key], name="_pos", rows_per_bucket=rows_per_bucket, n_rows=n) \
-        .select("_pos", col)
-    return by_key.join(by_hash, "_pos").drop("_pos")
-
-
-def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], key: str,
-                           label: str = "label", repeats: int = 5, seed: int = 42) -> DataFrame:
+def permutation_importance(model: Model | Callable[[DataFrame], DataFrame], df: DataFrame, features: Sequence[str], key: str,
+                           label: str = "label", repeats: int = 5, seed: int = 42, rows_per_bucket: int = 1 << 20) -> DataFrame:
     """ML-10: mean and std of the AUC drop when one feature is shuffled,
-    over ``repeats`` seeded permutations, on the whole evaluation table."""
-    def auc_of(d):
-        p = model.transform(d)
-        p = p.select(F.col(label).cast("int").alias("y"), positive_score(p).alias("s"))
-        return MT.roc_auc(p, "s", "y").first()["roc_auc"]
+    over ``repeats`` seeded permutations, on the whole evaluation table.
+
+    ``model`` is a fitted classifier or a function that adds a column ``score``.
+    Row positions are found once; all shuffles of all features are scored in one
+    job and their exact AUCs are one grouped statistic (:mod:`tessera.operators.permute`)."""
     owned = not df.is_cached
     df = _persist(df)
-    base = auc_of(df)
-    rows = []
-    for f in features:
-        drops = [base - auc_of(permute_column(df, f, key, seed + r)) for r in range(repeats)]
-        rows.append((f, float(np.mean(drops)), float(np.std(drops, ddof=1)) if repeats > 1 else 0.0))
+    n = df.count()
+    positions = _persist(SA.ordered_index(df, [key], name="_pos", rows_per_bucket=rows_per_bucket, n_rows=n))
+    copies = PM.shuffled_copies(df, features, key, repeats, seed, positions, n)
+    if isinstance(model, Model):
+        p = model.transform(copies)
+        p = p.withColumn("score", positive_score(p))
+    else:
+        p = model(copies)
+    # the scores are kept, as counting and summing the ranks read them several times
+    p = _persist(p.select("_slot", F.col(label).cast("int").alias("y"), F.col("score").cast("double").alias("s")))
+    auc = {r["_slot"]: r["roc_auc"] for r in MT.roc_auc(p, "s", "y", by=["_slot"], rows_per_bucket=rows_per_bucket).collect()}
+    p.unpersist()
+    positions.unpersist()
     if owned:
         df.unpersist()
+    rows = []
+    for i, f in enumerate(features):
+        drops = [auc.get(PM.AS_IS, 0.5) - auc.get(i * repeats + r, 0.5) for r in range(repeats)]
+        rows.append((f, float(np.mean(drops)), float(np.std(drops, ddof=1)) if repeats > 1 else 0.0))
     spark = df.sparkSession
     return spark.createDataFrame(rows, "feature string, importance_mean double, importance_std double") \
         .orderBy(F.desc("importance_mean"))

@@ -18,8 +18,10 @@ from tessera.operators import experiment as EX
 from tessera.operators import folds as FO
 from tessera.operators import gram as GR
 from tessera.operators import model as MD
+from tessera.operators import permute as PM
 from tessera.operators import sample as SA
 from tessera.plans.registry import load, query
+from tessera.plans.sqlgen import mix64
 from tessera.session import scratch_path
 from tessera.sources import tracking as TR
 
@@ -36,6 +38,9 @@ ARENA = {
 # The searched space: strength, and the reducer jointly.
 SEARCH = {"C": ("log", 1e-4, 1e2), "reducer_method": ("cat", ["none", "pca", "lda"]), "reducer_n": ("int", 2, 7)}
 TRIALS = 30
+# A scorer of fixed coefficients.
+SCORED = ["value", "hour", "weekday"]
+SCORE_SQL = "CAST(0.01 AS DOUBLE) * value - CAST(0.05 AS DOUBLE) * hour + CAST(0.2 AS DOUBLE) * weekday"
 
 
 def ml_table(spark, sf):
@@ -176,6 +181,59 @@ def permutation_importance(spark, sf):
     return MD.permutation_importance(_fitted(spark, sf, "logistic"), ml_table(spark, sf), FEATURES, KEY, LABEL)
 
 
+def _shuffled_scores_sql(features: list[str], repeats: int, seed: int = 42) -> str:
+    """Twin of ``permute.shuffled_copies`` over ``d(event_id, label, features...)``: one
+    row per slot and event.  Three passes through the network suffice where the grid
+    has at most two spare cells, as for the row counts of the given tables."""
+    slots = [(i * repeats + r, i, *PM.round_keys(i * repeats + r, seed)) for i in range(len(features)) for r in range(repeats)]
+    ctes, last = [], "x0"
+    for walk in range(3):
+        first = last
+        ctes.append(f"w{walk} AS (SELECT *, y // b AS pl, y % b AS pr FROM {first})")
+        last = f"w{walk}"
+        for r in range(PM.ROUNDS):
+            moved, other, side = ("pr", "pl", "b") if r % 2 == 0 else ("pl", "pr", "a")
+            h = mix64(f"xor({other}, k{r})", PM.ROUND_SEED)
+            ctes.append(f"w{walk}_{r} AS (SELECT * REPLACE (({moved} + {h}) % {side} AS {moved}) FROM {last})")
+            last = f"w{walk}_{r}"
+        again = "pl * b + pr" if walk == 0 else "CASE WHEN y >= n THEN pl * b + pr ELSE y END"
+        ctes.append(f"x{walk + 1} AS (SELECT * EXCLUDE (pl, pr) REPLACE ({again} AS y) FROM {last})")
+        last = f"x{walk + 1}"
+    keys = ", ".join(f"k{r}" for r in range(PM.ROUNDS))
+    swapped = ", ".join(f"CASE WHEN g.feature = {i} THEN g.{c} ELSE p.{c} END AS {c}" for i, c in enumerate(features))
+    return f"""
+p AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM d),
+size AS (SELECT count(*) AS n, CAST(floor(sqrt(count(*))) AS BIGINT) AS root FROM d),
+sides AS (SELECT n, unnest(range(greatest(1, root // 2), root + 1)) AS a FROM size),
+grid AS (SELECT n, a, (n + a - 1) // a AS b FROM sides ORDER BY (a - n % a) % a, a DESC LIMIT 1),
+slots(slot, feature, {keys}) AS (VALUES {', '.join(str(s) for s in slots)}),
+x0 AS (SELECT p.*, slots.*, grid.*, pos AS y FROM p, slots, grid),
+{', '.join(ctes)},
+copies AS (
+  SELECT g.slot, g.feature, p.event_id, p.label, {swapped} FROM {last} g JOIN p ON p.pos = g.y
+  UNION ALL SELECT {PM.AS_IS}, {PM.AS_IS}, event_id, label, {', '.join(features)} FROM p)"""
+
+
+@query("ml10_permutation_scorer", f"""
+WITH d AS (SELECT event_id, CAST(event_type = 'purchase' AS INTEGER) AS label, value, hour(ts) AS hour, dayofweek(ts) + 1 AS weekday FROM events),
+{_shuffled_scores_sql(SCORED, 5)},
+s AS (SELECT slot, feature, label, {SCORE_SQL} AS s FROM copies),
+c AS (SELECT slot, feature, s, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg
+      FROM s WHERE s IS NOT NULL GROUP BY slot, feature, s),
+u AS (SELECT *, sum(neg) OVER (PARTITION BY slot ORDER BY s) - neg AS below FROM c),
+auc AS (SELECT slot, feature, sum(pos * (below + neg / 2.0)) / (sum(pos) * CAST(sum(neg) AS DOUBLE)) AS auc FROM u GROUP BY slot, feature),
+i AS (SELECT a.feature, z.auc - a.auc AS fall FROM auc a, auc z WHERE z.slot = {PM.AS_IS} AND a.slot <> {PM.AS_IS})
+SELECT CASE feature {' '.join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(SCORED))} END AS feature,
+  avg(fall) AS importance_mean, stddev_samp(fall) AS importance_std FROM i GROUP BY feature
+""")
+def permutation_scorer(spark, sf):
+    """ML-10 of a fixed scorer: every shuffle of every feature over all events."""
+    d = load(spark, sf, "events").select(KEY, F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias(LABEL),
+                                         "value", F.hour("ts").alias("hour"), F.dayofweek("ts").alias("weekday"))
+    return MD.permutation_importance(lambda x: x.withColumn("score", F.expr(SCORE_SQL)), d, SCORED, KEY, LABEL,
+                                     rows_per_bucket=1 << 16)
+
+
 def _emb(spark, sf):
     return load(spark, sf, "embeddings")
 
