@@ -63,6 +63,28 @@ TEXT_COLLISION = {"decimal": 0.15, "hex": 0.26, "hex_upper": 0.26}
 OTHER_COLLISION = 0.065
 
 
+_SPAN = "struct<s:bigint,e:bigint,kind:string,n:int,value:string>"
+#: Lists that grow step by step are kept in blocks of this many entries, so that a
+#: step copies one block and not the list.
+BLOCK = 64
+
+
+def _blocks(kind: str) -> list[Column]:
+    """The fields of an empty list of ``kind`` that :func:`_pushed` extends."""
+    return [F.array().cast(f"array<{kind}>").alias("block"), F.array().cast(f"array<array<{kind}>>").alias("done")]
+
+
+def _pushed(acc: Column, more: Column) -> list[Column]:
+    """The list's fields with the entries of ``more`` (few) behind it."""
+    full = F.size(acc["block"]) >= BLOCK
+    return [F.when(full, more).otherwise(F.concat(acc["block"], more)).alias("block"),
+            F.when(full, F.concat(acc["done"], F.array(acc["block"]))).otherwise(acc["done"]).alias("done")]
+
+
+def _listed(acc: Column) -> Column:
+    return F.flatten(F.concat(acc["done"], F.array(acc["block"])))
+
+
 def _spans(t: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """Spans of all leftmost matches whose ``group`` is long enough.  The gaps
     (a split by the pattern) and the matches alternate, so running sums of
@@ -70,42 +92,58 @@ def _spans(t: Column, kind: str, pattern: str, group: int, least: int) -> Column
     whole = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(t, F.lit(pattern), F.lit(group))
     parts = F.arrays_zip(F.split(t, pattern, -1).alias("gap"), whole.alias("whole"), part.alias("part"))
-    none = F.array().cast("array<struct<s:bigint,e:bigint,kind:string,n:int,value:string>>")
-    zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.char_length(x["gap"])
         e = s + F.char_length(x["whole"])
         one = F.array(F.struct(s.alias("s"), e.alias("e"), F.lit(kind).alias("kind"), F.lit(ORDER[kind]).alias("n"),
                                x["whole"].alias("value")))
-        more = F.when(F.char_length(x["part"]) >= least, F.concat(acc["out"], one)).otherwise(acc["out"])
-        return F.struct(F.coalesce(e, acc["at"]).alias("at"), more.alias("out"))
-
-    return F.aggregate(parts, zero, step, lambda acc: acc["out"])
-
-
-_SPAN = "struct<s:bigint,e:bigint,kind:string,n:int,value:string>"
-
-
-def _rest(run: Column, base: Column, least: int) -> Column:
-    """What sorted base spans leave of a run, without separators at its ends;
-    the run itself if they leave it alone."""
-    hit = F.filter(base, lambda b: (b["s"] < run["e"]) & (run["s"] < b["e"]))
-    ends = F.concat(hit, F.array(F.struct(run["e"].alias("s"), run["e"].alias("e"))))
-    zero = F.struct(run["s"].alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-
-    def step(acc: Column, b: Column) -> Column:
-        whole = F.substring(run["value"], (acc["at"] - run["s"] + 1).cast("int"),
-                            F.greatest(F.lit(0), b["s"] - acc["at"]).cast("int"))
+        more = _pushed(acc, one)
+        long = F.char_length(x["part"]) >= least
+        return F.struct(F.coalesce(e, acc["at"]).alias("at"), *[F.when(long, m).otherwise(acc[n]).alias(n)
+                                                                for m, n in zip(more, ("block", "done"), strict=True)])
+
+    return F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), *_blocks(_SPAN)), step, _listed)
+
+
+def _rest(runs: Column, base: Column, least: int) -> Column:
+    """What base spans leave of runs (apart from each other), without separators
+    at its ends; a run itself if they leave it alone.  One sweep over the starts
+    of both: ``run`` is the open run, ``at`` where its rest begins, ``hit``
+    whether a base span meets it, ``covered`` the end of the base spans so far."""
+    none = F.lit(None).cast(_SPAN)
+    starts = F.sort_array(F.concat(
+        F.transform(base, lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"), none.alias("run"))),
+        F.transform(runs, lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"), r.alias("run")))))
+
+    def piece(run: Column, at: Column, end: Column) -> Column:
+        whole = F.substring(run["value"], (at - run["s"] + 1).cast("int"), F.greatest(F.lit(0), end - at).cast("int"))
         left = F.ltrim(whole, F.lit(SEPARATORS))
         value = F.rtrim(left, F.lit(SEPARATORS))
-        s = acc["at"] + F.char_length(whole) - F.char_length(left)
+        s = at + F.char_length(whole) - F.char_length(left)
         one = F.array(F.struct(s.alias("s"), (s + F.char_length(value)).alias("e"), run["kind"].alias("kind"),
                                run["n"].alias("n"), value.alias("value")))
-        return F.struct(F.greatest(acc["at"], b["e"]).alias("at"),
-                        F.when(F.char_length(value) >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        return F.when((end - at >= least) & (F.char_length(value) >= least), one).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
-    return F.when(F.size(hit) == 0, F.array(run)).otherwise(F.aggregate(ends, zero, step, lambda acc: acc["out"]))
+    def closed(acc: Column) -> Column:
+        run = acc["run"]
+        return F.when(run.isNull(), F.array().cast(f"array<{_SPAN}>")).when(acc["hit"], piece(run, acc["at"], run["e"])) \
+            .otherwise(F.array(run))
+
+    def step(acc: Column, x: Column) -> Column:
+        opens = x["run"].isNotNull()
+        meets = acc["run"].isNotNull() & (x["s"] < acc["run"]["e"])
+        more = F.when(opens, closed(acc)).when(meets, piece(acc["run"], acc["at"], x["s"])).otherwise(F.array().cast(f"array<{_SPAN}>"))
+        return F.struct(F.when(opens, x["run"]).otherwise(acc["run"]).alias("run"),
+                        F.when(opens, F.greatest(x["s"], acc["covered"])).when(meets, F.greatest(acc["at"], x["e"]))
+                        .otherwise(acc["at"]).alias("at"),
+                        F.when(opens, acc["covered"] > x["s"]).otherwise(acc["hit"] | meets).alias("hit"),
+                        F.when(opens, acc["covered"]).otherwise(F.greatest(acc["covered"], x["e"])).alias("covered"),
+                        *_pushed(acc, more))
+
+    zero = F.struct(none.alias("run"), F.lit(0).cast("long").alias("at"), F.lit(False).alias("hit"),
+                    F.lit(0).cast("long").alias("covered"), *_blocks(_SPAN))
+    return F.aggregate(starts, zero, step, lambda acc: F.concat(_listed(acc), closed(acc)))
 
 
 def _pieces(run: Column, least: int) -> Column:
@@ -119,15 +157,19 @@ def _pieces(run: Column, least: int) -> Column:
 
 def _united(spans: Column) -> Column:
     """Sorted spans; those that overlap as one."""
-    none = F.array().cast("array<struct<s:bigint,e:bigint,kind:string,n:int>>")
+    kind = "struct<s:bigint,e:bigint,kind:string,n:int>"
 
-    def step(out: Column, x: Column) -> Column:
-        last = F.try_element_at(out, F.lit(-1))
-        grown = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(last.withField("e", F.greatest(last["e"], x["e"]))))
-        return F.when(F.size(out) == 0, F.array(x)).when(x["s"] < last["e"], grown) \
-            .otherwise(F.concat(out, F.array(x)))
+    def last(acc: Column) -> Column:
+        return F.when(acc["last"].isNull(), F.array().cast(f"array<{kind}>")).otherwise(F.array(acc["last"]))
+
+    def step(acc: Column, x: Column) -> Column:
+        meets = acc["last"].isNotNull() & (x["s"] < acc["last"]["e"])
+        grown = acc["last"].withField("e", F.greatest(acc["last"]["e"], x["e"]))
+        return F.struct(F.when(meets, grown).otherwise(x).alias("last"),
+                        *[F.when(meets, acc[n]).otherwise(m).alias(n) for m, n in zip(_pushed(acc, last(acc)), ("block", "done"), strict=True)])
 
-    return F.aggregate(F.sort_array(spans), none, step)
+    return F.aggregate(F.sort_array(spans), F.struct(F.lit(None).cast(kind).alias("last"), *_blocks(kind)), step,
+                       lambda acc: F.concat(_listed(acc), last(acc)))
 
 
 def normal_cdf(z: Column) -> Column:
@@ -214,9 +256,8 @@ def secret_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     long_run = F.rlike("_t", F.lit(CANDIDATE[:-1] + "{%d}" % min_random))
     runs = F.when(long_run, _spans(F.col("_t"), "random", CANDIDATE, 0, min_random)).otherwise(none)
     d = d.select(*keep, F.concat(*found).alias("base"), runs.alias("runs"))
-    taken = F.sort_array(F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"))))
-    d = d.withColumn("taken", F.when(F.size("runs") > 0, taken))
-    clear = F.flatten(F.transform("runs", lambda r: _rest(r, F.col("taken"), min_random)))
+    clear = F.when(F.size("runs") == 0, F.col("runs")).when(F.size("base") == 0, F.col("runs")) \
+        .otherwise(_rest(F.col("runs"), F.col("base"), min_random))
     d = stage(d.select(F.monotonically_increasing_id().alias("_uid"), *keep,
                        F.transform("base", lambda b: b.dropFields("value")).alias("base"), clear.alias("runs")),
               "secret-spans")

@@ -115,3 +115,51 @@ def test_tokens_behind_paths_and_beside_base_spans_are_found(spark):
         assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
         assert not any(x.s < b.e and b.s < x.e for x in r.spans if x.kind == "random" for b in r.base)
     assert not any(out[1000 + i].spans for i in range(50))
+
+
+def test_what_base_spans_leave_of_runs(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        text = "".join(rng.choice("ab-/+ ") for _ in range(rng.randrange(0, 400 if i % 7 else 4000)))
+        runs = [(m.start(), m.end()) for m in re.finditer("[^ ]+", text) if m.end() - m.start() >= 3]
+        base = []
+        for _ in range(rng.randrange(0, 12 if i % 7 else 300)):
+            s = rng.randrange(0, max(1, len(text)))
+            base.append((s, s + rng.randrange(1, 9)))
+        want = []
+        for s, e in runs:
+            hit = [b for b in base if b[0] < e and s < b[1]]
+            taken = {p for b in hit for p in range(*b)}
+            if not hit:
+                want.append((s, e))
+                continue
+            free = "".join("x" if p in taken else text[p] for p in range(s, e))
+            for m in re.finditer("[^x]+", free):
+                left = len(m[0]) - len(m[0].lstrip(S.SEPARATORS))
+                right = len(m[0].rstrip(S.SEPARATORS))
+                if right - left >= 3:
+                    want.append((s + m.start() + left, s + m.start() + right))
+        rows.append((i, [(s, e, "random", 3, text[s:e]) for s, e in runs], [(s, e, "hex", 2, "") for s, e in base], want, text))
+    span = "array<struct<s:bigint,e:bigint,kind:string,n:int,value:string>>"
+    d = spark.createDataFrame(rows, f"id int, runs {span}, base {span}, want array<struct<s:bigint,e:bigint>>, text string")
+    for r in d.withColumn("got", S._rest(F.col("runs"), F.col("base"), 3)).collect():
+        assert [(x.s, x.e) for x in r.got] == [(x.s, x.e) for x in r.want], r.id
+        assert all(x.value == r.text[x.s:x.e] for x in r.got)
+
+
+def test_many_matches_in_one_text(spark):
+    """Lists longer than several blocks come out whole and in order."""
+    n = 5 * S.BLOCK + 3
+    text = " ".join(f"{i:024x}" for i in range(n))
+    spans = spark.createDataFrame([(text,)], "t string").select(S._spans(F.col("t"), "hex", *S.BASE["hex"]).alias("s")).first().s
+    assert [(x.s, x.e, x.value) for x in spans] == [(25 * i, 25 * i + 24, f"{i:024x}") for i in range(n)]
+    parts = [(10 * i, 10 * i + (15 if i % 3 == 0 else 5), "random", 3) for i in range(n)]
+    got = spark.createDataFrame([(parts,)], "p array<struct<s:bigint,e:bigint,kind:string,n:int>>").select(S._united(F.col("p")).alias("u")).first().u
+    want = []
+    for s, e, *_ in parts:
+        if want and s < want[-1][1]:
+            want[-1] = (want[-1][0], max(want[-1][1], e))
+        else:
+            want.append((s, e))
+    assert [(x.s, x.e) for x in got] == want
