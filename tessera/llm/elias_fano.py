@@ -63,8 +63,9 @@ class EliasFano:
         high = self._select(i, self.ones, self.high) - i
         return high.astype(U) << U(self.low_bits) | _unpack(self.low, self.low_bits, i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Index of the first value not below x (n if there is none)."""
+    def successor(self, x: np.ndarray, within: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Index of the first value not below x (n if there is none).  ``within``:
+        first index and end of the range of each x, its end if all values there are below."""
         x = x.astype(U)
         h = x >> U(self.low_bits)
         out = np.full(len(x), self.n, np.int64)
@@ -73,6 +74,10 @@ class EliasFano:
         zeros = ~self.high
         end = self._select(h, self.zeros, zeros) - h
         begin = np.where(h > 0, self._select(np.maximum(h - 1, 0), self.zeros, zeros) + 1 - h, 0)
+        if within is not None:
+            least, most = (w.astype(np.int64) for w in within)
+            out = np.minimum(out, most)
+            begin, end = (np.clip(i, least[inside], most[inside]) for i in (begin, end))
         while True:  # all searches halve their ranges together
             open_ = np.flatnonzero(begin < end)
             if not len(open_):
@@ -84,10 +89,10 @@ class EliasFano:
         out[inside] = begin
         return out
 
-    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index, whether the value is there) of each x; strictly rising values."""
-        i = self.successor(x)
-        there = i < self.n
+    def find(self, x: np.ndarray, within: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(index, whether the value is there) of each x, in its range if ranges are given; strictly rising values."""
+        i = self.successor(x, within)
+        there = i < (self.n if within is None else within[1])
         there[there] = self.get(i[there]) == x[there].astype(U)
         return i, there
 
@@ -185,11 +190,22 @@ class Trie:
         i, there = self.vocabulary.find(word)
         return np.where(there, i, -1)
 
-    def log_p(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Stored log10 probability by context index and word id; NaN where the pair is unknown."""
+    def spans(self, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First child and end of the children of contexts by their index, from the pointers; empty where unknown."""
+        begin, end = np.zeros(len(parent), np.int64), np.zeros(len(parent), np.int64)
+        known = np.flatnonzero(parent >= 0)
+        begin[known], end[known] = (self.pointers.get(parent[known] + k).astype(np.int64) for k in (0, 1))
+        return begin, end
+
+    def log_p(self, parent: np.ndarray, word: np.ndarray, spans: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Stored log10 probability by context index and word id; NaN where the
+        pair is unknown.  The search runs between the context's pointers
+        (``spans`` of the parents, if they are known already)."""
         out = np.full(len(parent), np.nan)
-        ask = np.flatnonzero((parent >= 0) & (word >= 0))
-        i, there = self.children.find(parent[ask].astype(U) * U(max(1, self.vocabulary.n)) + word[ask].astype(U))
+        begin, end = self.spans(parent) if spans is None else spans
+        ask = np.flatnonzero((begin < end) & (word >= 0))
+        i, there = self.children.find(parent[ask].astype(U) * U(max(1, self.vocabulary.n)) + word[ask].astype(U),
+                                      (begin[ask], end[ask]))
         out[ask[there]] = self.book[self.code[i[there]]]
         return out
 

@@ -361,7 +361,9 @@ def _score(unigrams_of, mu: float):
         parent, size = trie.contexts(rows.contexts)
         near = rows.contexts < TAIL
         size[near] = _top_counts(unigrams)[rows.contexts[near].astype(np.int64)]
-        log_p = trie.log_p(parent[rows.pair_context], trie.words(rows.words)[rows.pair_word])
+        spans = tuple(x[rows.pair_context] for x in trie.spans(parent))  # two pointers a context, not a pair
+        log_p = trie.log_p(parent[rows.pair_context], trie.words(rows.words)[rows.pair_word], spans)
+        del spans
         miss = np.flatnonzero(np.isnan(log_p))
         log_p[miss] = _log_p1(unigrams, rows.words, rows.far)[rows.pair_word[miss]] + np.log10(mu / (size[rows.pair_context[miss]] + mu))
         del trie, miss

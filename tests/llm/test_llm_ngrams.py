@@ -27,6 +27,20 @@ def test_sequences():
             assert (s.successor(ask) == np.searchsorted(v, ask)).all()
 
 
+def test_searches_within_ranges():
+    r = np.random.default_rng(5)
+    v = np.unique(r.integers(0, 40_000, 3000)).astype(np.uint64)
+    s = EliasFano(v)
+    ask = np.r_[r.choice(v, 2000), r.integers(0, 60_000, 2000).astype(np.uint64)]
+    begin = r.integers(0, len(v), len(ask))
+    end = np.minimum(begin + r.integers(0, 200, len(ask)), len(v))
+    want = np.array([b + np.searchsorted(v[b:e], x) for x, b, e in zip(ask, begin, end, strict=True)])
+    assert (s.successor(ask, (begin, end)) == want).all()
+    i, there = s.find(ask, (begin, end))
+    assert (i == want).all() and there.tolist() == [x in v[b:e] for x, b, e in zip(ask, begin, end, strict=True)]
+    assert there.any() and not there.all()
+
+
 def test_sequences_are_compact():
     v = np.sort(np.random.default_rng(1).choice(10_000_000, 100_000, replace=False)).astype(np.uint64)
     e = EliasFano(v)
@@ -48,6 +62,8 @@ def test_trie_answers_from_a_mapped_file(tmp_path):
         got = t.log_p(parent[:-1], t.words(w))
         assert np.abs(got - p).max() < 0.002 and abs(got.mean() - p.mean()) < 1e-9
         assert np.isnan(t.log_p(parent[:-1], t.words(w + np.uint64(1)))).all()
+        begin, end = t.spans(np.r_[np.arange(len(roots)), -1])  # the pointers delimit each context's children
+        assert (end[:-1] - begin[:-1]).tolist() == np.unique(c, return_counts=True)[1].tolist() and begin[-1] == end[-1]
 
 
 def test_quantised_values_keep_their_sum():
