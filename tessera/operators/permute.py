@@ -119,9 +119,12 @@ def shuffled_copies(df: DataFrame, features: Sequence[str], key: str, repeats: i
         *[F.col(f"_s.k{r}").alias(f"_k{r}") for r in range(ROUNDS)], *[value(k).alias(f"_v{k}") for k in range(len(kinds))])
     given = permuted_position(given, g, "_pos", "_image").select(
         # never null, and declared so: a null check of the join key would repeat all rounds in one expression
-        F.coalesce(F.when(F.col("_slot") == AS_IS, F.col("_pos")).otherwise(F.col("_image")), F.lit(-1)).alias("_to"), "_slot", "_feature",
+        F.coalesce(F.when(F.col("_slot") == AS_IS, F.col("_pos")).otherwise(F.col("_image")), F.lit(-1)).alias("_to"), "_slot",
         *[f"_v{k}" for k in range(len(kinds))])
-    joined = d.join(given, F.col("_pos") == F.col("_to"))
+    given = SA.spread(given, n * len(slots), "_to")
+    # the rows of a partition are few beside their copies, which then need no sort
+    joined = d.hint("shuffle_hash").join(given, F.col("_pos") == F.col("_to")) \
+        .withColumn("_feature", F.when(F.col("_slot") != AS_IS, F.expr(f"_slot div {repeats}")))
     number = {f: i for i, f in enumerate(features)}
     return joined.select("_slot", *[F.when(F.col("_feature") == number[c], F.col(f"_v{place[c]}")).otherwise(F.col(f"`{c}`")).alias(c)
                                     if c in number else F.col(f"`{c}`") for c in df.columns])
