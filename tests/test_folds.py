@@ -6,9 +6,11 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
+from tessera.operators import experiment as EX
 from tessera.operators import folds as FO
 from tessera.operators import metrics as MT
 from tessera.operators import model as MD
+from tessera.operators import sample as SA
 
 
 def table(spark, n=1500):
@@ -72,3 +74,19 @@ def test_evaluator_and_tuning_by_f1(spark):
     assert 0.5 < auc <= 1 and FO.BinaryEvaluator("accuracy").evaluate(p) > 0.5
     with pytest.raises(ValueError):
         FO.BinaryEvaluator("mse")
+
+
+def test_training_rows_lie_in_even_partitions(spark):
+    n, cores = 90_000, spark.sparkContext.defaultParallelism
+    df = spark.range(0, n, 1, 60).select("id", (F.col("id") % 5 == 0).cast("int").alias("label"), (F.col("id") % 13).cast("double").alias("x"))
+    train, test, kept = EX.kept_parts(df, "label", "id")
+    assert train.count() + test.count() == n and train.rdd.getNumPartitions() == cores
+    tables = FO.FoldTables(train, "id", "label", "fold")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    a, b = tables.fold(FO.FoldSpec(("x",), (), "standard"), 0, "v")
+    assert a.count() + b.count() == train.count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before  # a kept table is not copied
+    tables.release()
+    train.unpersist()
+    kept.unpersist()
+    assert SA.evenly(df.limit(100), "id", 100).rdd.getNumPartitions() == 1
